@@ -2,7 +2,7 @@
 
 Every document gets the bits that a mixing model, which learns as it reads,
 needs to code its bytes. Per bit of a byte, predictors keyed by hashes of the
-last 1, 2, 3, 4 and 6 bytes and the byte's earlier bits give log odds from
+last 1 to 5 bytes and the byte's earlier bits give log odds from
 their counts; weights, chosen by a gate (which bit, and how many of the long
 contexts were seen before), add them; an adaptive map from that estimate and
 the bit's place corrects the result. Counts, weights and map are updated from
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .cluster import row_key
 
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 4, 5)
 FIRST_BLOCK = 4096
 _KNUTH, _MURMUR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Prior count of each bit value in a predictor; estimates of the adaptive map start with this weight.
@@ -43,11 +43,11 @@ RATE = 0.6
 
 
 def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sortable key of each byte: itself, then the six bytes before it, latest first, 0 beyond the text's start."""
+    """Sortable key of each byte: itself, then the five bytes before it, latest first, 0 beyond the text's start."""
     n = len(buf)
     place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
     key = buf.astype(np.uint64) << np.uint64(56)
-    for j in range(1, 7):
+    for j in range(1, 6):
         older = np.zeros(n, np.uint64)
         older[j:] = buf[: n - j]
         older[place < j] = 0
@@ -68,7 +68,7 @@ class Model:
 
     def code(self, key: np.ndarray) -> np.ndarray:
         """Bits of each byte of a block, given as ``contexts`` keys; then learns the block."""
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(head, len(key)))
@@ -125,7 +125,7 @@ class Model:
         return out
 
 
-def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 18, table_bits: int = 22) -> np.ndarray:
+def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 20, table_bits: int = 22) -> np.ndarray:
     """Bits of each text of a stream, in the order given."""
     model, start, size = Model(table_bits), 0, min(FIRST_BLOCK, block)
     total = np.zeros(len(off) - 1)
@@ -133,7 +133,7 @@ def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 18, table_bits: in
         stop = min(start + size, len(buf))
         lo = int(np.searchsorted(off, start, "right")) - 1
         hi = int(np.searchsorted(off, stop, "left"))
-        base = max(start - 6, int(off[lo]))  # the bytes before the block that its contexts reach
+        base = max(start - 5, int(off[lo]))  # the bytes before the block that its contexts reach
         edge = np.clip(off[lo : hi + 1], base, stop)
         key = contexts(buf[base:stop], edge - base)[start - base :]
         cost = model.code(key).astype(np.float64)
@@ -158,7 +158,7 @@ def _stream(block: int, table_bits: int):
     return run
 
 
-def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 18, table_bits: int = 22) -> DataFrame:
+def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 20, table_bits: int = 22) -> DataFrame:
     """``(doc_id, n_bytes, total_bits, bits_per_byte)`` for every row."""
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
