@@ -4,15 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_dedup, context_mixing, ngram_jaccard
+from . import chunk_dedup, context_mixing, mixing, ngram_jaccard, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(spark: SparkSession) -> str:
+    """Path of the token vocabulary, a setting of the session."""
+    return spark.conf.get("quillspark.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+#: A source's domain, by its number; others are of domain "other".
+DOMAINS = ("web", "books", "news", "forum")
+_LANGUAGES = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13, "*": 0.02}
+MIX_WEIGHTS = {"web": (0.4, _LANGUAGES), "books": (0.2, _LANGUAGES), "news": (0.2, _LANGUAGES), "forum": (0.18, _LANGUAGES), "other": (0.02, None)}
+
+
+def mix_levels() -> list[Column]:
+    number = F.try_element_at(F.split("source", "src"), F.lit(2)).try_cast("int")
+    domain = F.coalesce(F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.pmod(number, F.lit(len(DOMAINS))) + 1), F.lit("other"))
+    return [domain, F.col("lang"), F.col("source")]
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_pairs(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
@@ -25,10 +43,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), buckets=16, token_budget=65_536, vocabulary=vocabulary(spark))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    chosen = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.8, max_epochs=2, vocabulary=vocabulary(spark))
+    return chosen.select("doc_id", F.col("__l0").alias("domain"), F.col("__l1").alias("lang"), F.col("__l2").alias("source"), F.col("__epoch").alias("epoch"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_length_packing": op4_length_packing,
+    "op6_source_mixing": op6_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
