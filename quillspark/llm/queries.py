@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, context_mixing, mixing, ngram_jaccard, packing
+from . import block_knn, chunk_dedup, context_mixing, langid, license_scan, mixing, ngram_jaccard, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,18 +47,38 @@ def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), buckets=16, token_budget=65_536, vocabulary=vocabulary(spark))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     chosen = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.8, max_epochs=2, vocabulary=vocabulary(spark))
     return chosen.select("doc_id", F.col("__l0").alias("domain"), F.col("__l1").alias("lang"), F.col("__l2").alias("source"), F.col("__epoch").alias("epoch"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_knn.neighbours(_table(spark, sf_dir, "embeddings"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_length_packing": op4_length_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_block_neighbours": op9_block_neighbours,
 }
 
 ORACLE: dict[str, str] = {
@@ -71,4 +91,11 @@ o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g
 SELECT doc_a, doc_b, o / (x.n + y.n - o)::DOUBLE AS jaccard
 FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
 WHERE o / (x.n + y.n - o)::DOUBLE >= 0.5""",
+    "op8_quality_rules": quality_rules.oracle(),
+    "op9_block_neighbours": """
+WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour_id,
+  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS dist
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour_id) AS rank FROM d)
+SELECT vec_id, rank::INTEGER AS rank, neighbour_id, round(dist, 6) AS distance FROM r WHERE rank <= 10""",
 }

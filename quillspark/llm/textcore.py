@@ -64,13 +64,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         start = stop
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word: a run of bytes other than ASCII white space."""
+def word_spans(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word: a run of bytes that are no separators, ASCII white space unless told."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~_SPACE[buf]
+    word = ~separator[buf]
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
     first = word.copy()
