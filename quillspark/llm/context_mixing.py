@@ -12,7 +12,10 @@ Distribution. The corpus is split by a hash of the rows into streams of about
 ``stream_bytes``; their number follows the corpus, and every text is read by
 some stream's model. A stream is coded in order of its rows' hashes, in blocks
 that grow from 4 KB to ``block`` bytes: all of a block is predicted before it
-is learnt. Within a block equal events, that is equal contexts and bits, are
+is learnt. The stream's head, coded by a model that knew nothing, is coded
+again at the end: its own counts are taken back out of the model first, so that
+its documents are judged like the others, by what the rest of the stream
+teaches. Within a block equal events, that is equal contexts and bits, are
 computed once and weighed by their number, which gives the same bits in a
 fraction of the time. Scores depend on which other documents the corpus has,
 as for any adaptive model, but not on partitions or retries.
@@ -66,6 +69,32 @@ class Model:
         centre = 1 / (1 + np.exp(-np.linspace(-SPAN, SPAN, STEPS)))
         self.map = np.tile(np.stack([1 - centre, centre], -1) * MAP_PRIOR, (256, 1, 1)).reshape(-1, 2)
 
+    @staticmethod
+    def levels(key: np.ndarray, weight: np.ndarray) -> list[tuple]:
+        """For each order, its distinct events in sorted keys: first place, length, context hash, byte and weight."""
+        byte, levels = (key >> np.uint64(56)).astype(np.uint32), []
+        for at, o in enumerate(ORDERS):
+            cut = key >> np.uint64(56 - 8 * o)
+            first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
+            mask = np.uint64((1 << (8 * o)) - 1)
+            ctx = tc.mix64((cut[first] & mask) * np.uint64(len(ORDERS)) + np.uint64(at)).astype(np.uint32)
+            levels.append((first, np.diff(np.append(first, len(key))), ctx, byte[first], np.add.reduceat(weight, first)))
+        return levels
+
+    def slots(self, ctx: np.ndarray, byte: np.ndarray, j: int) -> np.ndarray:
+        node = (np.uint32(1 << j) | (byte >> np.uint32(8 - j))) * _KNUTH
+        return ((ctx ^ node) * _MURMUR) >> self.shift
+
+    def forget(self, key: np.ndarray) -> None:
+        """Takes the counts of a block back out."""
+        key, times = np.unique(key, return_counts=True)
+        flat = self.counts.ravel()
+        for _, _, ctx, c, w in self.levels(key, times.astype(np.float32)):
+            for j in range(8):
+                where = self.slots(ctx, c, j).astype(np.int64) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1))
+                np.subtract.at(flat, where, w)
+        np.maximum(flat, 0, out=flat)
+
     def code(self, key: np.ndarray) -> np.ndarray:
         """Bits of each byte of a block, given as ``contexts`` keys; then learns the block."""
         order = np.argsort(key)
@@ -75,13 +104,7 @@ class Model:
         key = key[head]
         weight = times.astype(np.float32)
         byte = (key >> np.uint64(56)).astype(np.uint32)
-        levels = []
-        for at, o in enumerate(ORDERS):
-            cut = key >> np.uint64(56 - 8 * o)
-            first = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
-            mask = np.uint64((1 << (8 * o)) - 1)
-            ctx = tc.mix64((cut[first] & mask) * np.uint64(len(ORDERS)) + np.uint64(at)).astype(np.uint32)
-            levels.append((first, np.diff(np.append(first, len(key))), ctx, byte[first], np.add.reduceat(weight, first)))
+        levels = self.levels(key, weight)
         bits = np.zeros(len(key), np.float32)
         learn = []
         table = self.counts.view(np.uint64).ravel()
@@ -91,8 +114,7 @@ class Model:
         for j in range(8):
             seen = []
             for at, (first, spread, ctx, c, w) in enumerate(levels):
-                node = (np.uint32(1 << j) | (c >> np.uint32(8 - j))) * _KNUTH
-                slot = ((ctx ^ node) * _MURMUR) >> self.shift
+                slot = self.slots(ctx, c, j)
                 n = table[slot].view(np.float32).reshape(-1, 2)
                 x[at] = np.repeat(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)), spread)
                 if j == 0:
@@ -125,23 +147,34 @@ class Model:
         return out
 
 
-def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 20, table_bits: int = 22) -> np.ndarray:
+def _block(buf: np.ndarray, off: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Keys of the bytes from start to stop; contexts reach back before start but not before a text's own."""
+    lo, hi = int(np.searchsorted(off, start, "right")) - 1, int(np.searchsorted(off, stop, "left"))
+    base = max(start - 5, int(off[lo]))
+    return contexts(buf[base:stop], np.clip(off[lo : hi + 1], base, stop) - base)[start - base :]
+
+
+def schedule(n: int, block: int) -> list[tuple[int, int]]:
+    """Blocks that double in size up to ``block`` bytes."""
+    out, start, size = [], 0, min(FIRST_BLOCK, block)
+    while start < n:
+        out.append((start, min(start + size, n)))
+        start, size = out[-1][1], min(size * 2, block)
+    return out
+
+
+def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 20, table_bits: int = 22, head_bytes: int = 1 << 18) -> np.ndarray:
     """Bits of each text of a stream, in the order given."""
-    model, start, size = Model(table_bits), 0, min(FIRST_BLOCK, block)
-    total = np.zeros(len(off) - 1)
-    while start < len(buf):
-        stop = min(start + size, len(buf))
-        lo = int(np.searchsorted(off, start, "right")) - 1
-        hi = int(np.searchsorted(off, stop, "left"))
-        base = max(start - 5, int(off[lo]))  # the bytes before the block that its contexts reach
-        edge = np.clip(off[lo : hi + 1], base, stop)
-        key = contexts(buf[base:stop], edge - base)[start - base :]
-        cost = model.code(key).astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(cost)])
-        cut = np.clip(off[lo : hi + 1], start, stop) - start
-        total[lo:hi] += sums[cut[1:]] - sums[cut[:-1]]
-        start, size = stop, min(size * 2, block)
-    return total
+    model, n = Model(table_bits), len(buf)
+    cost = np.zeros(n + 1, np.float32)
+    for start, stop in schedule(n, block):
+        cost[start:stop] = model.code(_block(buf, off, start, stop))
+    head = min(head_bytes, n // 4)
+    if head:
+        model.forget(_block(buf, off, 0, head))
+        cost[:head] = model.code(_block(buf, off, 0, head))
+    sums = np.concatenate([[0.0], np.cumsum(cost[:n], dtype=np.float64)])
+    return sums[off[1:]] - sums[off[:-1]]
 
 
 _OUT = "doc_id long, n_bytes long, total_bits double, bits_per_byte double"
