@@ -139,8 +139,13 @@ def _cut_out(text: str):
             for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
                 raw, at, kept = out[i].encode(), 0, []
                 for x in sorted(spans[int(i)].as_py(), key=lambda x: x["s"]):
-                    kept.append(raw[at : x["s"]])
-                    at = max(at, x["e"])
+                    lo, hi = x["s"], x["e"]
+                    while lo < hi and raw[lo] & 0xC0 == 0x80:
+                        lo += 1
+                    while lo < hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                        hi -= 1
+                    kept.append(raw[at:lo])
+                    at = max(at, hi)
                 out[i] = b"".join([*kept, raw[at:]]).decode()
             cols = [pa.array(out, texts.type) if n == text else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)

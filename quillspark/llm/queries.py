@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_knn, chunk_dedup, context_mixing, langid, license_scan, mixing, ngram_jaccard, packing, quality_rules
+from . import block_knn, chunk_dedup, context_mixing, langid, license_scan, mixing, ngram_jaccard, packing, pfp_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op9_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_knn.neighbours(_table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_block_neighbours": op9_block_neighbours,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {
