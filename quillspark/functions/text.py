@@ -48,9 +48,10 @@ def shorten(text: Column | str, head: int, tail: int) -> Column:
 def format_size(size: Column | str) -> Column:
     """Bytes in words: whole below 1 KB, else one decimal, up to TB."""
     n = col(size).cast("double")
-    out = F.format_string("%.1f TB", n / F.lit(1024.0**4))
+    one = lambda unit, power: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(1024.0**power), 1))
+    out = one("TB", 4)
     for unit, power in (("GB", 3), ("MB", 2), ("KB", 1)):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), one(unit, power)).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", col(size).cast("long"))).otherwise(out)
 
 
