@@ -13,10 +13,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.glob import glob_regex
-from ..schemas import TABLES
+from ..schemas import TABLES, columns
 
 
 class Catalog:
@@ -62,7 +61,7 @@ class Catalog:
 
     def read(self, table: str) -> DataFrame:
         folders = self._folders(table)
-        schema: T.StructType = TABLES[table]
+        schema = TABLES[table]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
@@ -70,7 +69,7 @@ class Catalog:
     def _write(self, table: str, df: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
         have = dict(df.dtypes)
-        cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
+        cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])]
         df.select(*cols).write.parquet(f"{self.root}/{table}/{name}")
         return name
 
@@ -91,7 +90,7 @@ class Catalog:
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         rest = self.read(table).join(df.select(*keys).distinct(), keys, "left_anti")
         have = dict(df.dtypes)
-        cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
+        cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])]
         self.overwrite(table, rest.unionByName(df.select(*cols)))
 
     # -- documents --------------------------------------------------------------------------------------------------------

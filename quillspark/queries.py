@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import glob, ids, text, vectors
 from .operators import access, chunking, dedup, filters, fts, heat, logs, profile, records, search, summaries, tasks, toc
+from .session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -798,3 +799,175 @@ def flagship(spark, d):
     hits = chunks.withColumn("score", vectors.squared_l2("v", q)).orderBy("score", "doc_id", "chunk_id").limit(50)
     g = search.group_by_document(hits, ["chunk_id"])
     return g.select("doc_id", F.round("score", 6).alias("score"), F.array_join(F.transform("chunks", lambda c: c["chunk_id"].cast("string")), ",").alias("chunks"))
+
+
+# --- streams: R1, R2, R11, R13 --------------------------------------------------------------------------------------------------
+
+
+def _replay(spark: SparkSession, d: str, build: Query, mode: str) -> DataFrame:
+    """Runs a stream over the events table until all of it is read, and gives the table that it wrote."""
+    root, schema = shared_folder(spark), table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+
+    def write(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
+
+    q = build(source).writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def _stream_accesses(e: DataFrame) -> DataFrame:
+    return e.select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("section"), F.lit(1.0).alias("weight"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
+
+
+@query(f"SELECT user_id::VARCHAR AS doc_id, event_type AS section, count(*)::DOUBLE AS raw_score, count(*) AS access_count, round(max({_SEC}), 3) AS last_access FROM events GROUP BY ALL")
+def heat_stream(spark, d):
+    from .streaming import state
+
+    t = _replay(spark, d, lambda e: state.heat_stream(_stream_accesses(e)), "complete")
+    return t.select("doc_id", "section", "raw_score", "access_count", F.round("last_access", 3).alias("last_access"))
+
+
+@query("SELECT user_id::VARCHAR AS doc_id, event_type AS section FROM events GROUP BY ALL HAVING count(*) >= 10")
+def hot_section_stream(spark, d):
+    from .streaming import state
+
+    return _replay(spark, d, lambda e: state.hot_sections(_stream_accesses(e), 10.0, 1e12), "append").select("doc_id", "section")
+
+
+@query()
+def promotion_stream(spark, d):
+    from .streaming import state
+
+    events = lambda e: e.select(F.col("event_type").alias("scope"), F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
+    return _replay(spark, d, lambda e: state.promotion_stream(events(e), 50, 20), "append")
+
+
+@query("""WITH t AS (SELECT user_id, event_id, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS s FROM events), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM t)
+SELECT event_id FROM g WHERE gap IS NULL OR gap >= 3600""")
+def throttled_changes(spark, d):
+    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    return tasks.throttle(e, "user_id", "s", 3600.0).select("event_id")
+
+
+# --- Markdown and HTML: S15, S16, A21 to A23, W4 to W6 ------------------------------------------------------------------------------
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as Markdown: a heading per turn of level 1 to 3, some turns inside fences, some fences unclosed."""
+    turn = F.col("turn")
+    head = F.concat(F.repeat(F.lit("#"), (turn % 3 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), turn.cast("string"))
+    body = F.when(turn % 4 == 1, F.concat(F.lit("```\n# not a heading\n"), F.col("text"), F.lit("\n```"))).when((turn % 4 == 3) & (F.col("conv_id") % 5 == 0), F.concat(F.lit("```\n"), F.col("text"))).otherwise(F.concat(F.lit("- "), F.col("text")))
+    parts = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.lit("\n"), body).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n")
+    return parts.groupBy(F.col("conv_id").alias("doc_id")).agg(joined.alias("text"))
+
+
+_MD = r"""p AS (SELECT conv_id AS doc_id, turn, repeat('#', (turn % 3 + 1)::INTEGER) || ' ' || role || ' ' || turn || chr(10) ||
+CASE WHEN turn % 4 = 1 THEN '```' || chr(10) || '# not a heading' || chr(10) || text || chr(10) || '```' WHEN turn % 4 = 3 AND conv_id % 5 = 0 THEN '```' || chr(10) || text ELSE '- ' || text END AS t FROM conversations),
+m AS (SELECT doc_id, string_split(string_agg(t, chr(10) ORDER BY turn), chr(10)) AS ls FROM p GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM m),
+l1 AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM l0),
+l2 AS (SELECT *, mark OR coalesce(sum(mark::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM l1),
+l AS (SELECT *, CASE WHEN NOT in_fence THEN length(regexp_extract(line, '^(#{1,6})\s+(.*)$', 1)) ELSE 0 END AS level FROM l2)"""
+
+
+def _md_lines(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.documents import markdown_lines
+
+    return markdown_lines(_markdown(spark, d), "doc_id", "text")
+
+
+@query(f"WITH {_MD} SELECT doc_id, line_no::INTEGER AS line_no, in_fence FROM l")
+def md_fences(spark, d):
+    return _md_lines(spark, d).select("doc_id", "line_no", "in_fence")
+
+
+@query(rf"WITH {_MD} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS pos, level::INTEGER AS level, trim(regexp_extract(line, '^(#{{1,6}})\s+(.*)$', 2)) AS title, line_no::INTEGER AS line_no, (lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS next_line FROM l WHERE level > 0")
+def md_toc(spark, d):
+    from .sources.documents import markdown_toc
+
+    return markdown_toc(_md_lines(spark, d))
+
+
+@query(f"WITH {_MD}, s AS (SELECT *, sum((level > 0)::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no)::INTEGER AS section_no FROM l) SELECT doc_id, section_no, md5(string_agg(line, chr(10) ORDER BY line_no)) AS content FROM s GROUP BY ALL")
+def md_sections(spark, d):
+    from .sources.documents import markdown_sections
+
+    return markdown_sections(_md_lines(spark, d)).select("doc_id", "section_no", F.md5("content").alias("content"))
+
+
+@query(f"WITH {_MD} SELECT doc_id, count(*) FILTER (WHERE level > 0) AS headings, count(*) AS lines, round(count(*) FILTER (WHERE level > 0) / greatest(count(*), 1)::DOUBLE, 3) AS density FROM l GROUP BY doc_id")
+def md_density(spark, d):
+    from .sources.documents import markdown_density
+
+    return markdown_density(_md_lines(spark, d))
+
+
+@query(f"""WITH {_MD}, s AS (SELECT doc_id, ls FROM m)
+SELECT doc_id, concat_ws(' | ', CASE WHEN a > 0 THEN a || ' list items' END, CASE WHEN b > 0 THEN b || ' code blocks' END, CASE WHEN c > 0 THEN c || ' lines' END) AS annotation FROM
+(SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*([-*+]|\\d+\\.)\\s+'))) AS a, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(```|~~~)'))) // 2 AS b, len(list_filter(ls, lambda x: regexp_matches(x, '\\S'))) AS c FROM s)""")
+def md_annotation(spark, d):
+    from .sources.documents import section_annotation
+
+    return _markdown(spark, d).select("doc_id", section_annotation(F.col("text")).alias("annotation"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, d):
+    from .sources.documents import html_title as title
+
+    return table(spark, d, "pages").select("page_id", title(F.col("html")).alias("title"))
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS x FROM pages)
+SELECT page_id, regexp_extract(x, '(?i)^<h([1-6])', 1)::INTEGER AS level, trim(regexp_replace(regexp_replace(x, '(?is)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g'), '<[^>]+>', '', 'g')) AS title FROM h""")
+def html_headings(spark, d):
+    from .sources.documents import html_headings as headings
+
+    return table(spark, d, "pages").select("page_id", F.explode(headings(F.col("html"))).alias("h")).select("page_id", "h.level", "h.title")
+
+
+@query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), '(?is)<a\b[^>]*>(.*?)</a>', 1)) AS link FROM pages)
+SELECT page_id, trim(regexp_replace(link, '<[^>]+>', '', 'g')) AS link FROM n WHERE trim(regexp_replace(link, '<[^>]+>', '', 'g')) <> ''""")
+def html_nav_links(spark, d):
+    from .sources.documents import html_nav_links as links
+
+    return table(spark, d, "pages").select("page_id", F.explode(links(F.col("html"))).alias("link"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<p[\s>]')) AS p, len(regexp_extract_all(html, '(?i)<a[\s>]')) AS a, len(regexp_extract_all(html, '(?i)<li[\s>]')) AS li, len(regexp_extract_all(html, '(?i)<img[\s>]')) AS img, len(regexp_extract_all(html, '(?i)<table[\s>]')) AS "table" FROM pages""")
+def html_counts(spark, d):
+    from .sources.documents import html_counts as counts
+
+    return table(spark, d, "pages").select("page_id", counts(F.col("html")).alias("c")).select("page_id", "c.*")
+
+
+@query("SELECT page_id, 0::BIGINT AS tags FROM pages")
+def html_main_text(spark, d):
+    from .sources.documents import html_text
+
+    return table(spark, d, "pages").select("page_id", F.regexp_count(html_text(F.col("html")), F.lit(r"</?(p|div|h1|script|nav)\b")).cast("long").alias("tags"))
+
+
+# --- readers over files: S1, S2, S10, S11 ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.html?$') THEN 'web' END AS format FROM pages")
+def reader_dispatch(spark, d):
+    from .sources.base import format_column
+
+    return table(spark, d, "pages").select("page_id", F.when(format_column(F.col("url")) == "web", "web").alias("format"))
+
+
+@query("SELECT conv_id, count(*) AS records, count(*) FILTER (WHERE role = 'user') AS users FROM conversations GROUP BY conv_id")
+def jsonl_records(spark, d):
+    from .sources.base import probe_files
+
+    line = F.to_json(F.struct("turn", "role", "text"))
+    parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda v: v["x"]), "\n").alias("t"))
+    files = parts.select(F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.col("t").cast("binary").alias("content"))
+    p = probe_files(files, {"filters": [{"field": "role", "value": "user"}], "text_field": "text"})
+    stat = lambda k: F.get_json_object("stats", k).cast("long")
+    return p.select(F.split("path", r"\.")[0].cast("long").alias("conv_id"), stat("$.record_count").alias("records"), stat("$.matched").alias("users"))

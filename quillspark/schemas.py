@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def columns(ddl: str) -> list[tuple[str, str]]:
+    """Names and types of a schema in DDL; needs no session."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            name, _, kind = ddl[start:i].strip().partition(" ")
+            out.append((name, kind.strip()))
+            start = i + 1
+    return out
 
 
 TOC_ENTRY = "STRUCT<level: INT, title: STRING, page: INT, preview: STRING, annotation: STRING>"
@@ -16,21 +22,20 @@ TOPIC = "STRUCT<title: STRING, abstract: STRING, first_paragraph: STRING>"
 STRUCTURE = f"STRUCT<toc: ARRAY<{TOC_ENTRY}>, captions: ARRAY<{CAPTION}>, schema_tree: STRING, columns: ARRAY<STRING>, definitions: ARRAY<STRING>>"
 
 #: What a reader makes of one file. ``stats`` and ``schema_tree`` hold JSON, their values being of mixed types.
-PROBE_DDL = f"path STRING, file_type STRING, topic {TOPIC}, structure {STRUCTURE}, stats STRING, chunks ARRAY<{PROBE_CHUNK}>, brief_intro STRING, instructions STRING, raw_snippet STRING, error STRING"
-PROBE = _struct(PROBE_DDL)
-
-STUBS = _struct("doc_id STRING, filename STRING, brief_intro STRING, instruction STRING, probe_json STRING, source STRING, metadata_json STRING")
-CHUNKS = _struct("chunk_id STRING, doc_id STRING, filename STRING, content STRING, content_tokenized STRING, summary STRING, section STRING, chunk_index INT, vector ARRAY<FLOAT>, is_split BOOLEAN, piece_index INT, total_pieces INT, source STRING, file_type STRING, metadata_json STRING, session_id STRING, indexed_at DOUBLE")
-COLLECTIONS = _struct("name STRING, metadata STRING, watch_paths ARRAY<STRING>, watch_ignore ARRAY<STRING>, auto_add_sources ARRAY<STRING>, created_at DOUBLE, watch_config STRING")
-COLLECTION_DOCS = _struct("name STRING, doc_id STRING")
-CONTENT_HASHES = _struct("hash STRING, doc_id STRING")
-PATH_INDEX = _struct("path STRING, doc_id STRING")
-ACCESS_EVENTS = _struct("doc_id STRING, section STRING, weight DOUBLE, ts DOUBLE")
-TASKS = _struct("doc_id STRING, priority INT, submitted_at DOUBLE, status STRING, error STRING, needs_summarization BOOLEAN")
-FAILURES = _struct("doc_id STRING, ts DOUBLE, error STRING, source STRING, filename STRING")
-TELEMETRY = _struct("doc_id STRING, phase STRING, seconds DOUBLE, tokens LONG, saved_ratio DOUBLE, num_chunks INT")
-OFFSETS = _struct("path STRING, offset LONG")
-FILES = _struct("doc_id STRING, path STRING, suffix STRING, size LONG")
+PROBE = f"path STRING, file_type STRING, topic {TOPIC}, structure {STRUCTURE}, stats STRING, chunks ARRAY<{PROBE_CHUNK}>, brief_intro STRING, instructions STRING, raw_snippet STRING, error STRING"
+
+STUBS = "doc_id STRING, filename STRING, brief_intro STRING, instruction STRING, probe_json STRING, source STRING, metadata_json STRING"
+CHUNKS = "chunk_id STRING, doc_id STRING, filename STRING, content STRING, content_tokenized STRING, summary STRING, section STRING, chunk_index INT, vector ARRAY<FLOAT>, is_split BOOLEAN, piece_index INT, total_pieces INT, source STRING, file_type STRING, metadata_json STRING, session_id STRING, indexed_at DOUBLE"
+COLLECTIONS = "name STRING, metadata STRING, watch_paths ARRAY<STRING>, watch_ignore ARRAY<STRING>, auto_add_sources ARRAY<STRING>, created_at DOUBLE, watch_config STRING"
+COLLECTION_DOCS = "name STRING, doc_id STRING"
+CONTENT_HASHES = "hash STRING, doc_id STRING"
+PATH_INDEX = "path STRING, doc_id STRING"
+ACCESS_EVENTS = "doc_id STRING, section STRING, weight DOUBLE, ts DOUBLE"
+TASKS = "doc_id STRING, priority INT, submitted_at DOUBLE, status STRING, error STRING, needs_summarization BOOLEAN"
+FAILURES = "doc_id STRING, ts DOUBLE, error STRING, source STRING, filename STRING"
+TELEMETRY = "doc_id STRING, phase STRING, seconds DOUBLE, tokens LONG, saved_ratio DOUBLE, num_chunks INT"
+OFFSETS = "path STRING, offset LONG"
+FILES = "doc_id STRING, path STRING, suffix STRING, size LONG"
 
 TABLES = {
     "stubs": STUBS,

@@ -56,3 +56,16 @@ class Settings:
                 setattr(self, f.name, env.lower() in ("1", "true", "yes") if kind is bool else kind(env))
         self.section_heat_half_life = max(1.0, self.section_heat_half_life)
         self.section_heat_max_entries = max(1, self.section_heat_max_entries)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a local temporary one only in local mode with none set."""
+    import tempfile
+    import uuid
+
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return f"{told.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quillspark-")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import PROBE, PROBE_DDL
+from ..schemas import PROBE, columns
 
 #: First match wins.
 FORMATS: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -150,7 +150,7 @@ def parse(path: str, raw: bytes, config: dict | None = None) -> dict:
 
 def probe_files(files: DataFrame, config: dict | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """Rows of ``schemas.PROBE`` for rows with a path and bytes."""
-    names = [f.name for f in PROBE.fields]
+    names = [n for n, _ in columns(PROBE)]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
@@ -163,7 +163,7 @@ def probe_files(files: DataFrame, config: dict | None = None, path: str = "path"
                 rows.append([row.get(n) for n in names])
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, PROBE_DDL)
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInPandas(run, PROBE)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True, config: dict | None = None) -> DataFrame:

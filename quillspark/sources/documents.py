@@ -95,7 +95,7 @@ def html_counts(html: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Main text: scripts, styles, navigation and footers go, blocks become lines, tags and common entities vanish."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header|aside|noscript)\b[^>]*>.*?</\1>", " ")
+    t = F.regexp_replace(html, r"(?is)<(head|script|style|nav|footer|header|aside|noscript)\b[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article|ul|ol|table)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -155,7 +155,7 @@ def markdown(path: str, raw: bytes) -> dict:
 
 
 def _plain(fragment: str) -> str:
-    fragment = re.sub(r"(?is)<(script|style|nav|footer|header|aside|noscript)\b[^>]*>.*?</\1>", " ", fragment)
+    fragment = re.sub(r"(?is)<(head|script|style|nav|footer|header|aside|noscript)\b[^>]*>.*?</\1>", " ", fragment)
     fragment = re.sub(r"(?s)<!--.*?-->", " ", fragment)
     fragment = re.sub(r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article|ul|ol|table)\b[^>]*>", "\n", fragment)
     text = html_lib.unescape(re.sub(r"<[^>]+>", "", fragment))
@@ -259,7 +259,7 @@ def calendar(path: str, raw: bytes) -> dict:
         for line in body.split("\n"):
             name, _, value = line.partition(":")
             key = name.split(";")[0].upper()
-            value = value.replace("\\n", "\n").replace("\\,", ",").replace("\;", ";")
+            value = value.replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";")
             if key == "ATTENDEE":
                 e["attendees"].append(re.sub(r"(?i)^mailto:", "", value))
             elif key:
