@@ -21,8 +21,10 @@ hashes. The steps:
 5. *Verification.* Group pairs are expanded to class pairs, each verified once,
    in one leader's task that holds each class's n-grams once.
 
-A token that is in many prefixes costs a row of the bit matrix per group, and
-no row is capped or dropped.
+No candidate is capped or dropped. A batch sends an n-gram that many of its
+documents hold once, with their number, so the most frequent n-gram puts no
+more rows into a bucket than there are batches times ``HOT``; a token that is
+in many prefixes costs a row of the bit matrix per group.
 
 Defined results: a null or blank text has no n-grams and pairs with nothing; a
 text with fewer than n words has one n-gram of all its words; a row without id
@@ -34,7 +36,7 @@ same order when it is read again, as files do.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,10 @@ _M48 = np.uint64((1 << BITS) - 1)
 _S16 = np.uint64(16)
 #: Most documents, and about the most bytes of text, that a batch may hold.
 FLUSH_ROWS, FLUSH_BYTES = 1 << 14, 32_000_000
+#: An n-gram of more documents of a batch than this is sent once, with their number, and stands for them all.
+HOT, ALL = 64, 0xFFFF
+#: Class pairs that one verification task holds at once.
+PART_PAIRS = 1 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -106,32 +112,43 @@ def _tokenise(n: int, buckets: int):
                     continue
                 k, i = part.column("k").to_numpy(), part.column("i").to_numpy()
                 flush = tc.signed(tc.mix64(k.view(np.uint64)).sum() + np.uint64(len(k)))
-                table = k.tobytes() + i.tobytes() + size.tobytes()
-                yield _rows([1], [flush], [table])
-                cut = np.append(np.searchsorted(tokens >> _S16, edges), len(tokens))
-                full = np.flatnonzero(np.diff(cut))
-                head = np.int64(flush).tobytes()
+                value = tokens >> _S16
+                first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+                count = np.diff(np.append(first, len(value)))
+                hot = count > HOT
+                many = np.repeat(hot, count)
+                common, times = value[first[hot]], count[hot].astype(np.uint32)
+                yield _rows([1], [flush], [np.array([len(k), len(common)], np.int64).tobytes() + k.tobytes() + i.tobytes() + size.tobytes() + pack48(common) + times.tobytes() + (tokens[many] & np.uint64(ALL)).astype(np.uint16).tobytes()])
+                tokens, value = tokens[~many], value[~many]
+                cut, hcut = np.append(np.searchsorted(value, edges), len(value)), np.append(np.searchsorted(common, edges), len(common))
+                full = np.flatnonzero(np.diff(cut) + np.diff(hcut))
                 for at in range(0, len(full), 64):
-                    some = full[at : at + 64]
-                    yield _rows([0] * len(some), some, [head + _planes(tokens[cut[b] : cut[b + 1]]) for b in some])
+                    some, blobs = full[at : at + 64], []
+                    for b in some:
+                        x, y = hcut[b], hcut[b + 1]
+                        blobs.append(np.array([flush, y - x], np.int64).tobytes() + pack48(common[x:y]) + times[x:y].tobytes() + _planes(tokens[cut[b] : cut[b + 1]]))
+                    yield _rows([0] * len(some), some, blobs)
 
     return run
 
 
 def _frequent(table: pa.Table) -> pa.Table:
     """One bucket of n-grams: for every batch, its n-grams that two documents or more hold, with their frequency."""
-    blobs = table.column("blob").to_pylist()
-    flushes = np.array([np.frombuffer(b[:8], np.int64)[0] for b in blobs])
-    parts = [_unplanes(b[8:]) for b in blobs]
-    value = np.concatenate(parts)
+    flushes, parts, weights = [], [], []
+    for b in table.column("blob").to_pylist():
+        flush, n = np.frombuffer(b, np.int64, 2)
+        hot, cold = unpack48(b[16 : 16 + 6 * n]), _unplanes(b[16 + 10 * n :])
+        flushes.append(flush)
+        parts.append(np.concatenate([(hot << _S16) | np.uint64(ALL), cold]))
+        weights.append(np.concatenate([np.frombuffer(b, np.uint32, n, 16 + 6 * n).astype(np.int64), np.ones(len(cold), np.int64)]))
+    flushes, value, weight = np.array(flushes), np.concatenate(parts), np.concatenate(weights)
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    del parts, blobs
+    del parts, weights
     order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
+    value, owner, weight = value[order], owner[order], weight[order]
     token = value >> _S16
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(first, len(token)))
-    df = np.repeat(np.minimum(count, 65535), count)
+    df = np.repeat(np.minimum(np.add.reduceat(weight, first), 65535), np.diff(np.append(first, len(token))))
     keep = df > 1
     value, owner, df = value[keep], owner[keep], df[keep].astype(np.uint16)
     order = np.argsort(owner, kind="stable")
@@ -157,16 +174,26 @@ def _prefixes(threshold: float):
         answers = [b for kind, b in zip(kinds, blobs) if kind == 2]
         if not docs or not answers:
             return schema.empty_table()
-        n = len(docs) // 20
-        k, i = np.frombuffer(docs, np.int64, n), np.frombuffer(docs, np.int64, n, 8 * n)
-        size = np.frombuffer(docs, np.uint32, n, 16 * n).astype(np.int64)
+        n, m = map(int, np.frombuffer(docs, np.int64, 2))
+        k, i = np.frombuffer(docs, np.int64, n, 16), np.frombuffer(docs, np.int64, n, 16 + 8 * n)
+        size = np.frombuffer(docs, np.uint32, n, 16 + 16 * n).astype(np.int64)
+        at = 16 + 20 * n
+        common, times = unpack48(docs[at : at + 6 * m]), np.frombuffer(docs, np.uint32, m, at + 6 * m).astype(np.int64)
+        holders = np.frombuffer(docs, np.uint16, int(times.sum()), at + 10 * m).astype(np.uint64)
         df, value = [], []
         for b in answers:
             m = len(b) // 10
             df.append(np.frombuffer(b, np.uint16, m))
             value.append(_unplanes(b[2 * m :]))
         df, value = np.concatenate(df).astype(np.uint64), np.concatenate(value)
-        doc, token = (value & np.uint64(0xFFFF)).astype(np.int64), value >> _S16
+        every = (value & np.uint64(ALL)) == ALL
+        if every.any():  # n-grams that stand for all their documents of this batch
+            where = np.searchsorted(common, value[every] >> _S16)
+            c, head = times[where], np.cumsum(times) - times
+            index = np.repeat(head[where] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            value = np.concatenate([value[~every], np.repeat(value[every] - np.uint64(ALL), c) | holders[index]])
+            df = np.concatenate([df[~every], np.repeat(df[every], c)])
+        doc, token = (value & np.uint64(ALL)).astype(np.int64), value >> _S16
         order = np.argsort(token, kind="stable")
         order = order[np.argsort((doc[order].astype(np.uint64) << _S16) | df[order], kind="stable")]
         doc, token = doc[order], token[order]  # by document, then frequency, then hash
@@ -219,16 +246,20 @@ def _leaders(table: pa.Table) -> pa.Table:
     )
 
 
-def _group_pairs(threshold: float, tile: int = 2048):
-    """A leader's posting lists: every pair of groups that share a list and may reach the threshold, once."""
+def _group_pairs(threshold: float, tile: int = 1024):
+    """A leader's posting lists: every pair of groups that share a list and may reach the threshold, once.
 
-    def run(table: pa.Table) -> pa.Table:
-        leader = table.column("leader")[0].as_py()
-        lists, sizes = [], []
-        for b in table.column("list").to_pylist():
-            m = len(b) // 12
-            lists.append(np.frombuffer(b, np.int64, m))
-            sizes.append(np.frombuffer(b, np.int32, m, 8 * m))
+    Pairs leave tile by tile, so a cluster of many thousands of copies takes no more memory than its lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, lists, sizes = None, [], []
+        for batch in batches:
+            leader = batch.column("leader")[0].as_py()
+            for b in batch.column("list").to_pylist():
+                m = len(b) // 12
+                lists.append(np.frombuffer(b, np.int64, m))
+                sizes.append(np.frombuffer(b, np.int32, m, 8 * m))
         every = np.concatenate(lists)
         size_of = np.concatenate(sizes).astype(np.int64)
         order = np.lexsort((every, size_of))  # local numbers rise with the size
@@ -236,7 +267,6 @@ def _group_pairs(threshold: float, tile: int = 2048):
         ids, size = every[order][first], size_of[order][first]
         back = np.argsort(ids, kind="stable")
         local = [np.sort(back[np.searchsorted(ids, x, sorter=back)]) for x in lists]
-        a, b = [], []
         n = len(ids)
         for lo in range(0, n, tile):
             hi = min(n, lo + tile)
@@ -249,16 +279,14 @@ def _group_pairs(threshold: float, tile: int = 2048):
                     seen[np.ix_(x[s[0] : s[1]] - lo, x[s[0] : s[2]] - lo)] = True
             r, c = np.nonzero(np.triu(seen, 1))
             fits = size[r + lo] >= threshold * size[c + lo] - 1e-9
-            a.append(ids[r[fits] + lo])
-            b.append(ids[c[fits] + lo])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"ga": pa.array(np.minimum(a, b)), "gb": pa.array(np.maximum(a, b)), "leader": pa.array(np.full(len(a), leader), pa.int64())})
+            a, b = ids[r[fits] + lo], ids[c[fits] + lo]
+            yield pa.record_batch({"ga": pa.array(np.minimum(a, b)), "gb": pa.array(np.maximum(a, b)), "leader": pa.array(np.full(len(a), leader), pa.int64())})
 
     return run
 
 
 def _verify(threshold: float):
-    """A leader's class pairs and classes: the pairs that reach the threshold, with their similarity."""
+    """Part of a leader's class pairs, and their classes: the pairs that reach the threshold, with their similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -332,11 +360,14 @@ def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = found.join(side("a"), "ga").join(side("b"), "gb").select("a", "b", "leader")
     within = side("a").withColumnRenamed("ga", "leader").join(side("b").withColumnRenamed("gb", "leader"), "leader").where("a < b").select("a", "b", "leader")
     pairs = materialise(across.union(within))
-    needed = pairs.select("leader", F.col("a").alias("cls")).union(pairs.select("leader", F.col("b").alias("cls"))).distinct()
+    # a leader with many pairs is split by their first class, so that no task holds more than a part
+    load = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(PART_PAIRS))).alias("parts"))
+    pairs = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    needed = pairs.select("leader", "part", F.col("a").alias("cls")).union(pairs.select("leader", "part", F.col("b").alias("cls"))).distinct()
     sets = indexed.groupBy("cls").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    shipped = needed.join(sets, "cls").select("leader", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens")
-    work = shipped.union(pairs.select("leader", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
-    good = work.groupBy("leader").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
+    shipped = needed.join(sets, "cls").select("leader", "part", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens")
+    work = shipped.union(pairs.select("leader", "part", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
+    good = work.groupBy("leader", "part").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     return indexed.select("cls", "id").distinct(), good
 
 
