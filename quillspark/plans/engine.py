@@ -8,7 +8,7 @@ import time
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -22,6 +22,11 @@ from . import models
 from .catalog import Catalog, route
 
 
+def _shown(path: str) -> Column:
+    """A file's name; for content without a file the name it was given."""
+    return F.regexp_replace(file_name(path), "^__content__:", "")
+
+
 class Engine:
     """One catalog with its settings and plug-ins. Results are DataFrames, or dicts where one document is asked for."""
 
@@ -116,10 +121,10 @@ class Engine:
     def _write_stubs(self, probed: DataFrame, source: str, meta: dict) -> None:
         intro = brief_intro("topic.title", "topic.abstract", "topic.first_paragraph", "brief_intro")
         whole = F.to_json(F.struct("file_type", "topic", "structure", "stats", "raw_snippet"))
-        self.catalog.append("stubs", probed.select("doc_id", file_name("path").alias("filename"), intro.alias("brief_intro"), F.col("instructions").alias("instruction"), whole.alias("probe_json"), F.lit(source).alias("source"), F.lit(json.dumps(meta)).alias("metadata_json")))
+        self.catalog.append("stubs", probed.select("doc_id", _shown("path").alias("filename"), intro.alias("brief_intro"), F.col("instructions").alias("instruction"), whole.alias("probe_json"), F.lit(source).alias("source"), F.lit(json.dumps(meta)).alias("metadata_json")))
 
     def _write_chunks(self, probed: DataFrame, source: str, meta: dict, summarize: bool, stamp: float) -> None:
-        c = probed.select("doc_id", file_name("path").alias("filename"), F.col("file_type"), F.explode("chunks").alias("c"))
+        c = probed.select("doc_id", _shown("path").alias("filename"), F.col("file_type"), F.explode("chunks").alias("c"))
         c = c.select("doc_id", "filename", "file_type", F.col("c.content").alias("content"), F.col("c.index").alias("chunk_index"), F.col("c.section").alias("section"))
         c = summaries.summarise(c, self.summariser if summarize else None)
         if not summarize:
