@@ -100,7 +100,7 @@ def test_repeats_within_one_document(frame, prose):
     assert [(r["doc_id"], r["first_doc_id"]) for r in got] == [(1, 1)] and got[0]["start_byte"] > len(p)
 
 
-# --- prefix-free parsing -----------------------------------------------------------------------------------------------
+# --- prefix-free parsing ---
 
 
 def test_parse_overlaps_by_windows_and_is_prefix_free(prose):

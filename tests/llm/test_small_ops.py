@@ -13,7 +13,7 @@ from quillspark.llm import block_knn, langid, license_scan, mixing, packing, qua
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-# --- packing ---------------------------------------------------------------------------------------------------------------
+# --- packing ---
 
 
 def padding(hist, edges):
@@ -65,7 +65,7 @@ def test_token_counts_round_trip(frame):
         assert got[i] == len(ids) and enc.decode(ids) == (t or "")
 
 
-# --- mixing ----------------------------------------------------------------------------------------------------------------
+# --- mixing ---
 
 
 def test_budgets_follow_weights_and_redistribute():
@@ -126,7 +126,7 @@ def test_mix_odd_rows(frame):
     assert mixing.mix(frame([]), [F.col("lang")], None).count() == 0
 
 
-# --- licenses ----------------------------------------------------------------------------------------------------------------
+# --- licenses ---
 
 
 def test_licenses_found_with_spans(frame, prose):
@@ -169,7 +169,7 @@ def test_winnowing_guarantee():
     assert np.diff(at).max() <= 4
 
 
-# --- languages ---------------------------------------------------------------------------------------------------------------
+# --- languages ---
 
 
 @pytest.fixture(scope="module")
@@ -213,7 +213,7 @@ def test_language_id_without_labels(frame):
     assert langid.identify(frame([])).count() == 0
 
 
-# --- quality rules -------------------------------------------------------------------------------------------------------------
+# --- quality rules ---
 
 
 def test_quality_rules_equal_sql(spark, frame, prose):
@@ -237,7 +237,7 @@ def test_rules_are_one_projection(frame):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
-# --- neighbours ------------------------------------------------------------------------------------------------------------------
+# --- neighbours ---
 
 
 def exact(x, ids, k):
