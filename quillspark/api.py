@@ -1,18 +1,35 @@
-"""Module-level functions over one engine, which ``configure`` replaces."""
+"""Module-level functions over one engine, which ``configure`` replaces.
+
+Options are keywords, with the defaults of the tables below; an unknown one is
+a ``TypeError``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.engine import CollectionHandle, Engine
 from .plans.models import Adaptor
+from .plans.skill import export_skill, get_system_prompt, get_tool_schemas  # noqa: F401
 from .session import Settings, build_session
 
 _ENGINE: Engine | None = None
 
+#: How to index. ``wait``: embed now rather than queue. ``force``: even if the content is known.
+INDEX = dict(source="", collection=None, metadata=None, wait=False, force=False, summarize=False, use_llm_instructions=False)
+#: How to search. ``top_k`` counts chunks; ``with_metadata`` follows ``toc_only`` unless given.
+SEARCH = dict(source=None, collections=None, doc_ids=None, filters=None, top_k=5, hybrid=False, toc_only=False, with_metadata=None)
+GROUPED = {k: v for k, v in SEARCH.items() if k not in ("toc_only", "with_metadata")}
+
+
+def _take(given: dict, known: dict) -> dict:
+    odd = given.keys() - known.keys()
+    if odd:
+        raise TypeError(f"unknown options: {', '.join(sorted(odd))}")
+    return {**known, **given}
+
 
 def configure(settings: Settings | None = None, *, spark: SparkSession | None = None, **plug_ins: Any) -> Engine:
     """Starts anew with these settings."""
@@ -26,30 +43,33 @@ def engine() -> Engine:
     return _ENGINE or configure()
 
 
-def add(path: str, *, force: bool = False, summarize: bool = False, use_llm_instructions: bool = False, wait: bool = False, source: str = "", metadata: dict | None = None, collection: str | None = None) -> str:
-    return engine().add(path, force=force, summarize=summarize, use_llm_instructions=use_llm_instructions, wait=wait, source=source, metadata=metadata, collection=collection)
+def add(path: str, **options: Any) -> str:
+    """Indexes a file; options of ``INDEX``."""
+    return engine().add(path, **_take(options, INDEX))
 
 
-def add_batch(paths: Sequence[str], *, force: bool = False, summarize: bool = False, source: str = "", metadata: dict | None = None) -> list[str]:
-    return engine().add_batch(paths, force=force, summarize=summarize, source=source, metadata=metadata)
+def add_batch(paths: list[str], **options: Any) -> list[str]:
+    """Indexes files in one job; options of ``INDEX``, waiting unless told otherwise."""
+    return engine().add_batch(paths, **_take(options, {**INDEX, "wait": True}))
 
 
-def add_content(content: str | bytes, filename: str, *, content_type: str = "text/plain", force: bool = False, summarize: bool = False, wait: bool = True, source: str = "", metadata: dict | None = None, collection: str | None = None) -> str:
-    """Content without a file is embedded at once: there is no file to come back to."""
-    return engine().add_content(content, filename, content_type=content_type, force=force, summarize=summarize, wait=True, source=source, metadata=metadata, collection=collection)
+def add_content(content: str | bytes, filename: str, **options: Any) -> str:
+    """Indexes text, at once: there is no file to come back to. Options of ``INDEX``, and ``content_type``."""
+    how = _take(options, {**INDEX, "content_type": None})
+    return engine().add_content(content, filename, **{**how, "wait": True})
 
 
-def search(query: str, *, top_k: int = 5, hybrid: bool = False, toc_only: bool = False, source: str | None = None, with_metadata: bool | None = None, collections: Sequence[str] | None = None, doc_ids: Sequence[str] | None = None, filters: dict | None = None) -> list[dict]:
-    df = engine().search(query, top_k=top_k, hybrid=hybrid, toc_only=toc_only, source=source, with_metadata=with_metadata, collections=collections, doc_ids=doc_ids, filters=filters)
-    return [r.asDict(recursive=True) for r in df.collect()]
+def search(query: str, **options: Any) -> list[dict]:
+    """The best chunks, or documents with their sections; options of ``SEARCH``."""
+    return [r.asDict(recursive=True) for r in engine().search(query, **_take(options, SEARCH)).collect()]
 
 
-def search_grouped(query: str, *, top_k: int = 5, hybrid: bool = False, source: str | None = None, collections: Sequence[str] | None = None, doc_ids: Sequence[str] | None = None, filters: dict | None = None) -> list[dict]:
-    df = engine().search_grouped(query, top_k=top_k, hybrid=hybrid, source=source, collections=collections, doc_ids=doc_ids, filters=filters)
-    return [r.asDict(recursive=True) for r in df.collect()]
+def search_grouped(query: str, **options: Any) -> list[dict]:
+    """The best chunks by document; options of ``GROUPED``."""
+    return [r.asDict(recursive=True) for r in engine().search_grouped(query, **_take(options, GROUPED)).collect()]
 
 
-def inspect(doc_id: str, *, sections: Sequence[str] | None = None, full: bool = False) -> dict | None:
+def inspect(doc_id: str, sections: list[str] | None = None, full: bool = False) -> dict | None:
     return engine().inspect(doc_id, sections=sections, full=full)
 
 
@@ -57,11 +77,11 @@ def get_doc_meta(doc_id: str) -> dict | None:
     return engine().get_doc_meta(doc_id)
 
 
-def read_segment(doc_id: str, section_path: str, *, include_summary: bool = True) -> dict:
+def read_segment(doc_id: str, section_path: str, include_summary: bool = True) -> dict:
     return engine().read_segment(doc_id, section_path, include_summary=include_summary)
 
 
-def read_structured(path: str, *, sections: Sequence[str] | None = None, include_content: bool = False) -> dict:
+def read_structured(path: str, sections: list[str] | None = None, include_content: bool = False) -> dict:
     return engine().read_structured(path, sections=sections, include_content=include_content)
 
 
@@ -84,7 +104,7 @@ def get_status(doc_id: str) -> dict:
     return engine().get_status(doc_id)
 
 
-def wait_for(doc_id: str, timeout: float = 300) -> bool:
+def wait_for(doc_id: str, timeout: int | float = 300) -> bool:
     return engine().wait_for(doc_id, timeout)
 
 
@@ -108,8 +128,9 @@ def collections() -> list[str]:
     return engine().catalog.list_collections()
 
 
-def create_collection(name: str, *, metadata: dict | None = None, watch_paths: list[str] | None = None, watch_ignore: list[str] | None = None, auto_add_sources: list[str] | None = None) -> dict:
-    engine().catalog.put_collection(name, metadata, watch_paths, watch_ignore, auto_add_sources)
+def create_collection(name: str, **fields: Any) -> dict:
+    """Makes or changes a collection: ``metadata``, ``watch_paths``, ``watch_ignore``, ``auto_add_sources``."""
+    engine().catalog.put_collection(name, **_take(fields, dict.fromkeys(("metadata", "watch_paths", "watch_ignore", "auto_add_sources"))))
     return get_collection_info(name) or {}
 
 
@@ -133,7 +154,8 @@ def delete(doc_id: str) -> bool:
     return engine().delete(doc_id)
 
 
-def delete_by_session_id(session_id: str, collection: str | None = None) -> list[str]:
+def delete_by_session_id(session_id, collection=None) -> list[str]:
+    """Removes a session's documents, of one collection where named; their ids."""
     return engine().catalog.delete_session(session_id, collection)
 
 

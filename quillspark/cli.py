@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-c", "--collection")
     c = add("search", "search")
     c.add_argument("query")
-    c.add_argument("-k", "--top-k", type=int, default=5)
+    c.add_argument("-k", "--top-k", default=5, type=int)
     c.add_argument("--hybrid", action="store_true")
     c.add_argument("--toc", action="store_true")
     c.add_argument("--source")

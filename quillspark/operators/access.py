@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 class AccessQueues:
     """Both queues in order of insertion, oldest first."""
 
-    def __init__(self, recent_size: int = 200, hot_size: int = 50):
+    def __init__(self, recent_size=200, hot_size=50):
         self.recent_size, self.hot_size = max(1, recent_size), max(1, hot_size)
         self.recent: OrderedDict[str, float] = OrderedDict()
         self.hot: OrderedDict[str, float] = OrderedDict()

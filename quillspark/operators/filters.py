@@ -12,8 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "like", "between")
-_NAME = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
+OPS = tuple("eq neq gt gte lt lte in like between".split())
+_NAME = re.compile(r"[A-Za-z_]\w*", re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -21,17 +21,18 @@ class MetadataFilter:
     """One comparison of a column with a value; invalid ones raise ``ValueError``."""
 
     field: str
-    op: str
-    value: Any
+    op: str = "eq"
+    value: Any = None
 
     def __post_init__(self) -> None:
-        if not _NAME.match(self.field):
+        if not _NAME.fullmatch(self.field):
             raise ValueError(f"not a column name: {self.field!r}")
         if self.op not in OPS:
             raise ValueError(f"unknown operator {self.op!r}; known: {', '.join(OPS)}")
-        if self.op == "in" and not isinstance(self.value, (list, tuple, set, frozenset)):
+        many, pair = (list, tuple, set, frozenset), (list, tuple)
+        if not isinstance(self.value, many) and self.op == "in":
             raise ValueError("'in' takes a list, tuple or set")
-        if self.op == "between" and (not isinstance(self.value, (list, tuple)) or len(self.value) != 2):
+        if self.op == "between" and not (isinstance(self.value, pair) and len(self.value) == 2):
             raise ValueError("'between' takes a pair")
 
     def column(self) -> Column:

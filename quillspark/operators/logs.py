@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL = r"(?i)\b(TRACE|DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL)\b"
-LEVEL_ORDER = ("FATAL", "CRITICAL", "ERROR", "WARNING", "WARN", "INFO", "DEBUG", "TRACE")
+LEVEL_ORDER = tuple("FATAL CRITICAL ERROR WARNING WARN INFO DEBUG TRACE".split())
+_CLOCK = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
+#: ISO, syslog, common log format, epoch seconds.
 TIMES = (
-    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
-    r"[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
-    r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}",
-    r"\b1[0-9]{9}(?:\.\d+)?\b",
+    r"[0-9]{4}(?:-[0-9]{2}){2}[ T]" + _CLOCK + r"(?:[,.][0-9]+)?(?:[+-][0-9]{2}:?[0-9]{2}|Z)?",
+    r"[A-Z][a-z]{2}[ ]+[0-9]{1,2}[ ]+" + _CLOCK,
+    r"[0-9]{2}/[A-Z][a-z]{2}/[0-9]{4}:" + _CLOCK,
+    r"\b1[0-9]{9}(?:[.][0-9]+)?\b",
 )
 STOP = ("the and for with from this that have has been was were are not but you your its into out about will can all any new get set via per when then than our").split()
 
@@ -56,7 +58,7 @@ def keywords(lines: DataFrame, partition: list[str], order: str = "line_no", tex
     """The n most frequent words of three letters or more, times, levels and stop words left out; of equally frequent
     ones those that come first."""
     bare = F.regexp_replace(F.regexp_replace(text, TIMES[0], " "), LEVEL, " ")
-    words = lines.select(*partition, order, F.posexplode(F.regexp_extract_all(bare, F.lit(r"[a-zA-Z_]\w{2,}"), F.lit(0))).alias("__p", "w"))
+    words = lines.select(*partition, order, F.posexplode(F.regexp_extract_all(bare, F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("__p", "w"))
     words = words.select(*partition, F.lower("w").alias("keyword"), F.struct(F.col(order), F.col("__p")).alias("at")).where(~F.col("keyword").isin(STOP))
     counts = words.groupBy(*partition, "keyword").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     w = Window.partitionBy(*partition).orderBy(F.desc("n"), "at")

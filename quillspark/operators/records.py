@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPS = ("eq", "neq", "in", "nin", "gt", "gte", "lt", "lte", "exists", "regex", "contains")
+OPS = tuple("eq neq in nin gt gte lt lte exists regex contains".split())
 _MANY = "array<variant>"
 
 
@@ -77,7 +77,8 @@ class RecordFilter:
         check_path(self.field)
         if self.op not in OPS:
             raise ValueError(f"unknown operator {self.op!r}; known: {', '.join(OPS)}")
-        if self.op in ("in", "nin") and not isinstance(self.value, (list, tuple, set, frozenset)):
+        several = (list, tuple, set, frozenset)
+        if self.op.endswith("in") and not isinstance(self.value, several):
             raise ValueError(f"{self.op!r} takes a list")
 
     def column(self, record: Column) -> Column:

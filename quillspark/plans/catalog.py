@@ -22,7 +22,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str, keep_versions: int = 2):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep_versions
 
-    # -- storage ------------------------------------------------------------------------------------------------------
+    # -- storage ---
 
     def _path(self, *parts: str):
         jvm = self.spark._jvm
@@ -93,7 +93,7 @@ class Catalog:
         cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])]
         self.overwrite(table, rest.unionByName(df.select(*cols)))
 
-    # -- documents --------------------------------------------------------------------------------------------------------
+    # -- documents ---
 
     def replace_chunks(self, rows: DataFrame) -> None:
         """All chunks of the rows' documents become the rows; columns that begin with ``_`` are dropped."""
@@ -104,7 +104,7 @@ class Catalog:
         for t in ("stubs", "chunks", "content_hashes", "path_index", "files"):
             self.delete_matching(t, ids)
 
-    def delete_session(self, session_id: str, collection: str | None = None) -> list[str]:
+    def delete_session(self, session_id, collection=None) -> list[str]:
         """Removes the documents of a session, of one collection where named; returns their ids."""
         found = self.read("chunks").where(F.col("session_id") == session_id).select("doc_id").distinct()
         if collection is not None:
@@ -116,13 +116,13 @@ class Catalog:
             self.delete_matching("collection_docs", ids)
         return gone
 
-    # -- collections ----------------------------------------------------------------------------------------------------------
+    # -- collections ---
 
     def put_collection(self, name: str, metadata: dict | None = None, watch_paths: list[str] | None = None, watch_ignore: list[str] | None = None, auto_add_sources: list[str] | None = None, watch_config: dict | None = None, now: float | None = None) -> None:
         """Creates a collection or changes the fields given; watch settings inside metadata move to their own fields."""
         if not name:
             raise ValueError("a collection needs a name")
-        old = self.get_collection(name) or {"metadata": {}, "watch_paths": [], "watch_ignore": [], "auto_add_sources": [], "created_at": time.time() if now is None else now, "watch_config": None}
+        old = self.get_collection(name) or dict(created_at=time.time() if now is None else now, metadata={}, auto_add_sources=[], watch_paths=[], watch_ignore=[], watch_config=None)
         meta = dict(metadata) if metadata is not None else None
         if meta is not None:
             watch_paths = meta.pop("watch_paths", None) if watch_paths is None else watch_paths

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.text import brief_intro, file_name, suffix
-from ..operators import chunking, dedup, filters, fts, heat, search, summaries, tasks, toc
+from ..operators import chunking, dedup, filters, fts, heat, search, summaries, tasks, telemetry, toc
 from ..operators.access import AccessQueues
 from ..schemas import TOC_ENTRY
 from ..session import Settings
@@ -38,7 +38,7 @@ class Engine:
         self.summariser, self.adaptors = summariser, []
         self.access = AccessQueues(self.settings.access_recent_size, self.settings.access_hot_size)
 
-    # -- ingest --------------------------------------------------------------------------------------------------------
+    # -- ingest ---
 
     def add(self, path: str, **how: Any) -> str:
         """Indexes one file and returns its document's id."""
@@ -55,14 +55,14 @@ class Engine:
         found = self.index(files, **how)
         return [found[p] for p in full]
 
-    def add_content(self, content: str | bytes, filename: str, *, content_type: str = "text/plain", **how: Any) -> str:
+    def add_content(self, content: str | bytes, filename: str, content_type: str | None = None, **how: Any) -> str:
         """Indexes text without a file. A name whose format is unknown counts as Markdown."""
         raw = content.encode() if isinstance(content, str) else content
         name = filename if base.format_of(filename) else filename + ".md"
         row = self.spark.createDataFrame([(dedup.synthetic_path(name), bytearray(raw))], "path string, content binary")
         return self.index(row, **how)[dedup.synthetic_path(name)]
 
-    def index(self, files: DataFrame, *, force: bool = False, summarize: bool = False, use_llm_instructions: bool = False, wait: bool = True, source: str = "", metadata: dict | None = None, collection: str | None = None, probe_config: dict | None = None, now: float | None = None) -> dict[str, str]:
+    def index(self, files: DataFrame, *, source: str = "", collection: str | None = None, metadata: dict | None = None, wait: bool = True, force: bool = False, summarize: bool = False, probe_config: dict | None = None, now: float | None = None, use_llm_instructions: bool = False) -> dict[str, str]:
         """Indexes ``(path, content)`` rows and returns ``{path: doc_id}``.
 
         Content that is known keeps its document, unless forced; a path with new
@@ -84,20 +84,24 @@ class Engine:
             gone = [r[0] for r in old.union(ident.select("doc_id")).distinct().collect()]
             if not self.catalog.read("stubs").where(F.col("doc_id").isin(gone)).isEmpty():
                 self.catalog.delete_documents(self.spark.createDataFrame([(x,) for x in gone], "doc_id string"))
+            clock = telemetry.Clock()
             probed = base.probe_files(fresh.where("mine").select("path", "content"), probe_config)
             probed = probed.join(ident.where("mine").select("path", "doc_id"), "path").persist()
             bad = probed.where("error is not null").select("doc_id", "path", "error").collect()
             good = probed.where("error is null")
+            clock.lap("probe")
             self._write_stubs(good, source, meta)
             self.catalog.append("content_hashes", ident.where("mine").select("hash", "doc_id"))
             sizes = fresh.where("mine").select("path", F.length("content").cast("long").alias("size"))
             self.catalog.append("files", good.join(sizes, "path").select("doc_id", "path", suffix("path").alias("suffix"), "size"))
             if wait:
                 self._write_chunks(good, source, meta, summarize, stamp)
+                clock.lap("embedding")
             else:
                 self.catalog.append("tasks", good.select("doc_id", F.lit(0).alias("priority"), F.lit(stamp).alias("submitted_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(summarize).alias("needs_summarization")))
             if bad:
                 self.catalog.append("failures", self.spark.createDataFrame([(r["doc_id"], stamp, r["error"], source, r["path"]) for r in bad], "doc_id string, ts double, error string, source string, filename string"))
+            self.catalog.append("telemetry", telemetry.measures(good, fresh.where("mine").select("path", F.length("content").alias("size")), clock.laps))
             for a in self.adaptors:
                 for doc in dict.fromkeys(r["doc_id"] for r in ident.collect()):
                     a.on_document_indexed(doc, {"source": source, **meta})
@@ -156,9 +160,9 @@ class Engine:
             self.catalog.overwrite("tasks", queue.withColumn("status", done))
         return len(todo)
 
-    # -- search --------------------------------------------------------------------------------------------------------------
+    # -- search ---
 
-    def _scored(self, query: str, top_k: int, hybrid: bool, doc_ids, source, collections, conditions, now: float | None) -> DataFrame:
+    def _scored(self, query: str, top_k: int, conditions, *, hybrid: bool, source, collections, doc_ids, now: float | None) -> DataFrame:
         s = self.settings
         for a in self.adaptors:
             query = a.transform_query(query)
@@ -185,11 +189,12 @@ class Engine:
             score = F.col("_final_score")
         return hits.withColumn("score", score).orderBy("score", "chunk_id").limit(top_k)
 
-    def search(self, query: str, *, top_k: int = 5, hybrid: bool = False, doc_ids: Sequence[str] | None = None, toc_only: bool = False, source: str | None = None, with_metadata: bool | None = None, collections: Sequence[str] | None = None, filters: dict | None = None, record_heat: bool = True, now: float | None = None) -> DataFrame:
+    def search(self, query: str, *, filters: dict | None = None, source: str | None = None, collections: Sequence[str] | None = None, doc_ids: Sequence[str] | None = None, top_k: int = 5, toc_only: bool = False, hybrid: bool = False, with_metadata: bool | None = None, record_heat: bool = True, now: float | None = None) -> DataFrame:
         """The best chunks, or with ``toc_only`` one row per document with its matching sections."""
-        hits = self._scored(query, top_k, hybrid, None if doc_ids is None else list(doc_ids), source, None if collections is None else list(collections), filters, now).persist()
+        hits = self._scored(query, top_k, filters, hybrid=hybrid, source=source, collections=None if collections is None else list(collections), doc_ids=None if doc_ids is None else list(doc_ids), now=now).persist()
         if record_heat:
             self.record_access(hits, heat.WEIGHTS["search"], now)
+            self._hurry(hits)
         meta = toc_only if with_metadata is None else with_metadata
         extra = ["filename", "brief_intro", *(["instruction", "metadata_json"] if meta else [])]
         shaped = search.toc_by_document(hits) if toc_only else hits.select("chunk_id", "doc_id", "chunk_index", "section", "content", "summary", "source", "score")
@@ -204,7 +209,14 @@ class Engine:
         grouped = search.group_by_document(hits.drop("filename", "brief_intro"), ["chunk_id", "chunk_index", "section", "content", "summary", "score"])
         return search.with_stub(grouped, self.catalog.read("stubs"), ["filename", "brief_intro", "instruction"]).orderBy("score", "doc_id")
 
-    # -- heat ----------------------------------------------------------------------------------------------------------------------
+    # -- heat ---
+
+    def _hurry(self, hits: DataFrame) -> None:
+        """Documents of hits that still wait to be embedded move up in the queue."""
+        queue = self.catalog.read("tasks")
+        waiting = queue.where(F.col("status") == "pending")
+        if not waiting.join(hits.select("doc_id"), "doc_id", "left_semi").isEmpty():
+            self.catalog.overwrite("tasks", tasks.bump(queue, hits))
 
     def record_access(self, sections: DataFrame, weight: float, now: float | None = None) -> None:
         rows = sections.where(F.trim(F.coalesce("section", F.lit(""))) != "").select("doc_id", "section").distinct()
@@ -223,7 +235,7 @@ class Engine:
             self.add(path, summarize=True)
         return {"path": path, "promoted": promoted, "is_hot": path in self.access.hot, "is_recent": path in self.access.recent, "stats": self.access.stats()}
 
-    # -- reading --------------------------------------------------------------------------------------------------------------------
+    # -- reading ---
 
     def _stub(self, doc_id: str) -> dict | None:
         r = self.catalog.read("stubs").where(F.col("doc_id") == doc_id).first()
@@ -242,7 +254,7 @@ class Engine:
         if stub is None:
             return None
         p = json.loads(stub["probe_json"])
-        return {"doc_id": doc_id, "filename": stub["filename"], "brief_intro": stub["brief_intro"], "instructions": stub["instruction"], "file_type": p.get("file_type"), "source": stub["source"], "metadata": json.loads(stub["metadata_json"] or "{}"), "toc": p.get("structure", {}).get("toc", []), "processing_status": self.get_status(doc_id)["status"]}
+        return {"doc_id": doc_id, "filename": stub["filename"], "brief_intro": stub["brief_intro"], "instructions": stub["instruction"], "file_type": p.get("file_type"), "source": stub["source"], "metadata": json.loads(stub["metadata_json"] or "{}"), "toc": (p.get("structure") or {}).get("toc") or [], "processing_status": self.get_status(doc_id)["status"]}
 
     def inspect(self, doc_id: str, *, sections: Sequence[str] | None = None, full: bool = False, now: float | None = None) -> dict | None:
         """A document's contents; with sections their chunks, children included; in full the probe and all summaries."""
@@ -261,7 +273,7 @@ class Engine:
             out["sections"] = [r.asDict() for r in toc.chunks_of(self._chunks(doc_id), named).select("chunk_index", "section", "content", "summary").orderBy("chunk_index").collect()]
         return out
 
-    def read_segment(self, doc_id: str, section_path: str, *, include_summary: bool = True, now: float | None = None) -> dict:
+    def read_segment(self, doc_id: str, section_path: str, now: float | None = None, include_summary: bool = True) -> dict:
         """One section with all that lies below it."""
         stub = self._stub(doc_id)
         if stub is None:
@@ -310,7 +322,7 @@ class Engine:
         with open(path, "rb") as f:
             return base.parse(path, f.read())
 
-    def summarize_doc(self, doc_id: str) -> bool:
+    def summarize_doc(self, doc_id) -> bool:
         """Summarises a stored document's chunks that have none; False where there is nothing to do."""
         rows = self._chunks(doc_id)
         todo = rows.where(F.coalesce("summary", F.lit("")) == "")
@@ -320,7 +332,7 @@ class Engine:
         self.catalog.replace_chunks(summaries.merge_summaries(rows, fresh))
         return True
 
-    # -- state -------------------------------------------------------------------------------------------------------------------------
+    # -- state ---
 
     def get_status(self, doc_id: str) -> dict:
         row = self.spark.createDataFrame([(doc_id,)], "doc_id string")
@@ -351,6 +363,11 @@ class Engine:
         hot = self._heat().agg(F.count("*"), F.count_if(F.col("heat") >= self.settings.section_heat_threshold)).first()
         return {"docs_indexed": one("stubs"), "chunks_stored": one("chunks"), "cached_hashes": one("content_hashes"), "collections": one("collections"), "storage_bytes": one("files", F.coalesce(F.sum("size"), F.lit(0))), "access": self.access.stats(), "section_heat": {"tracked": hot[0], "hot": hot[1]}}
 
+    def telemetry(self, doc_id: str | None = None) -> DataFrame:
+        """Seconds by phase, tokens, chunks and the share of reading that the introduction saves, by document."""
+        t = telemetry.summary(self.catalog.read("telemetry"))
+        return t if doc_id is None else t.where(F.col("doc_id") == doc_id)
+
     def list_docs(self, source: str | None = None) -> DataFrame:
         stubs = self.catalog.read("stubs")
         return stubs if source is None else stubs.where(filters.source_scope("source", source))

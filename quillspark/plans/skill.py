@@ -5,7 +5,8 @@ from __future__ import annotations
 
 def _tool(name: str, what: str, need: list[str], **fields: tuple[str, str]) -> dict:
     props = {k: {"type": t, "description": d} | ({"items": {"type": "string"}} if t == "array" else {}) for k, (t, d) in fields.items()}
-    return {"type": "function", "function": {"name": name, "description": what, "parameters": {"type": "object", "properties": props, "required": need}}}
+    parameters = dict(type="object", required=need, properties=props)
+    return dict(type="function", function=dict(name=name, parameters=parameters, description=what))
 
 
 def get_tool_schemas() -> list[dict]:

@@ -34,7 +34,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-# --- vector search: T1, T2, F5, J16, W3 ---------------------------------------------------------------------------
+# --- vector search: T1, T2, F5, J16, W3 ---
 
 _DIST = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
 
@@ -91,7 +91,7 @@ def knn_many_queries(spark, d):
     return search.top_k_per_query(_chunk_vectors(spark, d), q, 5).select("query_id", "chunk_id", "rank")
 
 
-# --- scoping: J1, J2, U1, U2, F6 ------------------------------------------------------------------------------------
+# --- scoping: J1, J2, U1, U2, F6 ---
 
 
 def _collections(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ def except_labelled(spark, d):
     return _docs(spark, d).select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id"))
 
 
-# --- metadata predicates: F1 to F4 --------------------------------------------------------------------------------------
+# --- metadata predicates: F1 to F4 ---
 
 
 def _filter_query(name: str, spec, sql: str) -> None:
@@ -152,7 +152,7 @@ def _filter_query(name: str, spec, sql: str) -> None:
 
 for _name, _spec, _sql in (
     ("filter_eq", {"lang": "fr"}, "lang = 'fr'"),
-    ("filter_neq", {"lang": {"op": "neq", "value": "en"}}, "lang <> 'en'"),
+    ("filter_neq", {"lang": dict(value="en", op="neq")}, "lang <> 'en'"),
     ("filter_gt", {"n_chars": {"op": "gt", "value": 5000}}, "n_chars > 5000"),
     ("filter_gte", {"n_chars": {"op": "gte", "value": 416}}, "n_chars >= 416"),
     ("filter_lt", {"n_chars": {"op": "lt", "value": 300}}, "n_chars < 300"),
@@ -167,7 +167,7 @@ for _name, _spec, _sql in (
     _filter_query(_name, _spec, _sql)
 
 
-# --- text functions: X1 to X13, X33, X34 --------------------------------------------------------------------------------
+# --- text functions: X1 to X13, X33, X34 ---
 
 
 @query("SELECT doc_id, greatest(1, length(text) // 3)::BIGINT AS tokens, (length(text) // 3)::BIGINT AS embed_tokens, length(text) // 3 < 2000 AS whole FROM documents")
@@ -227,7 +227,7 @@ def cjk_flag(spark, d):
     return _docs(spark, d).select("doc_id", text.has_cjk("text").alias("cjk"))
 
 
-# --- embeddings: M3 ------------------------------------------------------------------------------------------------------
+# --- embeddings: M3 ---
 
 _EMB = "list_transform(range(0, 8), lambda i: ((list_sum(list_transform(string_split({t}, ''), lambda c: unicode(c))) % 97 + i) % 17)::DOUBLE / 17.0::DOUBLE)"
 
@@ -247,7 +247,7 @@ def det_search(spark, d):
     return scored.orderBy("x", "doc_id").limit(20).select("doc_id", F.round("x", 6).alias("distance"))
 
 
-# --- hashing and dedup: X14, J10, J11 -------------------------------------------------------------------------------------
+# --- hashing and dedup: X14, J10, J11 ---
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
@@ -279,7 +279,7 @@ def first_of_each_text(spark, d):
     return dedup.first_of_each(_docs(spark, d), ["text"], ["doc_id"]).select("doc_id")
 
 
-# --- windows and groups: W9, W10, A25, W11, W12 ----------------------------------------------------------------------------
+# --- windows and groups: W9, W10, A25, W11, W12 ---
 
 
 @query("""WITH b AS (SELECT doc_id, text, length(text) AS n, length('[' || source || '] ' || text) // 3 > 6000 AS long FROM documents),
@@ -316,7 +316,7 @@ def representative_sample(spark, d):
     return chunking.representatives(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "position")
 
 
-# --- full text and fusion: M9, J17 --------------------------------------------------------------------------------------------
+# --- full text and fusion: M9, J17 ---
 
 _BM25 = r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
 t AS (SELECT id, len(ws) AS len, unnest(ws) AS term FROM w), p AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM t GROUP BY id, term),
@@ -351,7 +351,7 @@ def hybrid_rrf_top10(spark, d):
     return best.select("id", F.round(search.unified_score(best), 6).alias("score"))
 
 
-# --- blending, bias, grouping: W1, W2, T3, T4, A1, A2, J3, J4 -----------------------------------------------------------------
+# --- blending, bias, grouping: W1, W2, T3, T4, A1, A2, J3, J4 ---
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -406,7 +406,7 @@ def stub_lookup(spark, d):
     return search.with_stub(t, stubs, ["filename"]).select("chunk_id", "filename")
 
 
-# --- heat: A3, A4, A7, T4, T6, T7, R13 ------------------------------------------------------------------------------------------
+# --- heat: A3, A4, A7, T4, T6, T7, R13 ---
 
 NOW = "2024-02-01 00:00:00"
 _SEC = "epoch_us(ts)::DOUBLE / 1e6::DOUBLE"
@@ -466,7 +466,7 @@ def fifo_promotion(spark, d):
     return access.promotions(table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)), "user_id", "s", "event_type", 50, 20)
 
 
-# --- records and JSON: F9 to F11, X16 to X22, A24 -----------------------------------------------------------------------------------
+# --- records and JSON: F9 to F11, X16 to X22, A24 ---
 
 
 def _record(spark: SparkSession, d: str) -> DataFrame:
@@ -524,7 +524,7 @@ def variant_null(spark, d):
     return _docs(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-# --- profiles: A9 to A13, S9 -----------------------------------------------------------------------------------------------------------
+# --- profiles: A9 to A13, S9 ---
 
 
 @query("""SELECT * FROM (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column",
@@ -562,7 +562,7 @@ def csv_top_value(spark, d):
     return profile.top_value(table(spark, d, "customer"), "c_mktsegment")
 
 
-# --- logs: A14, A15, A20, W12 ------------------------------------------------------------------------------------------------------------
+# --- logs: A14, A15, A20, W12 ---
 
 _LEVELS = ("INFO", "warn", "ERROR", "WARNING", "Debug")
 _LOG = """g AS (SELECT event_type AS app, event_id AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || list_extract(['INFO', 'warn', 'ERROR', 'WARNING', 'Debug'], (event_id % 5 + 1)::INTEGER) || ' request handled by worker_' || (user_id % 17) || ' status' AS line FROM events)"""
@@ -609,7 +609,7 @@ def log_error_samples(spark, d):
     return logs.error_samples(_lines(spark, d), ["app"]).select("app", "line_no", "rank")
 
 
-# --- routing, membership, clean-up, tasks: F7, J8, J9, J12, J13, R10, R14, R16, T8, T9 -------------------------------------------------------
+# --- routing, membership, clean-up, tasks: F7, J8, J9, J12, J13, R10, R14, R16, T8, T9 ---
 
 
 def _routes(spark: SparkSession) -> DataFrame:
@@ -674,7 +674,7 @@ def task_status(spark, d):
     return tasks.status(docs, _tasks(spark, d), docs, table(spark, d, "labels"))
 
 
-# --- tables of contents: J6, J7, W5 ------------------------------------------------------------------------------------------------------------
+# --- tables of contents: J6, J7, W5 ---
 
 
 def _geo_toc(spark: SparkSession, d: str) -> DataFrame:
@@ -720,7 +720,7 @@ def forward_filled_section(spark, d):
     return toc.forward_fill(e, "head", ["user_id"], "event_id", "section").select("event_id", "section")
 
 
-# --- summaries, latency, stats: M7, J14, A5, A6, A26, A27 -----------------------------------------------------------------------------------------
+# --- summaries, latency, stats: M7, J14, A5, A6, A26, A27 ---
 
 
 @query("SELECT doc_id, left(text, 200) AS summary FROM documents")
@@ -754,7 +754,7 @@ def savings_ratio(spark, d):
     return _docs(spark, d).select("doc_id", F.round(1 - F.octet_length(F.left("text", F.lit(50))) / F.greatest(F.lit(1), F.octet_length("text")), 6).alias("saved"))
 
 
-# --- archives and paths: A17, A18, F8 -----------------------------------------------------------------------------------------------------------------
+# --- archives and paths: A17, A18, F8 ---
 
 _PATH = "regexp_replace(url, '^[a-z]+://', '')"
 
@@ -783,7 +783,7 @@ def ignore_patterns(spark, d):
     return table(spark, d, "pages").where(~glob.ignored(F.col("url"), ["*1", "blog"])).select("page_id")
 
 
-# --- the whole path: dedup, windows, embedding, scope, top-k, grouping ---------------------------------------------------------
+# --- the whole path: dedup, windows, embedding, scope, top-k, grouping ---
 
 
 @query(f"""WITH u AS (SELECT doc_id, text, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
@@ -801,7 +801,7 @@ def flagship(spark, d):
     return g.select("doc_id", F.round("score", 6).alias("score"), F.array_join(F.transform("chunks", lambda c: c["chunk_id"].cast("string")), ",").alias("chunks"))
 
 
-# --- streams: R1, R2, R11, R13 --------------------------------------------------------------------------------------------------
+# --- streams: R1, R2, R11, R13 ---
 
 
 def _replay(spark: SparkSession, d: str, build: Query, mode: str) -> DataFrame:
@@ -851,7 +851,7 @@ def throttled_changes(spark, d):
     return tasks.throttle(e, "user_id", "s", 3600.0).select("event_id")
 
 
-# --- Markdown and HTML: S15, S16, A21 to A23, W4 to W6 ------------------------------------------------------------------------------
+# --- Markdown and HTML: S15, S16, A21 to A23, W4 to W6 ---
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -870,7 +870,7 @@ m AS (SELECT doc_id, string_split(string_agg(t, chr(10) ORDER BY turn), chr(10))
 l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM m),
 l1 AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM l0),
 l2 AS (SELECT *, mark OR coalesce(sum(mark::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM l1),
-l AS (SELECT *, CASE WHEN NOT in_fence THEN length(regexp_extract(line, '^(#{1,6})\s+(.*)$', 1)) ELSE 0 END AS level FROM l2)"""
+l AS (SELECT *, CASE WHEN NOT in_fence THEN length(regexp_extract(line, '^(#{1,6})[ \t]+(.*)$', 1)) ELSE 0 END AS level FROM l2)"""
 
 
 def _md_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -884,7 +884,7 @@ def md_fences(spark, d):
     return _md_lines(spark, d).select("doc_id", "line_no", "in_fence")
 
 
-@query(rf"WITH {_MD} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS pos, level::INTEGER AS level, trim(regexp_extract(line, '^(#{{1,6}})\s+(.*)$', 2)) AS title, line_no::INTEGER AS line_no, (lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS next_line FROM l WHERE level > 0")
+@query(rf"WITH {_MD} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS pos, level::INTEGER AS level, trim(regexp_extract(line, '^(#{{1,6}})[ \t]+(.*)$', 2)) AS title, line_no::INTEGER AS line_no, (lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no))::INTEGER AS next_line FROM l WHERE level > 0")
 def md_toc(spark, d):
     from .sources.documents import markdown_toc
 
@@ -914,7 +914,7 @@ def md_annotation(spark, d):
     return _markdown(spark, d).select("doc_id", section_annotation(F.col("text")).alias("annotation"))
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?i)<title\b[^<>]*>([\s\S]*?)</title\s*>', 1)) AS title FROM pages")
 def html_title(spark, d):
     from .sources.documents import html_title as title
 
@@ -929,7 +929,7 @@ def html_headings(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(headings(F.col("html"))).alias("h")).select("page_id", "h.level", "h.title")
 
 
-@query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), '(?is)<a\b[^>]*>(.*?)</a>', 1)) AS link FROM pages)
+@query(r"""WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?i)<nav\b[^<>]*>([\s\S]*?)</nav\s*>', 1), '(?i)<a\b[^<>]*>([\s\S]*?)</a\s*>', 1)) AS link FROM pages)
 SELECT page_id, trim(regexp_replace(link, '<[^>]+>', '', 'g')) AS link FROM n WHERE trim(regexp_replace(link, '<[^>]+>', '', 'g')) <> ''""")
 def html_nav_links(spark, d):
     from .sources.documents import html_nav_links as links
@@ -951,7 +951,7 @@ def html_main_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_count(html_text(F.col("html")), F.lit(r"</?(p|div|h1|script|nav)\b")).cast("long").alias("tags"))
 
 
-# --- readers over files: S1, S2, S10, S11 ----------------------------------------------------------------------------------------------
+# --- readers over files: S1, S2, S10, S11 ---
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.html?$') THEN 'web' END AS format FROM pages")

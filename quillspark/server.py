@@ -28,7 +28,7 @@ def _found(value: Any, what: str = "not found") -> Any:
 
 
 def _flag(q: dict, name: str) -> bool:
-    return str(q.get(name, "")).lower() in ("1", "true", "yes")
+    return str(q.get(name, "")).lower() in {"yes", "true", "1"}
 
 
 def _names(b: dict) -> list[str] | None:

@@ -18,6 +18,9 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
+_YES = frozenset("1 true yes on".split())
+
+
 @dataclass
 class Settings:
     """Tunable values. Text settings take the argument, then the environment, then the default; numbers prefer the
@@ -53,7 +56,7 @@ class Settings:
                 if getattr(self, f.name) == f.default:
                     setattr(self, f.name, env)
             else:
-                setattr(self, f.name, env.lower() in ("1", "true", "yes") if kind is bool else kind(env))
+                setattr(self, f.name, (env.lower() in _YES if kind is bool else kind(env)))
         self.section_heat_half_life = max(1.0, self.section_heat_half_life)
         self.section_heat_max_entries = max(1, self.section_heat_max_entries)
 

@@ -18,7 +18,9 @@ def parse_config(kind: str, text: str) -> dict:
         except ImportError as e:
             raise ValueError("YAML needs the yaml package") from e
         data = yaml.safe_load(text)
-        return data if isinstance(data, dict) else {"root": data}
+        if not isinstance(data, dict):
+            data = dict(root=data)
+        return data
     if kind == "toml":
         import tomllib
 

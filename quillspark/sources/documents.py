@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..operators.logs import LEVEL, LEVEL_ORDER, STOP, TIMES
 from .base import chunk, decode, entry, preview, probe, safe_name, tokens, whole
 
-HEADING = r"^(#{1,6})\s+(.*)$"
+HEADING = r"^(#{1,6})[ \t]+(.*)$"
 FENCE = r"^\s*(```|~~~)"
 FRAGMENT_DENSITY, FRAGMENT_TOKENS = 0.25, 3000
 
-# --- Markdown as DataFrames ------------------------------------------------------------------------------------------
+# --- Markdown as DataFrames ---
 
 
 def markdown_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,14 +55,14 @@ def section_annotation(text: Column) -> Column:
     """Counts of list items, code blocks, links and lines, those that are there."""
     n = lambda p: F.regexp_count(text, F.lit(p))
     part = lambda k, name: F.when(k > 0, F.concat(k.cast("string"), F.lit(" " + name)))
-    return F.concat_ws(" | ", part(n(r"(?m)^\s*(?:[-*+]|\d+\.)\s+"), "list items"), part(F.floor(n(r"(?m)^\s*(?:```|~~~)") / 2), "code blocks"), part(n(r"\[[^\]]*\]\([^)]*\)"), "links"), part(n(r"(?m)^.*\S.*$"), "lines"))
+    return F.concat_ws(" | ", part(n(r"(?m)^\s*([*+-]|[0-9]+\.)[ \t]+"), "list items"), part(F.floor(n(r"(?m)^\s*(?:```|~~~)") / 2), "code blocks"), part(n(r"\[[^\]]*\]\([^)]*\)"), "links"), part(n(r"(?m)^.*\S.*$"), "lines"))
 
 
-# --- HTML as Columns ---------------------------------------------------------------------------------------------------
+# --- HTML as Columns ---
 
 
 def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(F.regexp_extract(html, r"(?i)<title\b[^<>]*>([\s\S]*?)</title\s*>", 1))
 
 
 def html_meta(html: Column, name: str) -> Column:
@@ -74,16 +74,16 @@ def html_meta(html: Column, name: str) -> Column:
 
 def html_headings(html: Column) -> Column:
     """``ARRAY<STRUCT<level, title>>`` in order."""
-    levels = F.regexp_extract_all(html, F.lit(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"), F.lit(1))
-    titles = F.regexp_extract_all(html, F.lit(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"), F.lit(2))
+    levels = F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])\b[^<>]*>([\s\S]*?)</h\1\s*>"), F.lit(1))
+    titles = F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])\b[^<>]*>([\s\S]*?)</h\1\s*>"), F.lit(2))
     clean = F.transform(titles, lambda t: F.trim(F.regexp_replace(t, r"<[^>]+>", "")))
     return F.transform(F.arrays_zip(levels.alias("l"), clean.alias("t")), lambda x: F.struct(x["l"].cast("int").alias("level"), x["t"].alias("title")))
 
 
 def html_nav_links(html: Column) -> Column:
     """Texts of the links of the first ``nav``."""
-    nav = F.regexp_extract(html, r"(?is)<nav[^>]*>(.*?)</nav>", 1)
-    links = F.regexp_extract_all(nav, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1))
+    nav = F.regexp_extract(html, r"(?i)<nav\b[^<>]*>([\s\S]*?)</nav\s*>", 1)
+    links = F.regexp_extract_all(nav, F.lit(r"(?i)<a\b[^<>]*>([\s\S]*?)</a\s*>"), F.lit(1))
     return F.filter(F.transform(links, lambda t: F.trim(F.regexp_replace(t, r"<[^>]+>", ""))), lambda t: t != "")
 
 
@@ -103,12 +103,12 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
 
 
-# --- single files --------------------------------------------------------------------------------------------------------
+# --- single files ---
 
 
 def _annotate(text: str) -> str:
     counts = (
-        (len(re.findall(r"(?m)^\s*(?:[-*+]|\d+\.)\s+", text)), "list items"),
+        (len(re.findall(r"(?m)^\s*([*+-]|[0-9]+\.)[ \t]+", text)), "list items"),
         (len(re.findall(r"(?m)^\s*(?:```|~~~)", text)) // 2, "code blocks"),
         (len(re.findall(r"\[[^\]]*\]\([^)]*\)", text)), "links"),
         (sum(1 for x in text.split("\n") if x.strip()), "lines"),
@@ -177,9 +177,9 @@ def _html_annotation(fragment: str, text: str) -> str:
 
 def web(path: str, raw: bytes) -> dict:
     page = decode(raw)
-    title = m[1] if (m := re.search(r"(?is)<title[^>]*>(.*?)</title>", page)) else ""
+    title = m[1] if (m := re.search(r"(?i)<title\b[^<>]*>([\s\S]*?)</title\s*>", page)) else ""
     title = html_lib.unescape(re.sub(r"<[^>]+>", "", title)).strip()
-    found = list(re.finditer(r"(?is)<h([1-6])[^>]*>(.*?)</h\1>", page))
+    found = list(re.finditer(r"(?i)<h([1-6])\b[^<>]*>([\s\S]*?)</h\1\s*>", page))
     heads = [(m, int(m[1]), html_lib.unescape(re.sub(r"<[^>]+>", "", m[2])).strip()) for m in found]
     text, toc = _plain(page), []
     for i, (m, level, t) in enumerate(heads):
@@ -202,8 +202,8 @@ def web(path: str, raw: bytes) -> dict:
         else:
             parts = [(None, p.strip()) for p in text.split("\n")]
         chunks = [chunk(t, i, s) for i, (s, t) in enumerate(x for x in parts if x[1])]
-    nav = re.search(r"(?is)<nav[^>]*>(.*?)</nav>", page)
-    links = [re.sub(r"<[^>]+>", "", x).strip() for x in re.findall(r"(?is)<a\b[^>]*>(.*?)</a>", nav[1])] if nav else []
+    nav = re.search(r"(?i)<nav\b[^<>]*>([\s\S]*?)</nav\s*>", page)
+    links = [re.sub(r"<[^>]+>", "", x).strip() for x in re.findall(r"(?i)<a\b[^<>]*>([\s\S]*?)</a\s*>", nav[1])] if nav else []
     stats = {
         "heading_count": len(heads),
         "nav_links": [x for x in links if x],
@@ -239,7 +239,7 @@ def log(path: str, raw: bytes) -> dict:
         levels[w] = levels.get(w, 0) + 1
     counts: dict[str, int] = {}
     for x in lines:
-        for w in re.findall(r"[a-zA-Z_]\w{2,}", re.sub(LEVEL, " ", re.sub(TIMES[0], " ", x))):
+        for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", re.sub(LEVEL, " ", re.sub(TIMES[0], " ", x))):
             if w.lower() not in STOP:
                 counts[w.lower()] = counts.get(w.lower(), 0) + 1
     top = [w for w, _ in sorted(counts.items(), key=lambda x: -x[1])[:10]]

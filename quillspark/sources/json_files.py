@@ -62,7 +62,7 @@ def describe(value: Any) -> str:
 def json_file(path: str, raw: bytes) -> dict:
     text = decode(raw)
     data = json.loads(text)
-    keys = data if isinstance(data, dict) else data[0] if isinstance(data, list) and data and isinstance(data[0], dict) else {}
+    keys = data if isinstance(data, dict) else data[0] if isinstance(data, list) and isinstance((data or [None])[0], dict) else {}
     toc = [entry(str(k), 1, annotation=describe(v)) for k, v in keys.items()]
     full = whole(text)
     if full:
@@ -75,9 +75,9 @@ def json_file(path: str, raw: bytes) -> dict:
     return probe("json", title=safe_name(path), toc=toc, schema_tree=schema_tree(data), stats=stats, chunks=chunks, snippet=text if full else text[:500], intro=f"JSON {safe_name(path)}: {describe(data)}")
 
 
-def resolve(obj: Any, path: str) -> Any:
+def resolve(record: Any, path: str) -> Any:
     """Value at a dotted path of one record; see ``operators.records`` for the same over columns."""
-    values, listed = [obj], False
+    values, listed = [record], False
     for part in path.split("."):
         opened = []
         for v in values:

@@ -32,6 +32,10 @@ def _core(z: zipfile.ZipFile) -> dict:
     return {} if x is None else {k: e.text for k, e in (("title", x.find(_DC + "title")), ("author", x.find(_DC + "creator")), ("subject", x.find(_DC + "subject"))) if e is not None and e.text}
 
 
+def _section(title: str, level: int) -> dict:
+    return dict(items=0, paragraphs=[], title=title, level=level)
+
+
 def docx(path: str, raw: bytes) -> dict:
     z = zipfile.ZipFile(io.BytesIO(raw))
     body, styles, core = _xml(z, "word/document.xml").find(_W + "body"), {}, _core(z)
@@ -39,7 +43,7 @@ def docx(path: str, raw: bytes) -> dict:
         for s in sx.iter(_W + "style"):
             n = s.find(_W + "name")
             styles[s.get(_W + "styleId")] = n.get(_W + "val") if n is not None else ""
-    sections: list[dict] = [{"title": "Preamble", "level": 0, "paragraphs": [], "items": 0}]
+    sections: list[dict] = [_section("Preamble", 0)]
     tables, words = [], 0
     for node in body:
         if node.tag == _W + "tbl":
@@ -56,7 +60,7 @@ def docx(path: str, raw: bytes) -> dict:
             continue
         words += len(text.split())
         if m := re.match(r"(?i)heading\s*(\d+)", name):
-            sections.append({"title": text, "level": int(m[1]), "paragraphs": [], "items": 0})
+            sections.append(_section(text, int(m[1])))
         else:
             sections[-1]["paragraphs"].append(text)
             sections[-1]["items"] += name.lower().startswith("list") or node.find(f"{_W}pPr/{_W}numPr") is not None
@@ -110,7 +114,7 @@ def pptx(path: str, raw: bytes) -> dict:
     return probe("pptx", title=core.get("title") or (toc[0]["title"] if toc else None), toc=toc, stats=stats, chunks=chunks, intro=f"Presentation {safe_name(path)}, {len(names)} slides")
 
 
-# --- PDF ---------------------------------------------------------------------------------------------------------------
+# --- PDF ---
 
 
 class _Pdf:
@@ -294,7 +298,7 @@ def pdf(path: str, raw: bytes) -> dict:
             after = texts[e["page"] - 1][at + len(e["title"]) :][:300].strip() if at >= 0 else ""
             m = re.match(r"(?s)(.*?[.!?])\s", after)
             e["preview"] = m[1] if m else after[:200] if len(after) > 20 else None
-    captions = [{"text": x[0], "page": i + 1, "kind": "figure" if x[0].lower().startswith("fig") else "table"} for i, p in enumerate(pages) for x in p if re.match(r"(?:Figure|Table|Fig\.|Tab\.)\s*\d+", x[0])]
+    captions = [{"text": x[0], "page": i + 1, "kind": "figure" if x[0].lower().startswith("fig") else "table"} for i, p in enumerate(pages) for x in p if re.match(r"(?:Fig(?:ure|\.)|Tab(?:le|\.))\s*[0-9]+", x[0])]
     opening = next((x[0] for p in pages for x in p if x[1] == body and len(x[0]) > 80), None)
     chunks, section = [], None
     for i, t in enumerate(texts):

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import ids
 from ..functions.glob import ignored
+from ..functions.text import stem
 from ..operators import dedup
 from ..plans.engine import Engine
 from ..sources import base
@@ -123,6 +124,13 @@ class AppendSource(DataSource):
         return AppendReader(self.options)
 
 
+def sound_offsets(offsets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(path, offset)`` with 0 where the index has no chunk of the file's session: such a file is read anew."""
+    sessions = chunks.select(F.col("session_id").alias("__s")).where("__s is not null").distinct().withColumn("__has", F.lit(True))
+    joined = offsets.withColumn("__s", stem("path")).join(sessions, "__s", "left")
+    return joined.select("path", F.when(F.col("__has"), F.col("offset")).otherwise(0).cast("long").alias("offset"))
+
+
 def watch_appends(engine: Engine, path: str, checkpoint: str, suffix: str = ".jsonl", once: bool = True, probe_config: dict | None = None, source: str = "", collection: str | None = None) -> StreamingQuery:
     """Indexes what grows: each batch of a file is the document ``file@offset``, of the session of the file's stem.
 
@@ -140,7 +148,7 @@ def watch_appends(engine: Engine, path: str, checkpoint: str, suffix: str = ".js
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
-def file_removed(engine: Engine, path: str, collection: str | None = None) -> list[str]:
+def file_removed(engine, path, collection=None) -> list[str]:
     """Removes what append mode made of a file that is gone."""
     return engine.catalog.delete_session(os.path.splitext(os.path.basename(path))[0], collection)
 

@@ -149,7 +149,7 @@ def test_http_and_skill(spark, tmp_path):
     assert h("POST", "/probe", {"content": "a,b\n1,2\n", "filename": "t.csv"})[1]["file_type"] == "csv"
     assert h("DELETE", f"/docs/{d}")[0] == 200 and h("DELETE", f"/docs/{d}")[0] == 404 and h("DELETE", "/collections/c")[0] == 200
     names = {t["function"]["name"] for t in export_skill()["tools"]}
-    assert names == {"search_memory", "get_doc_meta", "read_segment", "index_memory", "memory_status"}
+    assert sorted(names) == sorted("memory_status index_memory read_segment get_doc_meta search_memory".split())
     api.shutdown()
 
 
@@ -185,7 +185,7 @@ def test_watch_appends(engine, tmp_path):
     assert len(watch.file_removed(engine, str(f))) == 2 and engine.list_docs().count() == 0
 
 
-# --- readers -----------------------------------------------------------------------------------------------------------------
+# --- readers ---
 
 
 def test_dispatch():
@@ -213,9 +213,10 @@ def test_markdown_and_csv():
 
 
 def test_jsonl_groups():
-    lines = [{"type": "session"}, *({"type": "message", "timestamp": f"t{i}", "message": {"role": r, "content": [{"type": "thinking", "thinking": "no"}, {"type": "text", "text": f"say {i}"}]}} for i, r in enumerate(["user", "assistant", "user", "system"]))]
+    lines = [{"type": "session"}, *({"type": "message", "timestamp": f"t{i}", "message": {"role": r, "content": [dict(thinking="no", type="thinking"), dict(text=f"say {i}", type="text")]}} for i, r in enumerate(["user", "assistant", "user", "system"]))]
     raw = "\n".join(map(json.dumps, lines)) + "\nbad\n[1]\n"
-    c = {"filters": [{"field": "type", "value": "message"}, {"field": "message.role", "op": "in", "value": ["user", "assistant"]}], "text_field": "message.content.text", "label_field": "message.role", "group_size": 2}
+    roles = dict(value=["user", "assistant"], op="in", field="message.role")
+    c = dict(group_size=2, label_field="message.role", text_field="message.content.text", filters=[dict(value="message", field="type"), roles])
     p = base.parse("s.jsonl", raw.encode(), c)
     assert [x["content"] for x in p["chunks"]] == ["user: say 0\nassistant: say 1", "user: say 2"]
     assert p["chunks"][0]["metadata"]["timestamp"] == "t0" and json.loads(p["stats"])["parse_errors"] == 2

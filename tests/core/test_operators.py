@@ -229,3 +229,21 @@ def test_dedup(spark):
 def test_profile_dates(spark):
     df = spark.createDataFrame([("2024-01-02", "x"), ("2024-02-03", "2024-01-01")], ["a", "b"])
     assert profile.looks_like_dates(df, "a") and not profile.looks_like_dates(df, "b")
+
+
+def test_telemetry(spark):
+    from quillspark.operators import telemetry
+
+    rows = [("a", "probe", 0.5, 10, 0.9, 2), ("a", "embedding", 1.5, None, None, None), ("a", "probe", 0.25, None, None, None)]
+    t = spark.createDataFrame(rows, "doc_id string, phase string, seconds double, tokens long, saved_ratio double, num_chunks int")
+    got = telemetry.summary(t).first()
+    assert (got["probe_seconds"], got["embedding_seconds"], got["tokens"], got["num_chunks"]) == (0.75, 1.5, 10, 2)
+    assert telemetry.text(telemetry.summary(t)).first()["line"] == "probe 750ms | embedding 1.50s | 10 tokens | 2 chunks | 90% saved"
+
+
+def test_sound_offsets(spark):
+    from quillspark.streaming.watch import sound_offsets
+
+    o = spark.createDataFrame([("/x/s1.jsonl", 40), ("/x/s2.jsonl", 50)], "path string, offset long")
+    c = spark.createDataFrame([("s1",), (None,)], "session_id string")
+    assert {tuple(r) for r in sound_offsets(o, c).collect()} == {("/x/s1.jsonl", 40), ("/x/s2.jsonl", 0)}
