@@ -48,13 +48,13 @@ RATE = 0.6
 def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sortable key of each byte: itself, then the five bytes before it, latest first, 0 beyond the text's start."""
     n = len(buf)
-    place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-    key = buf.astype(np.uint64) << np.uint64(56)
-    for j in range(1, 6):
-        older = np.zeros(n, np.uint64)
-        older[j:] = buf[: n - j]
-        older[place < j] = 0
-        key |= older << np.uint64(56 - 8 * j)
+    padded = np.concatenate([np.zeros(7, np.uint8), buf])
+    # eight bytes read backwards from each position are a little-endian word
+    key = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (n,), (1,)) & np.uint64(0xFFFFFFFFFFFF0000) if n else np.zeros(0, np.uint64)
+    for j in range(5):
+        at = off[:-1] + j
+        at = at[at < off[1:]]
+        key[at] &= np.uint64((0xFFFFFFFFFFFFFFFF << (56 - 8 * j)) & 0xFFFFFFFFFFFFFFFF)
     return key
 
 

@@ -1,8 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of built-in expressions.
 
 Each rule names a metric and the range that it must lie in. All metrics are
-columns of one ``select`` over two arrays, the words and the lines of a text,
-which are split once; no user function runs. A document passes when it breaks
+columns of one projection over two arrays, the words and the lines of a text,
+which are split once, and one class-mapped copy of it; no user function runs. A document passes when it breaks
 no rule. A metric that is undefined, as every ratio of an empty text is, breaks
 no ratio rule; empty and null texts fail ``n_words`` alone.
 
@@ -51,30 +51,33 @@ RULES = (
 )
 
 
-def _less(text: Column, chars: str) -> Column:
-    """Characters of the text that are not in ``chars``."""
-    return F.length(F.translate(text, chars, ""))
+_SPACES, _DIGITS, _CAPITALS = " \t\n\r\f\x0b", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def metrics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    """Every metric as a column, all doubles but for the counts."""
-    chars, n_words, n_lines = F.length(text), F.size(words), F.size(lines)
-    solid = _less(text, " \t\n\r\f\x0b")
+def counts(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Whole numbers behind the metrics, each computed once."""
+    # one pass maps every class of characters to its first and drops white space; the rest is byte search
+    classes = F.translate(text, SYMBOLS + _DIGITS + _CAPITALS + _SPACES, SYMBOLS[0] * len(SYMBOLS) + "0" * 10 + "A" * 26)
+    return {"__classes": classes, "__chars": F.length(text), "__n": F.size(words), "__lines": F.size(lines), "__stop": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))), "__words": F.size(F.array_distinct(words)), "__kinds": F.size(F.array_distinct(lines))}
+
+
+def metrics(lines: Column) -> dict[str, Column]:
+    """Every metric as a column over ``counts``, all doubles but for the first two."""
+    n_words, n_lines, solid = F.col("__n"), F.col("__lines"), F.col("__solid")
 
     def ratio(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, F.round(part.cast("double") / whole, 6))
 
-    stop = F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))
     return {
-        "n_chars": chars.cast("long"),
+        "n_chars": F.col("__chars").cast("long"),
         "n_words": n_words.cast("long"),
         "mean_word_chars": ratio(solid, n_words),
-        "symbol_ratio": ratio(chars - _less(text, SYMBOLS), solid),
-        "digit_ratio": ratio(chars - _less(text, "0123456789"), solid),
-        "upper_ratio": ratio(chars - _less(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), solid),
-        "stop_word_ratio": F.when(n_words >= 30, ratio(stop, n_words)),
-        "distinct_word_ratio": F.when(n_words >= 30, ratio(F.size(F.array_distinct(words)), F.least(n_words, F.lit(1000)))),
-        "repeated_line_ratio": F.when(n_lines >= 4, ratio(n_lines - F.size(F.array_distinct(lines)), n_lines)),
+        "symbol_ratio": ratio(solid - F.col("__symbols"), solid),
+        "digit_ratio": ratio(solid - F.col("__digits"), solid),
+        "upper_ratio": ratio(solid - F.col("__upper"), solid),
+        "stop_word_ratio": F.when(n_words >= 30, ratio(F.col("__stop"), n_words)),
+        "distinct_word_ratio": F.when(n_words >= 30, ratio(F.col("__words"), F.least(n_words, F.lit(1000)))),
+        "repeated_line_ratio": F.when(n_lines >= 4, ratio(n_lines - F.col("__kinds"), n_lines)),
         "bullet_line_ratio": ratio(F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))), n_lines),
         "ellipsis_line_ratio": ratio(F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("..."))), n_lines),
     }
@@ -85,8 +88,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("__t"))
     base = base.select("*", F.filter(F.split("__t", r"[ \t\n\r\f\x0B]+"), lambda w: w != "").alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.trim(x) != "").alias("__x"))
-    found = metrics(F.col("__t"), F.col("__w"), F.col("__x"))
-    values = base.select("doc_id", *[c.alias(n) for n, c in found.items()])
+    numbers = base.select("doc_id", "__x", *[c.alias(n) for n, c in counts(F.col("__t"), F.col("__w"), F.col("__x")).items()])
+    without = lambda c: F.length(F.replace("__classes", F.lit(c)))
+    numbers = numbers.select("*", F.length("__classes").alias("__solid"), without(SYMBOLS[0]).alias("__symbols"), without("0").alias("__digits"), without("A").alias("__upper"))
+    values = numbers.select("doc_id", *[c.alias(n) for n, c in metrics(F.col("__x")).items()])
 
     def broken(r: Rule) -> Column:
         bad = F.lit(False)
