@@ -114,7 +114,7 @@ def runs(marked: DataFrame, min_run: int) -> DataFrame:
     return spans.where(F.col("e") - F.col("s") >= min_run).select("k", "id", "s", "e", "f.src", "f.at")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = 4, min_chunk: int = 16, max_chunk: int = 512, min_run: int = 128) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask_bits: int = 4, min_chunk: int = 16, max_chunk: int = 512, min_run: int = 112) -> DataFrame:
     """Byte spans ``(k, id, s, e, src, at)`` of passages that repeat an earlier one; src and at name the first."""
     chunks = _base(docs, id_col, text_col).mapInArrow(_chunker(mask_bits, min_chunk, max_chunk), _CHUNKS)
     first = chunks.groupBy("digest").agg(F.min(F.struct(F.col("id"), F.col("k"), F.col("s"))).alias("f"), F.count("*").alias("n"))

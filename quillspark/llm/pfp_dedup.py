@@ -267,7 +267,7 @@ def _corpus_order(table: pa.Table) -> pa.Table:
     return _marks(k, i, known, s, e, _pick_first(group, known, i, k, s))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, modulus: int = 32, min_bytes: int = 128) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, modulus: int = 20, min_bytes: int = 112) -> DataFrame:
     """Byte spans ``(k, id, s, e, src, at)`` of passages that repeat an earlier one; src and at name the first."""
     parts = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")

@@ -62,7 +62,7 @@ def test_finds_planted_passages_and_nothing_else(frame, rows, report, dedup):
     assert {r["doc_id"] for r in got} == {i for i in range(60) if i % 3 == 0 and i >= 18}
     for r in got:
         piece = text[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]]
-        assert len(piece) >= 128 and r["first_doc_id"] < r["doc_id"]
+        assert len(piece) >= 112 and r["first_doc_id"] < r["doc_id"]
         assert piece in text[r["first_doc_id"]].encode()
     kept = {r["doc_id"]: r for r in dedup(frame(rows, "digest")).collect()}
     assert len(kept) == 60 and all(kept[i]["text"] == t for i, t in rows if i % 3 or i < 18)
@@ -106,8 +106,8 @@ def test_repeats_within_one_document(frame, prose):
 def test_parse_overlaps_by_windows_and_is_prefix_free(prose):
     raw = prose(1, 3000).encode()
     buf = np.frombuffer(raw, np.uint8)
-    row, s, e, digest = pd_.parse(buf, np.array([0, len(buf)]), 12, 32)
-    assert s[0] == 0 and e[-1] == len(raw) and (s[1:] == e[:-1] - 12).all()
+    row, s, e, digest = pd_.parse(buf, np.array([0, len(buf)]), 10, 20)
+    assert s[0] == 0 and e[-1] == len(raw) and (s[1:] == e[:-1] - 10).all()
     words = sorted({raw[x:y] for x, y in zip(s, e)} - {raw[s[-1] : e[-1]]})
     assert all(not b.startswith(a) for a, b in zip(words, words[1:]))
 
