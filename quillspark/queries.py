@@ -83,11 +83,11 @@ def knn_per_label_top3(spark, d):
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("label", "chunk_id", "rank")
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 8),
+@query(f"""WITH q AS (SELECT label AS query_id, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY label),
 r AS (SELECT query_id, vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_DIST.format(a='embedding', b='e')}, vec_id) AS rank FROM embeddings, q)
 SELECT query_id, chunk_id, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def knn_many_queries(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = table(spark, d, "embeddings").groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query_vector"))
     return search.top_k_per_query(_chunk_vectors(spark, d), q, 5).select("query_id", "chunk_id", "rank")
 
 
@@ -95,21 +95,20 @@ def knn_many_queries(spark, d):
 
 
 def _collections(spark: SparkSession, d: str) -> DataFrame:
-    """Each source is a collection of its documents; "even" has those with even ids."""
-    docs = _docs(spark, d)
-    own = docs.select(F.col("source").alias("name"), F.col("doc_id"))
-    return own.union(docs.where("doc_id % 2 = 0").select(F.lit("even"), "doc_id"))
+    """Each source is a collection of its documents; "labelled" has those with labels."""
+    own = _docs(spark, d).select(F.col("source").alias("name"), F.col("doc_id"))
+    return own.union(table(spark, d, "labels").select(F.lit("labelled"), "doc_id"))
 
 
-@query("""SELECT count(*) AS n, sum(vec_id)::BIGINT AS id_sum FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') OR doc_id % 2 = 0)""")
+@query("""SELECT count(*) AS n, sum(vec_id)::BIGINT AS id_sum FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')) OR vec_id IN (SELECT doc_id FROM labels)""")
 def scoped_collections_union(spark, d):
-    ids_ = search.scope_ids(_collections(spark, d), ["src1", "src2", "even"])
+    ids_ = search.scope_ids(_collections(spark, d), ["src1", "src2", "labelled"])
     return search.in_scope(_chunk_vectors(spark, d), ids_).agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
-@query("""SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source LIKE 'src1%' AND doc_id % 2 = 0)""")
+@query("""SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source LIKE 'src1%') AND vec_id IN (SELECT doc_id FROM labels)""")
 def scoped_intersect(spark, d):
-    ids_ = search.scope_ids(_collections(spark, d), ["even"], _docs(spark, d), "src1*")
+    ids_ = search.scope_ids(_collections(spark, d), ["labelled"], _docs(spark, d), "src1*")
     return search.in_scope(_chunk_vectors(spark, d), ids_).select("chunk_id")
 
 
@@ -128,9 +127,9 @@ def source_exact(spark, d):
     return _docs(spark, d).where(filters.source_scope("source", "src1")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT doc_id FROM documents WHERE source IN ('src0', 'src3') OR doc_id % 2 = 0")
+@query("SELECT doc_id FROM documents WHERE source IN ('src0', 'src3') UNION SELECT doc_id FROM labels")
 def union_of_memberships(spark, d):
-    return _collections(spark, d).where(F.col("name").isin("src0", "src3", "even")).select("doc_id").distinct()
+    return _collections(spark, d).where(F.col("name").isin("src0", "src3", "labelled")).select("doc_id").distinct()
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -238,12 +237,11 @@ def det_embed(spark, d):
     return _docs(spark, d).where("text <> ''").select("doc_id", F.array_join(v, ",").alias("v"))
 
 
-@query(f"""WITH e AS (SELECT doc_id, {_EMB.format(t='text')} AS v FROM documents WHERE text <> ''), q AS (SELECT v AS w FROM e WHERE doc_id = 5)
+@query(f"""WITH e AS (SELECT doc_id, {_EMB.format(t='text')} AS v FROM documents WHERE text <> ''), q AS (SELECT {_EMB.format(t="'quality of the vector'")} AS w)
 SELECT doc_id, round({_DIST.format(a='v', b='w')}, 6) AS distance FROM e, q ORDER BY {_DIST.format(a='v', b='w')}, doc_id LIMIT 20""")
 def det_search(spark, d):
     e = _docs(spark, d).where("text <> ''").select("doc_id", vectors.deterministic_embedding("text").alias("v"))
-    q = e.where("doc_id = 5").select(F.col("v").alias("w"))
-    scored = e.crossJoin(q).withColumn("x", vectors.squared_l2("v", "w"))
+    scored = e.withColumn("x", vectors.squared_l2("v", vectors.deterministic_embedding(F.lit("quality of the vector"))))
     return scored.orderBy("x", "doc_id").limit(20).select("doc_id", F.round("x", 6).alias("distance"))
 
 
@@ -260,17 +258,17 @@ def exact_dedup(spark, d):
     return _docs(spark, d).groupBy(ids.content_hash("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 100)")
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")
 def content_hash_join(spark, d):
     docs = _docs(spark, d).select("doc_id", F.col("text").alias("content"))
-    known = docs.where("doc_id < 100").select(ids.content_hash("content").alias("hash"), "doc_id").dropDuplicates(["hash"])
+    known = docs.join(table(spark, d, "labels"), "doc_id", "left_semi").select(ids.content_hash("content").alias("hash"), "doc_id").dropDuplicates(["hash"])
     return dedup.split_new(docs, known)[0].select("doc_id")
 
 
-@query("SELECT CASE WHEN doc_id < 50 THEN doc_id + 100000 ELSE doc_id END AS doc_id, doc_id AS path FROM documents")
+@query("SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -1 - doc_id ELSE doc_id END AS doc_id, doc_id AS path FROM documents")
 def path_replace(spark, d):
     t = _docs(spark, d).select("doc_id", F.col("doc_id").alias("path"))
-    new = t.where("doc_id < 50").select((F.col("doc_id") + 100000).alias("doc_id"), "path")
+    new = table(spark, d, "labels").select((-1 - F.col("doc_id")).alias("doc_id"), F.col("doc_id").alias("path"))
     return dedup.replace_by_path(t, new).select("doc_id", "path")
 
 
@@ -533,11 +531,11 @@ def csv_cardinality(spark, d):
     return profile.cardinality(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
 
 
-@query("""WITH t AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang, n_chars FROM documents)
-SELECT * FROM (SELECT unnest(['lang', 'n_chars']) AS "column", unnest([count(*) FILTER (WHERE lang IS NULL), count(*) FILTER (WHERE n_chars IS NULL)]) AS null_count,
-unnest([round(avg((lang IS NULL)::INTEGER), 6), round(avg((n_chars IS NULL)::INTEGER), 6)]) AS null_rate FROM t)""")
+@query("""WITH t AS (SELECT quality, n_chars FROM documents LEFT JOIN labels USING (doc_id))
+SELECT * FROM (SELECT unnest(['quality', 'n_chars']) AS "column", unnest([count(*) FILTER (WHERE quality IS NULL), count(*) FILTER (WHERE n_chars IS NULL)]) AS null_count,
+unnest([round(avg((quality IS NULL)::INTEGER), 6), round(avg((n_chars IS NULL)::INTEGER), 6)]) AS null_rate FROM t)""")
 def csv_nulls(spark, d):
-    return profile.nulls(_docs(spark, d).select(F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), "n_chars"))
+    return profile.nulls(_docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left").select("quality", "n_chars"))
 
 
 @query("""WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd FROM documents) SELECT 'n_chars' AS "column", count(*) FILTER (WHERE sd > 0 AND abs((n_chars - m) / sd) > 3) AS n_outliers FROM documents, s""")
@@ -624,7 +622,7 @@ def routing_glob(spark, d):
     return route(_docs(spark, d), _routes(spark)).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT source AS name, doc_id FROM documents UNION ALL SELECT 'even', doc_id FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH c AS (SELECT source AS name, doc_id FROM documents UNION ALL SELECT 'labelled', doc_id FROM labels)
 SELECT doc_id, string_agg(name, ',' ORDER BY name) AS collections FROM c GROUP BY doc_id""")
 def multi_collection_membership(spark, d):
     return _collections(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("collections"))
@@ -638,11 +636,11 @@ def ttl_gc(spark, d):
     return expired(c, _now()).select("name")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 10 <> 0")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) >= 60)")
 def orphan_anti_join(spark, d):
     docs = _docs(spark, d).select("doc_id")
-    ledger = docs.where("doc_id % 10 = 0").withColumn("retry_count", F.lit(3))
-    return tasks.orphans(docs, table(spark, d, "labels"), ledger).select("doc_id")
+    failures = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ts"), F.col("event_type").alias("error"))
+    return tasks.orphans(docs, table(spark, d, "labels"), tasks.failure_ledger(failures), max_retries=60).select("doc_id")
 
 
 @query(f"""SELECT user_id AS doc_id, count(*) AS retry_count, max_by(event_type, event_id) AS last_error, max(event_id) AS last_retry_at, min(event_id) AS first_failed_at FROM events GROUP BY user_id""")
@@ -661,10 +659,9 @@ def queue_order(spark, d):
     return tasks.next_tasks(_tasks(spark, d), 25).select("doc_id")
 
 
-@query("SELECT event_id AS doc_id, user_id % 5 + CASE WHEN event_id % 3 = 1 AND event_id % 7 = 0 THEN 10 ELSE 0 END AS priority FROM events")
+@query("SELECT event_id AS doc_id, user_id % 5 + CASE WHEN event_id % 3 = 1 AND event_id IN (SELECT doc_id FROM labels) THEN 10 ELSE 0 END AS priority FROM events")
 def queue_bump(spark, d):
-    t = _tasks(spark, d)
-    return tasks.bump(t, t.where("doc_id % 7 = 0")).select("doc_id", "priority")
+    return tasks.bump(_tasks(spark, d), table(spark, d, "labels")).select("doc_id", "priority")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id IN (SELECT event_id FROM events) THEN CASE WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 3 = 1 THEN 'pending' ELSE 'processing' END ELSE 'completed' END AS status,
