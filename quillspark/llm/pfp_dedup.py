@@ -165,8 +165,9 @@ def _dictionary(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array([2] * len(who), pa.int32()), "key": pa.array([flush[w] for w in who], pa.int64()), "blob": pa.array([pack48(value[s:e]) for s, e in zip(begin, end)], pa.binary())})
 
 
-_MARK = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("src", pa.int64()), ("at", pa.int32()), ("blob", pa.binary())])
-_MARKS = "kind int, key long, id long, s int, e int, src long, at int, blob binary"
+_MARK = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("src", pa.int64()), ("at", pa.int32())])
+_MARKS = "k long, id long, s int, e int, src long, at int"
+_PACKED = (np.int64, np.int64, np.int8, np.int32, np.int32, np.int64, np.int8, np.int32)
 
 
 def _pick_first(group: np.ndarray, known: np.ndarray, i: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -178,24 +179,40 @@ def _pick_first(group: np.ndarray, known: np.ndarray, i: np.ndarray, k: np.ndarr
     return first
 
 
-def _marks(k, i, known, s, e, first) -> pa.Table:
+def _marks(k, i, known, s, e, first) -> list[np.ndarray]:
+    """Every row that is not its group's first: key, id, whether it has one, start, end, and id and place of the first."""
     away = (k != k[first]) | (s != s[first])
     at = first[away]
-    ids = lambda x: pa.array(i[x], mask=known[x] == 0)
-    n = int(away.sum())
-    return pa.table([pa.array(np.zeros(n, np.int32)), pa.array(k[away]), ids(away), pa.array(s[away]), pa.array(e[away]), ids(at), pa.array(s[at]), pa.nulls(n, pa.binary())], schema=_MARK)
+    return [k[away], i[away], known[away], s[away], e[away], i[at], known[at], s[at]]
+
+
+def _joined(marks: list[np.ndarray]) -> list[np.ndarray]:
+    """Marks in order of document and place, touching ones made one; it keeps the source of its first."""
+    k, s, e = marks[0], marks[3], marks[4]
+    if not len(k):
+        return marks
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] > e[:-1])]))
+    out = [m[head] for m in marks]
+    out[4] = e[np.append(head[1:], len(k)) - 1]
+    return out
+
+
+def _mark_table(k, i, known, s, e, src, src_known, at) -> pa.Table:
+    ids = lambda x, has: pa.array(x, mask=has == 0)
+    return pa.table([pa.array(k), ids(i, known), pa.array(s), pa.array(e), ids(src, src_known), pa.array(at)], schema=_MARK)
 
 
 def _suffixes(window: int, min_bytes: int, buckets: int):
     """A batch of documents: its suffixes that are repeated phrases for ``min_bytes``, each distinct one once for
     the range of its first phrase; further copies in the batch are marked here."""
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
+    nothing = pa.Table.from_batches([_rows([], [], [])])
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         answers = [unpack48(b) for kind, b in zip(kinds, blobs) if kind == 2]
         if 1 not in kinds or not answers:
-            return _MARK.empty_table()
+            return nothing
         b = blobs[kinds.index(1)]
         n, m = np.frombuffer(b, np.int64, 2)
         at = 16
@@ -216,7 +233,7 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
         reach = np.searchsorted(big, start.astype(np.int64) + min_bytes + row * (1 << 32), "left")
         pick = np.flatnonzero(good & (reach <= last))
         if not len(pick):
-            return _MARK.empty_table()
+            return nothing
         count = reach[pick] - pick + 1
         bounds = np.concatenate([[0], np.cumsum(count)])
         symbols = digest[np.repeat(pick - bounds[:-1], count) + np.arange(bounds[-1])]
@@ -228,7 +245,7 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
         r = row[pick]
         kk, ii, nn, s, e = k[r], i[r], known[r], start[pick], end[reach[pick]]
         first = _pick_first(group, nn, ii, kk, s)
-        out = [_marks(kk, ii, nn, s, e, first)]
+        here = _joined(_marks(kk, ii, nn, s, e, first))
         lead = np.unique(first)
         front = digest[pick[lead]]
         order = np.argsort(front, kind="stable")
@@ -240,9 +257,12 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
             c = count[own]
             take = np.repeat(bounds[:-1][own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
             sent.append(np.int64(len(own)).tobytes() + kk[own].tobytes() + ii[own].tobytes() + nn[own].tobytes() + s[own].tobytes() + e[own].tobytes() + c.astype(np.int32).tobytes() + pack48(symbols[take]))
-        none = lambda t: pa.nulls(len(full), t)
-        out.append(pa.table([pa.array(np.ones(len(full), np.int32)), pa.array(full), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int32()), pa.array(sent, pa.binary())], schema=_MARK))
-        return pa.concat_tables(out)
+        if len(here[0]):  # these marks pass through the next step with the suffixes
+            full, kinds = np.append(full, abs(int(here[0][0])) % buckets), [1] * len(sent) + [0]
+            sent.append(np.int64(len(here[0])).tobytes() + b"".join(m.astype(t).tobytes() for m, t in zip(here, _PACKED)))
+        else:
+            kinds = [1] * len(sent)
+        return pa.Table.from_batches([_rows(kinds, full, sent)])
 
     return run
 
@@ -250,13 +270,23 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
 def _corpus_order(table: pa.Table) -> pa.Table:
     """A range of first phrases: its suffixes in corpus order, and every one that is not its interval's first."""
     parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for b in table.column("blob").to_pylist():
+    tables = []
+    for told, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
         n = int(np.frombuffer(b, np.int64, 1)[0])
         at = 8
+        if not told:
+            marks = []
+            for kind in _PACKED:
+                marks.append(np.frombuffer(b, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            tables.append(_mark_table(*marks))
+            continue
         for slot, kind in enumerate((np.int64, np.int64, np.int8, np.int32, np.int32, np.int32)):
             parts[slot].append(np.frombuffer(b, kind, n, at))
             at += n * np.dtype(kind).itemsize
         parts[6].append(unpack48(b[at:]))
+    if not parts[0]:
+        return pa.concat_tables(tables)
     k, i, known, s, e, count, symbols = (np.concatenate(p) for p in parts)
     bounds = np.concatenate([[0], np.cumsum(count)])
     order, shared = suffix_array(symbols, bounds)
@@ -264,7 +294,7 @@ def _corpus_order(table: pa.Table) -> pa.Table:
     fresh = (shared < count[order]) | np.concatenate([[True], count[order][1:] != count[order][:-1]])
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(fresh)
-    return _marks(k, i, known, s, e, _pick_first(group, known, i, k, s))
+    return pa.concat_tables([*tables, _mark_table(*_marks(k, i, known, s, e, _pick_first(group, known, i, k, s)))])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, modulus: int = 20, min_bytes: int = 112) -> DataFrame:
@@ -273,9 +303,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")
     raw = base.select(row_key("i", "t").alias("k"), "i", "t").mapInArrow(_parser(window, modulus, 2 * parts), _ROWS)
     answers = raw.where("kind = 0").groupBy("key").applyInArrow(lambda t: _dictionary(t), _ROWS)
-    found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, min_bytes, 2 * parts), _MARKS)
-    ranged = found.where("kind = 1").groupBy("key").applyInArrow(lambda t: _corpus_order(t), _MARKS)
-    marks = found.where("kind = 0").union(ranged).select(F.col("key").alias("k"), "id", "s", "e", "src", "at")
+    found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, min_bytes, 2 * parts), _ROWS)
+    marks = found.groupBy("key").applyInArrow(lambda t: _corpus_order(t), _MARKS)
     return chunk_dedup.runs(marks, min_bytes)
 
 
