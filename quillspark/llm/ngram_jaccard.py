@@ -50,7 +50,7 @@ BITS = 48
 _M48 = np.uint64((1 << BITS) - 1)
 _S16 = np.uint64(16)
 #: Most documents, and about the most bytes of text, that a batch may hold.
-FLUSH_ROWS, FLUSH_BYTES = 1 << 14, 32_000_000
+FLUSH_ROWS, FLUSH_BYTES = 1 << 13, 12_000_000
 #: An n-gram of more documents of a batch than this is sent once, with their number, and stands for them all.
 HOT, ALL = 64, 0xFFFF
 #: Class pairs that one verification task holds at once.
@@ -118,7 +118,8 @@ def _tokenise(n: int, buckets: int):
                 hot = count > HOT
                 many = np.repeat(hot, count)
                 common, times = value[first[hot]], count[hot].astype(np.uint32)
-                yield _rows([1], [flush], [np.array([len(k), len(common)], np.int64).tobytes() + k.tobytes() + i.tobytes() + size.tobytes() + pack48(common) + times.tobytes() + (tokens[many] & np.uint64(ALL)).astype(np.uint16).tobytes()])
+                # the documents themselves pass through some bucket on their way to the answers
+                yield _rows([1], [abs(flush) % buckets], [np.array([flush, len(k), len(common)], np.int64).tobytes() + k.tobytes() + i.tobytes() + size.tobytes() + pack48(common) + times.tobytes() + (tokens[many] & np.uint64(ALL)).astype(np.uint16).tobytes()])
                 tokens, value = tokens[~many], value[~many]
                 cut, hcut = np.append(np.searchsorted(value, edges), len(value)), np.append(np.searchsorted(common, edges), len(common))
                 full = np.flatnonzero(np.diff(cut) + np.diff(hcut))
@@ -134,13 +135,19 @@ def _tokenise(n: int, buckets: int):
 
 def _frequent(table: pa.Table) -> pa.Table:
     """One bucket of n-grams: for every batch, its n-grams that two documents or more hold, with their frequency."""
-    flushes, parts, weights = [], [], []
-    for b in table.column("blob").to_pylist():
+    flushes, parts, weights, through = [], [], [], []
+    for kind, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
+        if kind == 1:
+            through.append(b)
+            continue
         flush, n = np.frombuffer(b, np.int64, 2)
         hot, cold = unpack48(b[16 : 16 + 6 * n]), _unplanes(b[16 + 10 * n :])
         flushes.append(flush)
         parts.append(np.concatenate([(hot << _S16) | np.uint64(ALL), cold]))
         weights.append(np.concatenate([np.frombuffer(b, np.uint32, n, 16 + 6 * n).astype(np.int64), np.ones(len(cold), np.int64)]))
+    passed = pa.Table.from_batches([_rows([1] * len(through), [int(np.frombuffer(b, np.int64, 1)[0]) for b in through], through)])
+    if not parts:
+        return passed
     flushes, value, weight = np.array(flushes), np.concatenate(parts), np.concatenate(weights)
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     del parts, weights
@@ -155,13 +162,8 @@ def _frequent(table: pa.Table) -> pa.Table:
     value, owner, df = value[order], owner[order], df[order]
     who, begin = np.unique(owner, return_index=True)
     end = np.append(begin[1:], len(owner))
-    return pa.table(
-        {
-            "kind": pa.array([2] * len(who), pa.int32()),
-            "key": pa.array(flushes[who], pa.int64()),
-            "blob": pa.array([df[s:e].tobytes() + _planes(value[s:e]) for s, e in zip(begin, end)], pa.binary()),
-        }
-    )
+    answers = _rows([2] * len(who), flushes[who], [df[s:e].tobytes() + _planes(value[s:e]) for s, e in zip(begin, end)])
+    return pa.concat_tables([passed, pa.Table.from_batches([answers])])
 
 
 def _prefixes(threshold: float):
@@ -174,10 +176,10 @@ def _prefixes(threshold: float):
         answers = [b for kind, b in zip(kinds, blobs) if kind == 2]
         if not docs or not answers:
             return schema.empty_table()
-        n, m = map(int, np.frombuffer(docs, np.int64, 2))
-        k, i = np.frombuffer(docs, np.int64, n, 16), np.frombuffer(docs, np.int64, n, 16 + 8 * n)
-        size = np.frombuffer(docs, np.uint32, n, 16 + 16 * n).astype(np.int64)
-        at = 16 + 20 * n
+        _, n, m = map(int, np.frombuffer(docs, np.int64, 3))
+        k, i = np.frombuffer(docs, np.int64, n, 24), np.frombuffer(docs, np.int64, n, 24 + 8 * n)
+        size = np.frombuffer(docs, np.uint32, n, 24 + 16 * n).astype(np.int64)
+        at = 24 + 20 * n
         common, times = unpack48(docs[at : at + 6 * m]), np.frombuffer(docs, np.uint32, m, at + 6 * m).astype(np.int64)
         holders = np.frombuffer(docs, np.uint16, int(times.sum()), at + 10 * m).astype(np.uint64)
         df, value = [], []
@@ -344,9 +346,8 @@ def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     base = base.select(row_key("i", "t").alias("k"), "i", "t")
     raw = base.mapInArrow(_tokenise(n, 2 * parts), _ROWS)
-    tables, tokens = raw.where("kind = 1"), raw.where("kind = 0")
-    answers = tokens.groupBy("key").applyInArrow(_frequent, _ROWS)
-    indexed = tables.union(answers).groupBy("key").applyInArrow(_prefixes(threshold), "k long, id long, size long, cls long, gid long, prefix binary, tokens binary")
+    answers = raw.groupBy("key").applyInArrow(lambda t: _frequent(t), _ROWS)
+    indexed = answers.groupBy("key").applyInArrow(_prefixes(threshold), "k long, id long, size long, cls long, gid long, prefix binary, tokens binary")
     indexed = materialise(indexed)
 
     groups = indexed.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))

@@ -45,10 +45,12 @@ from pyspark.sql import functions as F
 from . import chunk_dedup
 from . import textcore as tc
 from .cluster import partitions, row_key
-from .ngram_jaccard import FLUSH_BYTES, FLUSH_ROWS, pack48, unpack48
+from .ngram_jaccard import pack48, unpack48
 
 _ROWS = "kind int, key long, blob binary"
 BITS = 48
+#: Most documents, and about the most bytes of text, of a batch.
+FLUSH_ROWS, FLUSH_BYTES = 1 << 14, 32_000_000
 
 
 def _rows(kind, key, blob) -> pa.RecordBatch:
