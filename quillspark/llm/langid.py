@@ -72,14 +72,20 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12, s
     x = np.hstack([x, np.full((len(x), 1), np.float32(np.sqrt((x * x).sum(1).mean() + 1e-12)))])
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * cost * share)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(y))
+    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(y))
     square = (x * x).sum(1) + diagonal
     for _ in range(rounds):
+        most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - g / square[i])
-            w += (new - alpha[i]) * y[i] * x[i]
-            alpha[i] = new
+            g = y[i] * float(x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            step = max(0.0, alpha[i] - g / square[i]) - alpha[i]
+            if step:
+                w += np.float32(step * y[i]) * x[i]
+                alpha[i] += step
+                most = max(most, abs(step) * square[i])
+        if most < 0.02:  # no example's margin moved by more
+            break
+    w = w.astype(np.float64)
     w[-1] *= x[0, -1]
     return w
 

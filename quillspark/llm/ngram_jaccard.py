@@ -400,5 +400,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = docs.join(lost, docs[id_col].cast("long") == F.col("__lost"), "left_anti")
     # only ids that occur more than once need their texts compared
     again = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    if again.isEmpty():
+        return kept  # no id occurs twice, so neither does a row, and texts move once
+    again = materialise(again)
     same = kept[id_col] == F.col("__again")
     return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
