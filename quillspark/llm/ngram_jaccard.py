@@ -31,7 +31,8 @@ text with fewer than n words has one n-gram of all its words; a row without id
 can't be named in a pair and is left out; repeated rows count once; two texts
 under one id never pair with each other. Other columns are ignored whatever
 their names. An empty table gives no pairs. The input must give its rows in the
-same order when it is read again, as files do.
+same order when it is read again, as files do; batches that repeat one another
+number their documents alike and count as one.
 """
 
 from __future__ import annotations
@@ -111,7 +112,8 @@ def _tokenise(n: int, buckets: int):
                 if not len(tokens):
                     continue
                 k, i = part.column("k").to_numpy(), part.column("i").to_numpy()
-                flush = tc.signed(tc.mix64(k.view(np.uint64)).sum() + np.uint64(len(k)))
+                # the order counts: only batches that number the same documents alike share a name
+                flush = tc.signed(tc.mix64(tc.mix64(k.view(np.uint64)) + np.arange(len(k), dtype=np.uint64)).sum() + np.uint64(len(k)))
                 value = tokens >> _S16
                 first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
                 count = np.diff(np.append(first, len(value)))
@@ -188,6 +190,9 @@ def _prefixes(threshold: float):
             df.append(np.frombuffer(b, np.uint16, m))
             value.append(_unplanes(b[2 * m :]))
         df, value = np.concatenate(df).astype(np.uint64), np.concatenate(value)
+        if kinds.count(1) > 1:  # batches of the same rows in the same order share these answers
+            value, at = np.unique(value, return_index=True)
+            df = df[at]
         every = (value & np.uint64(ALL)) == ALL
         if every.any():  # n-grams that stand for all their documents of this batch
             where = np.searchsorted(common, value[every] >> _S16)

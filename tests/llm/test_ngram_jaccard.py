@@ -86,6 +86,20 @@ def test_frequent_ngrams_of_one_batch(frame, prose):
     assert got == set(brute(rows))
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_partitions_that_repeat_each_other(frame, prose, step):
+    """Batches of the same rows, in the same order or in another, give each document's n-grams once."""
+    rows = [(i, prose(3000 + i, 40)) for i in range(30)]
+    rows += [(100 + i, " ".join(t.split()[:20] + prose(3100 + i, 20).split())) for i, t in rows]  # J of about 0.3
+    rows += [(200 + i, t + " more words") for i, t in rows[:10]]
+    rows += [(300, prose(5000, 30)), (301, prose(5000, 30))]
+    both = frame(rows + rows[::step])
+    sizes = [len(x) for x in both.rdd.glom().collect()]
+    assert len(set(sizes)) == 1 and len(rows) % sizes[0] == 0  # whole partitions repeat
+    got = {(r[0], r[1]): r[2] for r in nj.near_pairs(both).collect()}
+    assert got == brute(rows) and max(got.values()) == 1
+
+
 def test_long_text(frame, prose):
     long = prose(3, 60_000)
     got = nj.near_pairs(frame([(1, long), (2, long + " end"), (3, prose(4, 50))])).collect()
