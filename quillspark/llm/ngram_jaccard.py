@@ -339,8 +339,8 @@ def _verify(threshold: float):
 
 
 def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: members has ``(cls, id)`` of documents that may have a partner, where a class holds all
-    documents of one n-gram set; pairs has ``(a, b, jaccard)`` of all pairs of different classes at the threshold.
+    """``(members, pairs)``: members has ``(cls, id, k)`` of rows that may have a partner, k being the key of id and
+    text, where a class holds all documents of one n-gram set; pairs has ``(a, b, jaccard)`` of all pairs of different classes at the threshold.
 
     This is the join's result without expanding pairs of equal documents, whose number is quadratic.
     """
@@ -374,13 +374,13 @@ def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shipped = needed.join(sets, "cls").select("leader", "part", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens")
     work = shipped.union(pairs.select("leader", "part", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
     good = work.groupBy("leader", "part").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return indexed.select("cls", "id").distinct(), good
+    return indexed.select("cls", "id", "k"), good
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
     """All pairs ``(doc_a, doc_b, jaccard)``, doc_a < doc_b, of documents at the threshold or above."""
     members, pairs = class_pairs(docs, id_col, text_col, n, threshold)
-    members = materialise(members)
+    members = materialise(members.select("cls", "id").distinct())
     one, two = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
     across = pairs.join(one, "a").join(two, "b").select("x", "y", "jaccard")
     within = one.join(two, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
@@ -389,20 +389,23 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """The documents with one of each group of near copies: the one with the least id.
+    """The documents with one of each group of near copies: the one with the least id, then key.
 
-    A group is a connected component of the pairs at the threshold. Rows without
-    id or text stay, and of rows that repeat both id and text one stays.
+    A group is a connected component of rows, known by id and text, whose
+    n-gram sets reach the threshold; two texts under one id are two rows, of
+    which either may go or stay. Rows without id or text stay, and of rows that
+    repeat both id and text one stays.
     """
     members, pairs = class_pairs(docs, id_col, text_col, n, threshold)
-    members = materialise(members)
-    roots = members.groupBy("cls").agg(F.min("id").alias("least"))
-    linked = roots.select(F.col("cls").alias("k"), "least")
-    ids = pairs.join(linked.select(F.col("k").alias("a"), F.col("least").alias("x")), "a").join(linked.select(F.col("k").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-    star = members.join(roots, "cls").select(F.col("id").alias("x"), F.col("least").alias("y"))
-    comp = connected_components(ids.union(star), "x", "y")
-    lost = comp.where("node <> root").select(F.col("node").alias("__lost"))
-    kept = docs.join(lost, docs[id_col].cast("long") == F.col("__lost"), "left_anti")
+    members = materialise(members.distinct())
+    # all rows of a class are copies, so components join classes
+    comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "cls")
+    rooted = members.join(comp, "cls", "left").select("id", "k", F.coalesce("root", "cls").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("id", "k")).alias("f"))
+    lost = rooted.join(first, "root").where("k <> f.k").select(F.col("k").alias("__lost"))
+    own = docs[id_col].cast("long")
+    key = F.xxhash64(own, own.isNull(), docs[text_col], docs[text_col].isNull())  # row_key of the docs' own columns
+    kept = docs.join(lost, key == F.col("__lost"), "left_anti")
     # only ids that occur more than once need their texts compared
     again = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
     if again.isEmpty():

@@ -73,6 +73,13 @@ def test_one_of_each_group_stays(frame, rows):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "cls"]
 
 
+def test_texts_under_one_id_go_or_stay_by_themselves(frame, prose):
+    a, b, c = (prose(7000 + i, 40) for i in range(3))
+    rows = [(3, a + " more"), (7, a), (7, b), (9, b + " more"), (9, c), (9, None), (11, a), (11, ""), (7, b)]
+    kept = sorted((r[0], r[1] or "", r[1] is None) for r in nj.drop_near_duplicates(frame(rows)).collect())
+    assert kept == sorted([(3, a + " more", False), (7, b, False), (9, c, False), (9, "", True), (11, "", False)])
+
+
 def test_empty_table(frame):
     assert nj.near_pairs(frame([])).count() == 0
     assert nj.drop_near_duplicates(frame([])).count() == 0
