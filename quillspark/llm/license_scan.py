@@ -8,7 +8,8 @@ an inverted index, small and fixed by the templates alone, that travels with
 the code; a text's fingerprints are looked up in it in one sorted search for a
 whole batch. Hits of one template on near diagonals form a candidate, and a
 local alignment in a band around them gives the share of the template's words
-that the text has in order, and where.
+that the text has in order, and where. The words of a place found are barred
+and what is left is aligned again, so copies side by side are each found.
 
 The scan is a map over the texts: nothing is shuffled.
 
@@ -21,7 +22,9 @@ empty table gives no rows; columns beside id and text are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Mapping
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,8 @@ TEMPLATES: dict[str, str] = {
 
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Stands for the words of a place already found; no alignment crosses it.
+BARRIER = 0xFFFFFFFFFFFFFFFF
 #: A missing or added word costs this much of a match in the alignment.
 GAP = 0.5
 
@@ -123,10 +128,13 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
 
     Returns the number of matched words and the first and last matched text position.
     """
+    text, template = text.tolist(), template.tolist()
     best, top = (0.0, 0, 0, -1), {}
     for i in range(len(template)):
         row = {}
         for j in range(max(0, i + low), min(len(text) - 1, i + high) + 1):
+            if text[j] == BARRIER:
+                continue
             s, m, first, last = 0.0, 0, j, -1
             if text[j] == template[i]:
                 s, m, first, last = top.get(j - 1, (0.0, 0, j, -1))
@@ -143,27 +151,74 @@ def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[
     return best[1], best[2], best[3]
 
 
+def places(words: np.ndarray, template: np.ndarray, at: np.ndarray, place: np.ndarray, k: int, band: int, min_coverage: float) -> list[tuple[int, int, int]]:
+    """Matched words, first and last word of each place of a template; they don't overlap.
+
+    The best alignment is taken, its words are barred and what is left is aligned again, until no hit is left. Hits
+    on near diagonals are aligned together, in overlapping ranges of diagonals: an alignment has at most two added
+    words for each matched one, so one range holds it whole, and many copies cost no more than their number.
+    """
+    order = np.argsort(at - place, kind="stable")
+    at, diagonal = at[order], (at - place)[order]
+    words, live = words.copy(), np.ones(len(at), dtype=bool)
+    width, ranges = max(len(template), band), []
+    for g in np.split(diagonal, np.flatnonzero(np.diff(diagonal) > band) + 1):
+        for d in range(int(g[0]), max(int(g[0]), int(g[-1]) - 2 * width) + 1, width):
+            ranges.append(np.searchsorted(diagonal, [d, min(int(g[-1]) + 1, d + 3 * width)]))
+    spent: dict[int, np.ndarray] = {}
+    poor: dict[int, list[tuple[int, int]]] = {}
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def push(r: int) -> None:
+        lo, hi = ranges[r]
+        mine = diagonal[lo:hi][live[lo:hi] & ~spent.get(r, np.zeros(hi - lo, dtype=bool))]
+        if not len(mine):
+            return
+        low, high = int(mine[0]) - band, int(mine[-1]) + band
+        base, stop = max(0, low), min(len(words), high + len(template))
+        text = words[base:stop]
+        if r in poor:
+            text = text.copy()
+            for a, b in poor[r]:
+                text[max(0, a - base) : max(0, b + 1 - base)] = BARRIER
+        m, first, last = align(text, template, low - base, high - base)
+        if m:
+            heappush(heap, (-m, last - first, first + base, last + base, r))
+
+    for r in range(len(ranges)):
+        push(r)
+    out = []
+    while heap:
+        m, _, first, last, r = heappop(heap)
+        if (words[first : last + 1] == BARRIER).any():  # another range's place has taken words since
+            push(r)
+        elif -m / len(template) >= min_coverage:
+            out.append((-m, first, last))
+            words[first : last + 1] = BARRIER
+            live &= (at + k <= first) | (at > last)
+            push(r)
+        else:
+            lo, hi = ranges[r]
+            inside = (at[lo:hi] + k > first) & (at[lo:hi] <= last)
+            before = spent.get(r, np.zeros(hi - lo, dtype=bool))
+            spent[r] = before | inside
+            poor.setdefault(r, []).append((first, last))
+            if (inside & ~before & live[lo:hi]).any():
+                push(r)
+    return out
+
+
 def find(words: np.ndarray, index: Index, at: np.ndarray, owner: np.ndarray, place: np.ndarray, band: int, min_coverage: float) -> list[tuple[int, int, int, int]]:
     """Template, matched words, first and last word of every match in one text."""
     out = []
     for t in np.unique(owner):
         mine = owner == t
-        diagonal = np.sort(at[mine] - place[mine])
-        template = index.words[t]
-        groups = np.split(diagonal, np.flatnonzero(np.diff(diagonal) > band) + 1)
-        for g in groups:
-            base = max(0, int(g[0]) - band)
-            stop = min(len(words), int(g[-1]) + len(template) + band)
-            low, high = int(g[0]) - band - base, int(g[-1]) + band - base
-            m, first, last = align(words[base:stop], template, low, high)
-            if m and m / len(template) >= min_coverage:
-                out.append((int(t), m, first + base, last + base))
-    out = sorted(set(out), key=lambda x: (-x[1], x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []
-    for x in out:
-        if not any(y[2] <= x[2] and x[3] <= y[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[2], x[0]))
+        out += [(int(t), *x) for x in places(words, index.words[t], at[mine], place[mine], index.k, band, min_coverage)]
+    kept: dict[int, list[tuple[int, int, int]]] = {}  # places of one template are disjoint: the last that begins before may hold another
+    for t, m, first, last in sorted(out, key=lambda x: (-x[1], x[2], x[0])):
+        if not any(n and x[n - 1][1] >= last for x in kept.values() for n in [bisect_right(x, (first, len(words)))]):
+            insort(kept.setdefault(t, []), (first, last, m))
+    return sorted(((t, m, a, b) for t, x in kept.items() for a, b, m in x), key=lambda x: (x[2], x[0]))
 
 
 _OUT = "doc_id long, license string, coverage double, matched_words int, start_byte int, end_byte int"

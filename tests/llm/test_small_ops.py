@@ -146,6 +146,22 @@ def test_licenses_found_with_spans(frame, prose):
     assert license_scan.scan(frame([])).count() == 0
 
 
+def test_adjacent_copies_of_a_license_are_each_found(frame, prose):
+    t = license_scan.TEMPLATES
+    line, mit = t["MIT-notice"] + ".\n", t["MIT"]
+    gapped = " ".join(w + (" extra" if i % 6 == 5 else "") for i, w in enumerate(mit.split()))
+    rows = [(1, line * 2), (2, line * 1000), (3, (line + "and more. ") * 30), (4, mit + "\n" + gapped + "\n" + mit), (5, prose(1, 9) + " " + line + t["MIT-notice-2"] + " " + line)]
+    got = license_scan.scan(frame(rows)).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault((r["doc_id"], r["license"]), []).append((r["start_byte"], r["end_byte"]))
+    assert {k: len(v) for k, v in spans.items()} == {(1, "MIT-notice"): 2, (2, "MIT-notice"): 1000, (3, "MIT-notice"): 30, (4, "MIT"): 3, (5, "MIT-notice"): 2, (5, "MIT-notice-2"): 1}
+    n = len(line)
+    assert sorted(spans[2, "MIT-notice"]) == [(i * n, i * n + n - 2) for i in range(1000)]
+    for v in spans.values():
+        assert all(a[1] <= b[0] for a, b in zip(sorted(v), sorted(v)[1:]))
+
+
 def test_alignment_equals_full_table():
     r = random.Random(5)
     for _ in range(60):
