@@ -146,6 +146,21 @@ def test_licenses_found_with_spans(frame, prose):
     assert license_scan.scan(frame([])).count() == 0
 
 
+def test_apache_header_is_found_whole_and_without_its_first_line(frame, prose):
+    head = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"
+    )
+    rest = head[head.index("(the") :]
+    rows = [(1, prose(1, 20) + "\n" + head + ".\n" + prose(2, 20)), (2, rest), (3, license_scan.TEMPLATES["Apache-2.0-notice"])]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(rows)).collect()}
+    assert [(i, r["license"]) for i, r in sorted(got.items())] == [(1, "Apache-2.0-header"), (2, "Apache-2.0-header"), (3, "Apache-2.0-notice")]
+    assert got[1]["coverage"] == 1.0 and rows[0][1][got[1]["start_byte"] : got[1]["end_byte"]] == head
+    assert 0.8 < got[2]["coverage"] < 1 and got[2]["end_byte"] == len(rest)
+
+
 def test_adjacent_copies_of_a_license_are_each_found(frame, prose):
     t = license_scan.TEMPLATES
     line, mit = t["MIT-notice"] + ".\n", t["MIT"]
