@@ -26,7 +26,8 @@ repeat of over ``min_bytes`` plus two phrases is always found.
 
 Each batch of documents answers for its own copies: it sends a digest, or a
 suffix, once however often it holds it, so a passage that is everywhere puts no
-more rows into a task than there are batches.
+more rows into a task than there are batches. The first occurrence that the range
+finds for a suffix goes back to its batch, whose own copies then name it too.
 
 Defined results: null and empty texts have no repeats; repeated rows, with
 equal id and text, are one document; a run without triggers (one repeated
@@ -170,6 +171,8 @@ def _dictionary(table: pa.Table) -> pa.Table:
 _MARK = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("src", pa.int64()), ("at", pa.int32())])
 _MARKS = "k long, id long, s int, e int, src long, at int"
 _PACKED = (np.int64, np.int64, np.int8, np.int32, np.int32, np.int64, np.int8, np.int32)
+#: Marks of a batch's own also have the key of the document they name.
+_OWN = (*_PACKED, np.int64)
 
 
 def _pick_first(group: np.ndarray, known: np.ndarray, i: np.ndarray, k: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -182,10 +185,24 @@ def _pick_first(group: np.ndarray, known: np.ndarray, i: np.ndarray, k: np.ndarr
 
 
 def _marks(k, i, known, s, e, first) -> list[np.ndarray]:
-    """Every row that is not its group's first: key, id, whether it has one, start, end, and id and place of the first."""
+    """Every row that is not its group's first: key, id, whether it has one, start, end, and id, place and key of the first."""
     away = (k != k[first]) | (s != s[first])
     at = first[away]
-    return [k[away], i[away], known[away], s[away], e[away], i[at], known[at], s[at]]
+    return [k[away], i[away], known[away], s[away], e[away], i[at], known[at], s[at], k[at]]
+
+
+def _pack(marks: list[np.ndarray], kinds: tuple) -> bytes:
+    return np.int64(len(marks[0])).tobytes() + b"".join(m.astype(t).tobytes() for m, t in zip(marks, kinds))
+
+
+def _unpack(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in kinds]
+    for b in blobs:
+        n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
+        for part, t in zip(parts, kinds):
+            part.append(np.frombuffer(b, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(p) for p in parts]
 
 
 def _joined(marks: list[np.ndarray]) -> list[np.ndarray]:
@@ -215,7 +232,7 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
         answers = [unpack48(b) for kind, b in zip(kinds, blobs) if kind == 2]
         if 1 not in kinds or not answers:
             return nothing
-        b = blobs[kinds.index(1)]
+        b, flush = blobs[kinds.index(1)], table.column("key")[0].as_py()
         n, m = np.frombuffer(b, np.int64, 2)
         at = 16
         k = np.frombuffer(b, np.int64, n, at)
@@ -258,10 +275,10 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
             own = lead[cut[f] : cut[f + 1]]
             c = count[own]
             take = np.repeat(bounds[:-1][own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            sent.append(np.int64(len(own)).tobytes() + kk[own].tobytes() + ii[own].tobytes() + nn[own].tobytes() + s[own].tobytes() + e[own].tobytes() + c.astype(np.int32).tobytes() + pack48(symbols[take]))
+            sent.append(np.array([flush, len(own)], np.int64).tobytes() + kk[own].tobytes() + ii[own].tobytes() + nn[own].tobytes() + s[own].tobytes() + e[own].tobytes() + c.astype(np.int32).tobytes() + pack48(symbols[take]))
         if len(here[0]):  # these marks pass through the next step with the suffixes
             full, kinds = np.append(full, abs(int(here[0][0])) % buckets), [1] * len(sent) + [0]
-            sent.append(np.int64(len(here[0])).tobytes() + b"".join(m.astype(t).tobytes() for m, t in zip(here, _PACKED)))
+            sent.append(np.int64(flush).tobytes() + _pack(here, _OWN))
         else:
             kinds = [1] * len(sent)
         return pa.Table.from_batches([_rows(kinds, full, sent)])
@@ -270,33 +287,55 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
 
 
 def _corpus_order(table: pa.Table) -> pa.Table:
-    """A range of first phrases: its suffixes in corpus order, and every one that is not its interval's first."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-    tables = []
+    """A range of first phrases: its suffixes in corpus order, and for each batch those that are not their interval's first."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+    key, through = [], []
     for told, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        n = int(np.frombuffer(b, np.int64, 1)[0])
-        at = 8
         if not told:
-            marks = []
-            for kind in _PACKED:
-                marks.append(np.frombuffer(b, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            tables.append(_mark_table(*marks))
+            key.append(int(np.frombuffer(b, np.int64, 1)[0]))
+            through.append(b[8:])
             continue
+        flush, n = np.frombuffer(b, np.int64, 2)
+        at = 16
         for slot, kind in enumerate((np.int64, np.int64, np.int8, np.int32, np.int32, np.int32)):
             parts[slot].append(np.frombuffer(b, kind, n, at))
             at += n * np.dtype(kind).itemsize
         parts[6].append(unpack48(b[at:]))
+        parts[7].append(np.full(n, flush))
+    passed = pa.Table.from_batches([_rows([0] * len(through), key, through)])
     if not parts[0]:
-        return pa.concat_tables(tables)
-    k, i, known, s, e, count, symbols = (np.concatenate(p) for p in parts)
+        return passed
+    k, i, known, s, e, count, symbols, batch = (np.concatenate(p) for p in parts)
     bounds = np.concatenate([[0], np.cumsum(count)])
     order, shared = suffix_array(symbols, bounds)
     # suffixes end where they reach min_bytes: those of one interval are equal to their ends
     fresh = (shared < count[order]) | np.concatenate([[True], count[order][1:] != count[order][:-1]])
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(fresh)
-    return pa.concat_tables([*tables, _mark_table(*_marks(k, i, known, s, e, _pick_first(group, known, i, k, s)))])
+    first = _pick_first(group, known, i, k, s)
+    batch = batch[(k != k[first]) | (s != s[first])]
+    marks = _marks(k, i, known, s, e, first)
+    order = np.argsort(batch, kind="stable")
+    who, begin = np.unique(batch[order], return_index=True)
+    blobs = [_pack([m[own] for m in marks], _PACKED) for own in np.split(order, begin[1:])] if len(who) else []
+    return pa.concat_tables([passed, pa.Table.from_batches([_rows([1] * len(who), who, blobs)])])
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """A batch's marks: those of the corpus order, and its own, which name the first occurrence in the corpus."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    told = _unpack([b for kind, b in zip(kinds, blobs) if kind == 1], _PACKED)
+    *own, lead = _unpack([b for kind, b in zip(kinds, blobs) if kind == 0], _OWN)
+    if len(lead) and len(told[0]):
+        _, doc = np.unique(np.concatenate([told[0], lead]), return_inverse=True)
+        spot = (doc.astype(np.int64) << 32) | np.concatenate([told[3], own[7]])
+        known, asked = spot[: len(told[0])], spot[len(told[0]) :]
+        order = np.argsort(known, kind="stable")
+        near = order[np.minimum(np.searchsorted(known, asked, sorter=order), len(order) - 1)]
+        moved = known[near] == asked
+        for c in (5, 6, 7):
+            own[c] = np.where(moved, told[c][near], own[c])
+    return _mark_table(*(np.concatenate(x) for x in zip(told, own)))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, modulus: int = 20, min_bytes: int = 112) -> DataFrame:
@@ -306,7 +345,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = base.select(row_key("i", "t").alias("k"), "i", "t").mapInArrow(_parser(window, modulus, 2 * parts), _ROWS)
     answers = raw.where("kind = 0").groupBy("key").applyInArrow(lambda t: _dictionary(t), _ROWS)
     found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, min_bytes, 2 * parts), _ROWS)
-    marks = found.groupBy("key").applyInArrow(lambda t: _corpus_order(t), _MARKS)
+    ordered = found.groupBy("key").applyInArrow(lambda t: _corpus_order(t), _ROWS)
+    marks = ordered.groupBy("key").applyInArrow(lambda t: _settled(t), _MARKS)
     return chunk_dedup.runs(marks, min_bytes)
 
 

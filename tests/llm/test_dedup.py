@@ -140,3 +140,21 @@ def test_long_repeats_are_always_found(frame, prose):
         rows.append((200 + i, prose(600 + i, 20)[: r.randint(1, 90)] + src + prose(700 + i, 20)))
     got = {r["doc_id"] for r in pd_.report(frame(rows)).collect()}
     assert got == {200 + i for i in range(40)}
+
+
+def test_first_occurrence_over_many_batches(frame, prose):
+    """Copies in other batches name the corpus's first, not that of their own batch."""
+    one, two = prose(801, 60), prose(802, 60)
+    # the character before a copy is each document's own, so that all copies begin alike
+    rows = [(i, prose(1000 + i, 8) + chr(256 + i) + (one, two)[i % 2] + chr(320 + i) + prose(2000 + i, 8)) for i in range(40)]
+    rows = rows[20:] + rows[:20]  # the firsts are in the last partitions
+    text = {i: t for i, t in rows}
+    seen = {}
+    for parts in (1, 4, 13):
+        docs = frame(rows).repartitionByRange(parts, "doc_id") if parts > 1 else frame(rows).coalesce(1)
+        got = sorted(map(tuple, pd_.report(docs).collect()))
+        assert {r[0] for r in got} == set(range(2, 40)) and all(r[3] == r[0] % 2 for r in got)
+        for i, s, e, src, at in got:
+            assert text[src].encode()[at : at + e - s] == text[i].encode()[s:e]
+        seen[parts] = got
+    assert seen[1] == seen[4] == seen[13]
