@@ -11,17 +11,18 @@ and goes; the survivors are recomputed in float, and per-row heaps merge the
 tiles' results. The answer is therefore exact, ties aside, for which the least
 id comes first.
 
-Every vector is a query. Blocks of rows travel once per tile row and column as
-packed matrices, so tasks multiply matrices instead of joining rows; a block
-row's tiles are worked on in turn within a group, so the limit tightens from
-tile to tile. Work is quadratic in the table, as an exact join over all queries
-must be; the shuffled volume is rows times the number of block rows, which
-``block_rows`` sets.
+A stated query set, all rows unless told, asks all rows. Blocks of rows travel
+once per tile row and column as packed matrices, so tasks multiply matrices
+instead of joining rows; a query block's tiles are worked on in turn within a
+group, so the limit tightens from tile to tile. Work is queries times rows, as
+an exact search must be; the shuffled volume is rows times the number of query
+blocks, which ``query_rows`` sets.
 
 Defined results: a row with a null id or vector, an empty vector, or one that
 holds null, NaN or an infinity is left out; vectors must agree in length, else
-``ValueError`` in the task; repeated ids count once (the first in vector order);
-a row is never its own neighbour; with k or fewer other rows all are listed.
+``ValueError`` in the task; repeated ids count once (the first in vector order,
+a query if one of them is); vectors of doubles count as floats; an id that is no
+whole number fails the cast; a row is never its own neighbour; with k or fewer other rows all are listed.
 Other columns are ignored; an empty table gives no rows.
 """
 
@@ -31,9 +32,11 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import materialise
+
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales and error norms of the rows."""
@@ -122,22 +125,27 @@ def _tiles(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, block_rows: int = 4096, span_blocks: int = 16) -> DataFrame:
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, queries: Column | None = None, query_rows: int = 1024, block_rows: int = 4096, span_blocks: int = 4) -> DataFrame:
     """``(vec_id, rank, neighbour_id, distance)``: squared Euclidean distance, rank from 1.
 
-    ``span_blocks`` column blocks share a task with a row block; their heaps are
-    merged by rank afterwards.
+    ``queries`` says which rows ask, all unless told; every row can answer. A
+    block of ``query_rows`` of them meets ``span_blocks`` blocks of
+    ``block_rows`` rows in one task; the spans' heaps are merged by rank
+    afterwards.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<float>").alias("v"))
+    asks = F.lit(True) if queries is None else F.coalesce(queries.cast("boolean"), F.lit(False))
+    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<float>").alias("v"), asks.alias("q"))
     whole = "i is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = float('inf'))"
-    base = base.where(whole).groupBy("i").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-base.count() // block_rows))
-    packed = base.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(_block, "b int, blob binary")
+    base = materialise(base.where(whole).groupBy("i").agg(F.min("v").alias("v"), F.max("q").alias("q")))
+    held, asked = base.agg(F.count("*"), F.count_if("q")).first()
+    blocks, fronts = max(1, -(-held // block_rows)), max(1, -(-asked // query_rows))
     spans = -(-blocks // span_blocks)
-    rows = packed.select("b", F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), F.lit(0).alias("side"), "blob")
-    cols = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("row"), F.floor(F.col("b") / span_blocks).cast("int").alias("span"), F.lit(1).alias("side"), "blob")
-    tiles = rows.select(F.col("b").alias("row"), "span", "side", "blob").union(cols)
-    found = tiles.groupBy("row", "span").applyInArrow(_tiles(k), "vec_id long, neighbour_id long, distance double")
+    spread = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    packed = base.withColumn("b", spread(blocks)).groupBy("b").applyInArrow(_block, "b int, blob binary")
+    front = base.where("q").withColumn("b", spread(fronts)).groupBy("b").applyInArrow(_block, "b int, blob binary")
+    rows = front.select(F.col("b").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), F.lit(0).alias("side"), "blob")
+    cols = packed.select(F.explode(F.sequence(F.lit(0), F.lit(fronts - 1))).alias("row"), F.floor(F.col("b") / span_blocks).cast("int").alias("span"), F.lit(1).alias("side"), "blob")
+    found = rows.union(cols).repartition(fronts * spans, "row", "span").groupBy("row", "span").applyInArrow(_tiles(k), "vec_id long, neighbour_id long, distance double")
     best = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("best"))
     out = best.select("vec_id", F.posexplode("best").alias("at", "n"))
     return out.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("n.neighbour_id").alias("neighbour_id"), F.round("n.distance", 6).alias("distance"))

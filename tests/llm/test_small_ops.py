@@ -288,11 +288,24 @@ def test_neighbours_are_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
     for block, span in ((64, 2), (1000, 16)):
         got = {}
-        for q in block_knn.neighbours(df, k=5, block_rows=block, span_blocks=span).orderBy("vec_id", "rank").collect():
+        for q in block_knn.neighbours(df, k=5, query_rows=block, block_rows=block, span_blocks=span).orderBy("vec_id", "rank").collect():
             got.setdefault(q["vec_id"], []).append(q["neighbour_id"])
         assert got == exact(x, list(range(200)), 5)
 
 
+def test_a_query_set_asks_all_rows(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(150, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 7 == 0 or None) for i in range(150)], "vec_id long, embedding array<float>, q boolean")
+    want = {i: v for i, v in exact(x, list(range(150)), 4).items() if i % 7 == 0}
+    for rows, block, span in ((5, 32, 2), (1000, 1000, 1)):
+        got = {}
+        for q in block_knn.neighbours(df, k=4, queries=F.col("q"), query_rows=rows, block_rows=block, span_blocks=span).orderBy("vec_id", "rank").collect():
+            got.setdefault(q["vec_id"], []).append(q["neighbour_id"])
+        assert got == want
+    assert block_knn.neighbours(df, queries=F.lit(False)).count() == 0
+
+
 def test_bounds_hold():
     r = np.random.default_rng(2)
     a, b = (r.normal(size=(40, 16)).astype(np.float32) for _ in range(2))
