@@ -40,6 +40,14 @@ def row_key(*cols: str):
     return F.xxhash64(*[c for n in cols for c in (F.col(n), F.col(n).isNull())])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the DataFrame doesn't have, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` for every node of an edge list; root is the least node of the component.
 

@@ -20,6 +20,8 @@ hashes. The steps:
    whose sizes rule the threshold out are dropped.
 5. *Verification.* Group pairs are expanded to class pairs, each verified once,
    in one leader's task that holds each class's n-grams once.
+6. *Report.* ``near_classes`` tells each document's class of near copies and its
+   number of links, as many rows as documents; ``near_pairs`` lists all pairs.
 
 No candidate is capped or dropped. A batch sends an n-gram that many of its
 documents hold once, with their number, so the most frequent n-gram puts no
@@ -29,8 +31,11 @@ in many prefixes costs a row of the bit matrix per group.
 Defined results: a null or blank text has no n-grams and pairs with nothing; a
 text with fewer than n words has one n-gram of all its words; a row without id
 can't be named in a pair and is left out; repeated rows count once; two texts
-under one id never pair with each other. Other columns are ignored whatever
-their names. An empty table gives no pairs. The input must give its rows in the
+under one id never pair with each other in ``near_pairs``, and are two rows that
+may link to each other in ``near_classes``; an id that is no whole number fails
+the cast. Frequencies over 65,535 count as equal: they only order the n-grams,
+and any order gives the same pairs. Other columns are ignored whatever their
+names. An empty table gives no pairs. The input must give its rows in the
 same order when it is read again, as files do; batches that repeat one another
 number their documents alike and count as one.
 """
@@ -45,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .cluster import connected_components, materialise, partitions, row_key
+from .cluster import connected_components, fresh_name, materialise, partitions, row_key
 
 BITS = 48
 _M48 = np.uint64((1 << BITS) - 1)
@@ -55,7 +60,7 @@ FLUSH_ROWS, FLUSH_BYTES = 1 << 13, 12_000_000
 #: An n-gram of more documents of a batch than this is sent once, with their number, and stands for them all.
 HOT, ALL = 64, 0xFFFF
 #: Class pairs that one verification task holds at once.
-PART_PAIRS = 1 << 20
+PART_PAIRS = 1 << 17
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -292,9 +297,13 @@ def _group_pairs(threshold: float, tile: int = 1024):
     return run
 
 
-def _verify(threshold: float):
-    """Part of a leader's class pairs, and their classes: the pairs that reach the threshold, with their similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+def _verify(threshold: float, summary: bool):
+    """Part of a leader's class pairs, and their classes: the pairs that reach the threshold, with their similarity.
+
+    In a summary each class of a pair is told once: the documents that it is linked with here, and the least class
+    of those that such pairs join here. That is as many rows as classes, however many pairs they form.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())] if summary else [("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -303,7 +312,7 @@ def _verify(threshold: float):
         cls, blobs = a[at], table.column("tokens")
         order = np.argsort(cls, kind="stable")
         cls, at = cls[order], at[order]
-        sizes = b[at]
+        sizes, held = b[at], table.column("held").to_numpy()[at]
         sets = [unpack48(blobs[int(i)].as_py()) for i in at]
         size = np.array([len(s) for s in sets])
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -316,6 +325,7 @@ def _verify(threshold: float):
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
         stop = np.append(first[1:], len(x)) if len(x) else []
         out_a, out_b, out_j = [], [], []
+        links, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
         for s, e in zip(first, stop):
             own = flat[begin[x[s]] : begin[x[s]] + size[x[s]]]
             flag[own] = 1
@@ -327,10 +337,20 @@ def _verify(threshold: float):
                 both = np.add.reduceat(flag[flat[index]].astype(np.int64), head)
                 j = both / (sizes[x[s]] + sizes[who] - both)
                 good = j >= threshold
-                out_a.append(np.full(int(good.sum()), cls[x[s]]))
-                out_b.append(cls[who[good]])
-                out_j.append(j[good])
+                who = who[good]
+                if summary and len(who):
+                    links[x[s]] += held[who].sum()
+                    links[who] += held[x[s]]  # a class pairs with another once
+                    joined = _roots(root, np.append(who, x[s]))
+                    root[joined] = joined.min()
+                elif len(who):
+                    out_a.append(np.full(len(who), cls[x[s]]))
+                    out_b.append(cls[who])
+                    out_j.append(j[good])
             flag[own] = 0
+        if summary:
+            told = np.flatnonzero(links)
+            return pa.table({"a": cls[told], "b": cls[_roots(root, told)], "links": links[told]}, schema=schema)
         if not out_a:
             return schema.empty_table()
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "jaccard": np.concatenate(out_j)}, schema=schema)
@@ -338,22 +358,35 @@ def _verify(threshold: float):
     return run
 
 
-def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: members has ``(cls, id, k)`` of rows that may have a partner, k being the key of id and
-    text, where a class holds all documents of one n-gram set; pairs has ``(a, b, jaccard)`` of all pairs of different classes at the threshold.
+def _roots(root: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Roots of some nodes of a forest; their paths are shortened."""
+    up = root[of]
+    while (root[up] != up).any():
+        up = root[up]
+    root[of] = up
+    return up
 
-    This is the join's result without expanding pairs of equal documents, whose number is quadratic.
-    """
+
+_INDEXED = "k long, id long, size long, cls long, gid long, prefix binary, tokens binary"
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    return base.select(row_key("i", "t").alias("k"), "i", "t")
+
+
+def _joined_classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, summary: bool) -> tuple[DataFrame, DataFrame]:
+    """``(members, found)``: members has ``(cls, id, k)`` of rows that may have a partner, k being the key of id and
+    text, where a class holds all documents of one n-gram set; found has ``(a, b, jaccard)`` of all pairs of different
+    classes at the threshold or, in a summary, ``(a, b, links)``: documents of other classes that those of class a are
+    linked with, over several rows, each with a class b that a is joined with or a itself."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
     parts = partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    base = base.select(row_key("i", "t").alias("k"), "i", "t")
-    raw = base.mapInArrow(_tokenise(n, 2 * parts), _ROWS)
+    raw = _keyed(docs, id_col, text_col).where("t is not null").mapInArrow(_tokenise(n, 2 * parts), _ROWS)
     answers = raw.groupBy("key").applyInArrow(lambda t: _frequent(t), _ROWS)
-    indexed = answers.groupBy("key").applyInArrow(_prefixes(threshold), "k long, id long, size long, cls long, gid long, prefix binary, tokens binary")
-    indexed = materialise(indexed)
+    indexed = materialise(answers.groupBy("key").applyInArrow(_prefixes(threshold), _INDEXED))
 
     groups = indexed.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     postings = groups.mapInArrow(_postings, "token long, gid long, size int")
@@ -361,20 +394,59 @@ def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = lists.groupBy("leader").applyInArrow(_group_pairs(threshold), "ga long, gb long, leader long")
     found = found.groupBy("ga", "gb").agg(F.min("leader").alias("leader"))
 
-    classes = indexed.groupBy("cls").agg(F.first("size").alias("size"), F.first("gid").alias("gid"))
+    sets = indexed.groupBy("cls").agg(F.first("size").alias("size"), F.first("gid").alias("gid"), F.first("tokens").alias("tokens"), F.count_distinct("k").alias("held"))
+    classes = indexed.select("cls", "gid").distinct()
     side = lambda s: classes.select(F.col("gid").alias("g" + s), F.col("cls").alias(s))
     across = found.join(side("a"), "ga").join(side("b"), "gb").select("a", "b", "leader")
     within = side("a").withColumnRenamed("ga", "leader").join(side("b").withColumnRenamed("gb", "leader"), "leader").where("a < b").select("a", "b", "leader")
     pairs = materialise(across.union(within))
     # a leader with many pairs is split by their first class, so that no task holds more than a part
-    load = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(PART_PAIRS))).alias("parts"))
+    load = materialise(pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(PART_PAIRS))).alias("parts")))
+    tasks = max(parts, load.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0])
     pairs = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     needed = pairs.select("leader", "part", F.col("a").alias("cls")).union(pairs.select("leader", "part", F.col("b").alias("cls"))).distinct()
-    sets = indexed.groupBy("cls").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    shipped = needed.join(sets, "cls").select("leader", "part", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens")
-    work = shipped.union(pairs.select("leader", "part", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
-    good = work.groupBy("leader", "part").applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return indexed.select("cls", "id", "k"), good
+    shipped = needed.join(sets, "cls").select("leader", "part", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens", "held")
+    work = shipped.union(pairs.select("leader", "part", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"), F.lit(0).cast("long").alias("held")))
+    # the work follows the pairs, not the bytes, so the number of tasks is said here
+    work = work.repartition(min(tasks, 1 << 15), "leader", "part")
+    out = "a long, b long, links long" if summary else "a long, b long, jaccard double"
+    return indexed.select("cls", "id", "k"), work.groupBy("leader", "part").applyInArrow(_verify(threshold, summary), out)
+
+
+def class_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``: members has ``(cls, id, k)`` of rows that may have a partner, k being the key of id and
+    text, where a class holds all documents of one n-gram set; pairs has ``(a, b, jaccard)`` of all pairs of different classes at the threshold.
+
+    This is the join's result without expanding pairs of equal documents, whose number is quadratic.
+    """
+    return _joined_classes(docs, id_col, text_col, n, threshold, summary=False)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """``(k, id, root, links)`` of the rows that may have a partner, each once; the links don't count its own class."""
+    members, told = _joined_classes(docs, id_col, text_col, n, threshold, summary=True)
+    told = materialise(told)
+    comp = connected_components(told, "a", "b").withColumnRenamed("node", "cls")
+    links = told.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    # all rows of a class are copies, so components join classes
+    linked = members.distinct().join(comp, "cls", "left").join(links, "cls", "left")
+    return linked.select("k", "id", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` for every distinct row of id and text: the least id of the row's near copies,
+    joined link by link, and the number of other rows that its n-gram set reaches the threshold with.
+
+    The join's result in as many rows as there are documents: every link is found, verified and counted, but a class
+    of copies isn't expanded into its pairs. Rows that resemble no other, blank ones too, are a class of their own.
+    """
+    rows = materialise(_components(docs, id_col, text_col, n, threshold))
+    own = rows.groupBy("cls").agg((F.count("*") - 1).alias("more"))
+    least = rows.groupBy("root").agg(F.min("id").alias("class_id"))
+    known = rows.join(own, "cls").join(least, "root").select("k", "class_id", (F.col("links") + F.col("more")).alias("n_links"))
+    every = _keyed(docs, id_col, text_col).select("k", "i").distinct()
+    out = every.join(known, "k", "left")
+    return out.select(F.col("i").alias("doc_id"), F.coalesce("class_id", "i").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
@@ -396,20 +468,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     which either may go or stay. Rows without id or text stay, and of rows that
     repeat both id and text one stays.
     """
-    members, pairs = class_pairs(docs, id_col, text_col, n, threshold)
-    members = materialise(members.distinct())
-    # all rows of a class are copies, so components join classes
-    comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "cls")
-    rooted = members.join(comp, "cls", "left").select("id", "k", F.coalesce("root", "cls").alias("root"))
+    rooted = materialise(_components(docs, id_col, text_col, n, threshold))
     first = rooted.groupBy("root").agg(F.min(F.struct("id", "k")).alias("f"))
-    lost = rooted.join(first, "root").where("k <> f.k").select(F.col("k").alias("__lost"))
+    lost = rooted.join(first, "root").where("k <> f.k").select("k")
+    row = fresh_name(docs, "row")
     own = docs[id_col].cast("long")
     key = F.xxhash64(own, own.isNull(), docs[text_col], docs[text_col].isNull())  # row_key of the docs' own columns
-    kept = docs.join(lost, key == F.col("__lost"), "left_anti")
+    kept = docs.join(lost.withColumnRenamed("k", row), key == F.col(row), "left_anti")
     # only ids that occur more than once need their texts compared
-    again = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    again = docs.groupBy(own.alias(row)).count().where(f"count > 1 and {row} is not null").select(row)
     if again.isEmpty():
         return kept  # no id occurs twice, so neither does a row, and texts move once
     again = materialise(again)
-    same = kept[id_col] == F.col("__again")
+    same = kept[id_col].cast("long") == F.col(row)
     return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

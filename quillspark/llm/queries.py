@@ -32,7 +32,8 @@ def mix_levels() -> list[Column]:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_pairs(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+    """One row per document: the class of its near copies and its number of links."""
+    return ngram_jaccard.near_classes(_table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +90,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
-WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+') AS ws FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[^ \t\n\r\f\v]+') AS ws
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+g AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS gram FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (x.n + y.n - o)::DOUBLE AS jaccard
-FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE o / (x.n + y.n - o)::DOUBLE >= 0.5""",
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE o / (x.n + y.n - o)::DOUBLE >= 0.5),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT reach.a, min(w.doc_id) AS class_id FROM reach JOIN w ON w.r = reach.b GROUP BY reach.a),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT w.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links FROM w JOIN c ON c.a = w.r LEFT JOIN l ON l.a = w.r""",
     "op8_quality_rules": quality_rules.oracle(),
     "op9_block_neighbours": """
 WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour_id,

@@ -134,3 +134,50 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 9), (20, 21), (30, 30)] + [(i, i + 1) for i in range(100, 160)]
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in (1, 2, 3, 9)} == {1} and got[21] == 20 and {got[k] for k in range(100, 161)} == {100} and 30 not in got
+
+
+def brute_classes(rows, t=0.5):
+    """Class and links of every distinct row with an id."""
+    every = sorted({(i, x) for i, x in rows if i is not None}, key=repr)
+    sets, root, links = {r: grams(r[1]) for r in every}, {r: r for r in every}, dict.fromkeys(every, 0)
+
+    def find(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    for a, b in itertools.combinations(every, 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t:
+            links[a] += 1
+            links[b] += 1
+            root[find(b)] = find(a)
+    least = {}
+    for r in every:
+        least[find(r)] = min(r[0], least.get(find(r), r[0]))
+    return sorted((r[0], least[find(r)], links[r]) for r in every)
+
+
+def test_classes_equal_brute_force(frame, rows, prose):
+    rows = [*rows, (7, prose(8000, 50)), (7, rows[7][1] + " more"), (3, rows[30][1])]  # ids with two texts
+    got = nj.near_classes(frame(rows, "cls"))
+    assert got.columns == ["doc_id", "class_id", "n_links"] and sorted(map(tuple, got.collect())) == brute_classes(rows)
+
+
+def test_classes_of_a_large_cluster(frame, prose, monkeypatch):
+    """Many different texts of one cluster, verified in several parts, keep every link."""
+    monkeypatch.setattr(nj, "PART_PAIRS", 200)
+    base = prose(1, 60).split()
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for j in range(i % 7):
+            w[(i * 11 + j * 5) % 60] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    assert sorted(map(tuple, nj.near_classes(frame(rows)).collect())) == brute_classes(rows)
+
+
+def test_clashing_names(frame, rows):
+    docs = frame(rows[:30], "row").withColumnRenamed("source", "ROW_").withColumnRenamed("lang", "k")
+    kept = nj.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == nj.drop_near_duplicates(frame(rows[:30])).count()
+    assert nj.near_classes(frame([])).count() == 0
