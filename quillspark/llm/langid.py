@@ -13,12 +13,14 @@ runs of digits and symbols, teach the machines what no language looks like.
 
 The machines are fitted by dual coordinate descent on at most
 ``train_per_language`` labelled rows for each language (a documented bound: the
-rows with the least hash). Classification reads every text whole, in numpy
-passes over Arrow buffers.
+rows with the least hash; of rows with equal hashes all). Whole texts are hashed
+on the executors; the driver gets their gram frequencies alone. Classification
+reads every text whole, in numpy passes over Arrow buffers.
 
 Defined results: null and empty texts are rejected, with a null language;
-repeated rows are classified each; a label seen nowhere in ``families`` is a
-family of its own; with no labelled rows at all every text is rejected; other
+repeated rows are classified each; a very long text is scored whole; a label
+seen nowhere in ``families`` is a family of its own; of families or languages
+that tie the first by name is taken; with no labelled rows at all every text is rejected; other
 columns pass through or are ignored whatever their names; an empty table gives
 an empty result.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .cluster import row_key
+from .cluster import fresh_name
 
 DIM_BITS = 14
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance"}
@@ -55,67 +57,67 @@ def gram_slots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return slots, inside
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """Dense relative gram frequencies, for fitting only."""
-    out = np.zeros((len(texts), 1 << DIM_BITS), np.float32)
-    for i, t in enumerate(texts):
-        buf = np.frombuffer(t, np.uint8)
-        slots, inside = gram_slots(buf, np.array([0, len(buf)]))
-        counts = np.bincount(slots[inside], minlength=1 << DIM_BITS)
-        out[i] = counts / max(1, counts.sum())
-    return out
+def features(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and relative frequencies of one text's grams."""
+    slots, inside = gram_slots(buf, np.array([0, len(buf)]))
+    slot, count = np.unique(slots[inside], return_counts=True)
+    return slot, (count / max(1, count.sum())).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Weights and bias of a linear machine, by dual coordinate descent on the squared hinge loss."""
+def fit_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, scale: float, cost: float = 4.0, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Weights and bias of a linear machine, by dual coordinate descent on the squared hinge loss.
+
+    Examples are slots and values, which ``scale`` multiplies; one more feature of their root mean square norm is the bias.
+    """
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.full((len(x), 1), np.float32(np.sqrt((x * x).sum(1).mean() + 1e-12)))])
+    norm = np.array([float(v @ v) for _, v in x]) * scale * scale
+    one = float(np.sqrt(norm.mean() + 1e-12))
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * cost * share)
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(y))
-    square = (x * x).sum(1) + diagonal
+    w, bias, alpha = np.zeros(1 << DIM_BITS, np.float32), 0.0, np.zeros(len(y))
+    square = norm + one * one + diagonal
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * float(x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            slot, value = x[i]
+            g = y[i] * (scale * float(value @ w[slot]) + one * bias) - 1 + diagonal[i] * alpha[i]
             step = max(0.0, alpha[i] - g / square[i]) - alpha[i]
             if step:
-                w += np.float32(step * y[i]) * x[i]
+                w[slot] += np.float32(step * y[i] * scale) * value
+                bias += step * y[i] * one
                 alpha[i] += step
                 most = max(most, abs(step) * square[i])
         if most < 0.02:  # no example's margin moved by more
             break
-    w = w.astype(np.float64)
-    w[-1] *= x[0, -1]
-    return w
+    return np.append(w.astype(np.float64), bias * one)
 
 
 class Hierarchy:
-    """The fitted machines: columns of ``weights`` are the families', then the duels'."""
+    """The fitted machines: columns of ``weights`` are the families', then the duels'.
+
+    Examples are label, slots and values; those of noise have the label "".
+    """
 
-    def __init__(self, texts: list[bytes], labels: list[str], families: dict[str, str], seed: int = 5):
+    def __init__(self, examples: list[tuple[str, np.ndarray, np.ndarray]], families: dict[str, str], seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.languages = sorted(set(labels))
+        self.languages = sorted({e[0] for e in examples} - {""})
         family = {x: families.get(x, "only " + x) for x in self.languages}
         self.families = sorted(set(family.values()))
         self.members = [[x for x in self.languages if family[x] == f] for f in self.families]
-        noise = [bytes(rng.permutation(np.frombuffer(t[:2000], np.uint8))) for t in texts[:: max(1, len(texts) // 150)] if t]
         marks = np.frombuffer(b"0123456789#$%&*@!?;:/()[]{}<>=+-_.,  \n", np.uint8)
-        noise += [bytes(rng.choice(marks, int(rng.integers(5, 1000)))) for _ in range(80)]
+        examples = examples + [("", *features(rng.choice(marks, int(rng.integers(5, 1000))))) for _ in range(80)]
+        x = [e[1:] for e in examples]
         # scaled so that a text's features have a norm of about one
-        self.scale = 1.0
-        x = features(texts + noise)
-        self.scale = float(1 / np.sqrt((x * x).sum(1).mean()))
-        x *= np.float32(self.scale)
-        lab = np.array(labels + [""] * len(noise))
+        scale = float(1 / np.sqrt(np.mean([float(v @ v) for _, v in x])))
+        lab = np.array([e[0] for e in examples])
         fam = np.array([family.get(v, "") for v in lab])
         self.duels = [(f, a, b) for f, m in enumerate(self.members) for a, b in itertools.combinations(m, 2)]
-        fitted = [fit_svm(x, np.where(fam == f, 1.0, -1.0)) for f in self.families]
+        fitted = [fit_svm(x, np.where(fam == f, 1.0, -1.0), scale) for f in self.families]
         for _, a, b in self.duels:
-            pick = (lab == a) | (lab == b)
-            fitted.append(fit_svm(x[pick], np.where(lab[pick] == a, 1.0, -1.0)))
+            pick = np.flatnonzero((lab == a) | (lab == b))
+            fitted.append(fit_svm([x[i] for i in pick], np.where(lab[pick] == a, 1.0, -1.0), scale))
         w = np.array(fitted).T
-        self.weights, self.bias = np.ascontiguousarray(w[:-1] * self.scale).astype(np.float32), w[-1]
+        self.weights, self.bias = np.ascontiguousarray(w[:-1] * scale).astype(np.float32), w[-1]
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Score of each text (rows) under each machine (columns); NaN for empty texts."""
@@ -165,22 +167,40 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, families: di
     ranked = hashed.where("l is not null and t is not null and t <> ''").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
     edge = ranked.where(F.col("r") <= train_per_language).groupBy("l").agg(F.max("h").alias("edge"))
     picked = hashed.join(F.broadcast(edge), "l").where("h <= edge and t is not null and t <> ''")
-    rows = picked.orderBy("l", "h", "t").select("l", F.lower("t").alias("t")).collect()
-    return Hierarchy([r["t"].encode() for r in rows], [r["l"] for r in rows], families) if rows else None
+    rows = picked.select("l", "h", "t").mapInArrow(_examples, "l string, h long, noise boolean, slots binary, shares binary").orderBy("l", "h", "noise", "slots", "shares").collect()
+    if not rows:
+        return None
+    return Hierarchy([("" if r["noise"] else r["l"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows], families)
+
+
+def _examples(batches):
+    """Grams of each text and, for one in eight by hash, of its bytes in random order, which no language looks like."""
+    for batch in batches:
+        out = []
+        texts = tc.lowered(batch.column("t"))
+        for l, h, t in zip(batch.column("l").to_pylist(), batch.column("h").to_pylist(), texts.to_pylist()):
+            buf = np.frombuffer(t.encode(), np.uint8)
+            out.append((l, h, False, *features(buf)))
+            if h % 8 == 0:
+                out.append((l, h, True, *features(np.random.default_rng(h % (1 << 32)).permutation(buf))))
+        if out:
+            l, h, noise, slots, shares = zip(*out)
+            yield pa.record_batch({"l": pa.array(l), "h": pa.array(h, pa.int64()), "noise": pa.array(noise), "slots": pa.array([x.tobytes() for x in slots], pa.binary()), "shares": pa.array([x.tobytes() for x in shares], pa.binary())})
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", families: dict[str, str] = FAMILIES, train_per_language: int = 300, reject_below: float = 0.8, keep_columns: bool = False) -> DataFrame:
-    """``(doc_id, family, language, margin, rejected)`` for every row; with ``keep_columns`` the row's own columns, with
-    the four as ``__family`` and so on."""
+    """``(doc_id, family, language, margin, rejected)`` for every row; with ``keep_columns`` the row's own columns and a
+    struct of the four, ``found`` or, where that is taken, the first free name with underscores behind it: the last column."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, families, train_per_language))
-    base = docs.select("*") if keep_columns else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
-    text = text_col if keep_columns else "__t"
-    own = [c for c in base.columns if c != "__t" or keep_columns]
-    names = ("__family", "__language", "__margin", "__rejected") if keep_columns else ("family", "language", "margin", "rejected")
-    schema = base.select(*[F.col(f"`{c}`") for c in own], F.lit("").alias(names[0]), F.lit("").alias(names[1]), F.lit(0.0).alias(names[2]), F.lit(True).alias(names[3])).schema
-    for f in schema.fields[-4:]:
-        f.nullable = True
+    base = docs if keep_columns else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    text = base.columns.index(text_col) if keep_columns else 1
+    own = list(range(len(base.columns))) if keep_columns else [0]
+    found = F.lit(None).cast("struct<family: string, language: string, margin: double, rejected: boolean>")
+    if keep_columns:
+        schema = base.withColumn(fresh_name(base, "found"), found).schema
+    else:
+        schema = base.select("doc_id", found.alias("f")).select("doc_id", "f.*").schema
 
     def run(batches):
         m = model.value
@@ -199,6 +219,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     fam = [None if i < 0 else m.families[j] for i, j in zip(got, f)]
                     margin = [None if x != x else float(x) for x in np.round(s, 6)]
                 made = [pa.array(fam, pa.string()), pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(gone)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *made], names=[*own, *names])
+                if keep_columns:
+                    made = [pa.StructArray.from_arrays(made, ["family", "language", "margin", "rejected"])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *made], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -3,8 +3,13 @@
 Each rule names a metric and the range that it must lie in. All metrics are
 columns of one projection over two arrays, the words and the lines of a text,
 which are split once, and one class-mapped copy of it; no user function runs. A document passes when it breaks
-no rule. A metric that is undefined, as every ratio of an empty text is, breaks
-no ratio rule; empty and null texts fail ``n_words`` alone.
+no rule. No metric changes its definition with a text's size: the stop-word
+ratio is smoothed, (stop words + 1) / (words + 1), so that a text of a few words
+can't show a lack of them, and the variety of words is the logarithm of the
+number of different words over that of all words, which, unlike their ratio,
+stays level as a text of one kind grows. A metric that is undefined, as every
+ratio of an empty text and the variety of a single word are, breaks no rule;
+empty and null texts fail ``n_words`` alone.
 
 Words are runs of characters other than ASCII white space; lines are separated
 by ``\\n`` and count where they hold more than white space. Repeated rows are
@@ -43,8 +48,8 @@ RULES = (
     Rule("symbol_ratio", high=0.10),
     Rule("digit_ratio", high=0.60),
     Rule("upper_ratio", high=0.50),
-    Rule("stop_word_ratio", low=0.004),
-    Rule("distinct_word_ratio", low=0.06),
+    Rule("stop_word_ratio", low=0.03),
+    Rule("word_variety", low=0.65),
     Rule("repeated_line_ratio", high=0.60),
     Rule("bullet_line_ratio", high=0.90),
     Rule("ellipsis_line_ratio", high=0.50),
@@ -75,9 +80,9 @@ def metrics(lines: Column) -> dict[str, Column]:
         "symbol_ratio": ratio(solid - F.col("__symbols"), solid),
         "digit_ratio": ratio(solid - F.col("__digits"), solid),
         "upper_ratio": ratio(solid - F.col("__upper"), solid),
-        "stop_word_ratio": F.when(n_words >= 30, ratio(F.col("__stop"), n_words)),
-        "distinct_word_ratio": F.when(n_words >= 30, ratio(F.col("__words"), F.least(n_words, F.lit(1000)))),
-        "repeated_line_ratio": F.when(n_lines >= 4, ratio(n_lines - F.col("__kinds"), n_lines)),
+        "stop_word_ratio": F.when(n_words > 0, ratio(F.col("__stop") + 1, n_words + 1)),
+        "word_variety": F.when(n_words > 1, F.round(F.log(F.col("__words")) / F.log(n_words), 6)),
+        "repeated_line_ratio": ratio(n_lines - F.col("__kinds"), n_lines),
         "bullet_line_ratio": ratio(F.size(F.filter(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))), n_lines),
         "ellipsis_line_ratio": ratio(F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("..."))), n_lines),
     }
@@ -119,9 +124,9 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
         "symbol_ratio": ratio(f"length(t) - {less(quoted)}", solid),
         "digit_ratio": ratio(f"length(t) - {less('0123456789')}", solid),
         "upper_ratio": ratio(f"length(t) - {less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}", solid),
-        "stop_word_ratio": f"CASE WHEN len(w) >= 30 THEN {ratio(f'len(list_filter(w, lambda v: lower(v) IN ({stop})))', 'len(w)')} END",
-        "distinct_word_ratio": f"CASE WHEN len(w) >= 30 THEN {ratio('len(list_distinct(w))', 'least(len(w), 1000)')} END",
-        "repeated_line_ratio": f"CASE WHEN len(x) >= 4 THEN {ratio('len(x) - len(list_distinct(x))', 'len(x)')} END",
+        "stop_word_ratio": f"CASE WHEN len(w) > 0 THEN round((len(list_filter(w, lambda v: lower(v) IN ({stop}))) + 1)::DOUBLE / (len(w) + 1), 6) END",
+        "word_variety": "CASE WHEN len(w) > 1 THEN round(ln((SELECT count(DISTINCT v) FROM unnest(w) u(v))) / ln(len(w)), 6) END",
+        "repeated_line_ratio": ratio("len(x) - len(list_distinct(x))", "len(x)"),
         "bullet_line_ratio": ratio("len(list_filter(x, lambda v: substring(ltrim(v), 1, 1) IN ('-', '*', '•')))", "len(x)"),
         "ellipsis_line_ratio": ratio("len(list_filter(x, lambda v: suffix(rtrim(v), '...')))", "len(x)"),
     }

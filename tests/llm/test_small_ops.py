@@ -230,12 +230,43 @@ def test_language_id_rejects_and_keeps_columns(spark, tongues):
     rows = [(i, tongues(x, i), x) for i, x in enumerate(["en", "de", "fr", "es"] * 40)]
     noise = "".join(chr(r.choice([*range(33, 65), *range(91, 97), *range(123, 127)])) for _ in range(400))
     odd = [(900, None, "en"), (901, "", None), (902, "12 34 ...", None), (903, noise, None), (904, tongues("fr", 7, 800), None), (904, tongues("fr", 7, 800), None), (None, tongues("de", 8), None)]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("rejected", F.lit(1))
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("found", F.lit(1)).withColumn("__family", F.lit(2))
     out = langid.identify(docs, keep_columns=True)
     got = {r["doc_id"]: r for r in out.collect()}
-    assert out.columns[:4] == docs.columns and out.count() == len(rows) + len(odd)
-    assert all(got[i]["__rejected"] and got[i]["__language"] is None for i in (900, 901, 902, 903))
-    assert got[904]["__language"] == "fr" and got[None]["__language"] == "de"
+    assert out.columns == [*docs.columns, "found_"] and out.count() == len(rows) + len(odd)
+    assert all(got[i]["found_"]["rejected"] and got[i]["found_"]["language"] is None for i in (900, 901, 902, 903))
+    assert got[904]["found_"]["language"] == "fr" and got[None]["found_"]["language"] == "de" and got[0]["found"] == 1
+
+
+def test_language_id_scores_equal_brute_force(spark, tongues):
+    """Family, duels and rejection of each text, recomputed gram by gram from the machines."""
+    rows = [(i, tongues(x, i, 12 + i % 30), x) for i, x in enumerate(["en", "de", "fr", "es"] * 30)] + [(500, tongues("es", 9, 30_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs, "doc_id", "text", "lang", langid.FAMILIES, 20)
+
+    def score(text, column):
+        raw, total, n = text.lower().encode(), 0.0, 0
+        for i in range(len(raw)):
+            h = 0
+            for k in range(min(4, len(raw) - i)):
+                h = ((h * 0x01000193) & 0xFFFFFFFF) ^ (raw[i + k] + 1)
+                x = ((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+                total, n = total + float(m.weights[x >> (32 - langid.DIM_BITS), column]), n + 1
+        return total / n + m.bias[column]
+
+    for r in langid.identify(docs, train_per_language=20).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        if len(text) > 9_000 and r["doc_id"] != 500:
+            continue
+        families = [score(text, j) for j in range(len(m.families))]
+        best = int(np.argmax(families))
+        assert abs(families[best] - r["margin"]) < 1e-4 and r["rejected"] == (families[best] < -0.8)
+        if not r["rejected"]:
+            wins = dict.fromkeys(m.members[best], 0)
+            for d, (f, a, b) in enumerate(m.duels):
+                if f == best:
+                    wins[a if score(text, len(m.families) + d) > 0 else b] += 1
+            assert r["family"] == m.families[best] and wins[r["language"]] == max(wins.values())
 
 
 def test_language_id_without_labels(frame):
@@ -263,6 +294,17 @@ def test_quality_rules_equal_sql(spark, frame, prose):
     assert quality_rules.apply_rules(frame([])).count() == 0
 
 
+def test_rules_hold_at_every_size(frame):
+    """The same kind of text is judged alike, short or long."""
+    kinds = [f"word{i}" for i in range(60)]
+    poor = lambda n: "the " + " ".join(kinds[i % 60] for i in range(n))
+    rows = [(1, poor(3_000)), (2, poor(1_000_000)), (3, " ".join("xyzzy" for _ in range(29))), (4, " ".join("xyzzy" for _ in range(30))), (5, "same\nsame\nsame"), (6, "same\nsame\nsame\nsame"), (7, "one two")]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(frame(rows)).collect()}
+    assert all("word_variety" in got[i]["broken_rules"] for i in (1, 2, 3, 4)) and got[7]["keep"]
+    assert all("repeated_line_ratio" in got[i]["broken_rules"] for i in (5, 6))
+    assert all(0 <= r["word_variety"] <= 1 for r in got.values())
+
+
 def test_rules_are_one_projection(frame):
     plan = quality_rules.apply_rules(frame([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
