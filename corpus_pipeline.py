@@ -23,8 +23,10 @@ ORACLE_SQL = None
 
 def identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go; the others get the language found."""
-    found = langid.identify(docs, keep_columns=True).where("not __rejected")
-    return found.select(*[F.col("__language").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    told = langid.identify(docs, keep_columns=True)
+    name = told.columns[-1]
+    kept = told.where(~F.col(name)["rejected"])
+    return kept.select(*[F.col(name)["language"].alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
