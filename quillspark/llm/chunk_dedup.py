@@ -15,7 +15,9 @@ cut falls inside a UTF-8 character.
 Defined results: null and empty texts have no chunks and stay as they are;
 repeated rows, with equal id and text, are one document; documents of equal
 text and different ids repeat each other wholly; rows without id sort before
-all others. Other columns pass through whatever their names.
+all others; an id that is no whole number fails the cast; an empty table gives
+no rows; a very long text is cut into chunks like any other. Other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -131,39 +133,37 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     return spans.select(F.col("id").alias("doc_id"), F.col("s").alias("start_byte"), F.col("e").alias("end_byte"), F.col("src").alias("first_doc_id"), F.col("at").alias("first_byte"))
 
 
-def _cut_out(text: str):
-    def run(batches):
-        for batch in batches:
-            spans, texts = batch.column("__spans"), batch.column(text)
-            out = texts.to_pylist()
-            for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
-                raw, at, kept = out[i].encode(), 0, []
-                for x in sorted(spans[int(i)].as_py(), key=lambda x: x["s"]):
-                    lo, hi = x["s"], x["e"]
-                    while lo < hi and raw[lo] & 0xC0 == 0x80:
-                        lo += 1
-                    while lo < hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                        hi -= 1
-                    kept.append(raw[at:lo])
-                    at = max(at, hi)
-                out[i] = b"".join([*kept, raw[at:]]).decode()
-            cols = [pa.array(out, texts.type) if n == text else batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-    return run
+def _cut_out(batches):
+    for batch in batches:
+        spans, texts = batch.column("spans"), batch.column("t")
+        out = texts.to_pylist()
+        for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
+            raw, at, kept = out[i].encode(), 0, []
+            for x in sorted(spans[int(i)].as_py(), key=lambda x: x["s"]):
+                lo, hi = x["s"], x["e"]
+                while lo < hi and raw[lo] & 0xC0 == 0x80:
+                    lo += 1
+                while lo < hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                kept.append(raw[at:lo])
+                at = max(at, hi)
+            out[i] = b"".join([*kept, raw[at:]]).decode()
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(out, texts.type), batch.column("spans")], schema=batch.schema)
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, chars_col: str | None) -> DataFrame:
     """The documents without the spans; one of whose text nothing but white space is left goes."""
-    lists = spans.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).cast("long").isNull(), F.col(text_col), F.col(text_col).isNull()))
-    joined = keyed.join(lists, "__k", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
-    cut = joined.mapInArrow(_cut_out(text_col), joined.schema)
-    cut = cut.where(F.col("__spans").isNull() | F.col(text_col).rlike(r"\S"))
-    if chars_col and chars_col in docs.columns:
-        length = F.length(text_col).cast(docs.schema[chars_col].dataType)
-        cut = cut.withColumn(chars_col, F.when(F.col("__spans").isNull(), F.col(chars_col)).otherwise(length))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    lists = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    # the row's other columns travel in a struct, so that no name of theirs meets one used here
+    base = docs.select(F.struct(*rest).alias("own"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    joined = base.withColumn("k", row_key("i", "t")).join(lists, "k", "left").select("own", "t", "spans")
+    cut = joined.mapInArrow(_cut_out, joined.schema).where(F.col("spans").isNull() | F.col("t").rlike(r"\S"))
+    out = {c: F.col("t") if c == text_col else F.col("own")[c] for c in docs.columns}
+    if chars_col and chars_col in out:
+        length = F.length("t").cast(docs.schema[chars_col].dataType)
+        out[chars_col] = F.when(F.col("spans").isNull(), out[chars_col]).otherwise(length)
+    return cut.select(*[v.alias(c) for c, v in out.items()])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:

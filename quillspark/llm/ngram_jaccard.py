@@ -401,14 +401,14 @@ def _joined_classes(docs: DataFrame, id_col: str, text_col: str, n: int, thresho
     within = side("a").withColumnRenamed("ga", "leader").join(side("b").withColumnRenamed("gb", "leader"), "leader").where("a < b").select("a", "b", "leader")
     pairs = materialise(across.union(within))
     # a leader with many pairs is split by their first class, so that no task holds more than a part
-    load = materialise(pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(PART_PAIRS))).alias("parts")))
-    tasks = max(parts, load.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0])
+    load = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(PART_PAIRS))).alias("parts"))
+    tasks = max(parts, -(-pairs.count() // PART_PAIRS))
     pairs = pairs.join(load, "leader").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     needed = pairs.select("leader", "part", F.col("a").alias("cls")).union(pairs.select("leader", "part", F.col("b").alias("cls"))).distinct()
     shipped = needed.join(sets, "cls").select("leader", "part", F.lit(1).alias("kind"), F.col("cls").alias("a"), F.col("size").alias("b"), "tokens", "held")
     work = shipped.union(pairs.select("leader", "part", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"), F.lit(0).cast("long").alias("held")))
     # the work follows the pairs, not the bytes, so the number of tasks is said here
-    work = work.repartition(min(tasks, 1 << 15), "leader", "part")
+    work = work.repartition(tasks, "leader", "part")
     out = "a long, b long, links long" if summary else "a long, b long, jaccard double"
     return indexed.select("cls", "id", "k"), work.groupBy("leader", "part").applyInArrow(_verify(threshold, summary), out)
 

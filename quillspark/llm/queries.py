@@ -55,7 +55,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     chosen = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, fraction=0.8, max_epochs=2, vocabulary=vocabulary(spark))
-    return chosen.select("doc_id", F.col("__l0").alias("domain"), F.col("__l1").alias("lang"), F.col("__l2").alias("source"), F.col("__epoch").alias("epoch"))
+    return chosen.select("doc_id", *[F.col("leaf")[n].alias(c) for n, c in enumerate(("domain", "lang", "source"))], "epoch")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_finds_planted_passages_and_nothing_else(frame, rows, report, dedup):
 def test_odd_rows(frame, prose, report, dedup):
     t = prose(5, 200)
     rows = [(1, None), (2, ""), (3, t), (3, t), (None, prose(6, 100)), (4, t), (5, "short"), (6, "short"), (7, prose(8, 40_000))]
-    docs = frame(rows, "k")
+    docs = frame(rows, "k").selectExpr("*", "1 AS own", "2 AS spans", "3 AS t", "4 AS i", "5 AS __k", "6 AS `a.b`")
     got = report(docs).collect()
     assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(4, 3)}
     kept = dedup(docs)

@@ -91,7 +91,7 @@ def brute_mix(rows, weights, fraction, epochs, hashes):
         have[leaf[k]] = have.get(leaf[k], 0) + n[k]
     plan, out = mixing.budgets(have, weights, int(fraction * sum(have.values())), epochs), []
     for x, total in have.items():
-        whole, rest = divmod(plan[x], total) if total else (0, 0)
+        whole, rest = divmod(plan[x], total) if total else (0, 0)  # documents without tokens come with what reaches them
         mine = [k for k, _ in rows if leaf[k] == x]
         out += [(k, e) for k in mine for e in range(whole)]
         if rest:
@@ -112,18 +112,33 @@ def test_mix_equals_brute_force(spark, frame, prose):
     keyed = docs.select("doc_id", mixing.row_key("doc_id", "text").alias("k"))
     hashes = {(e, x[0]): x[1] for e in range(4) for x in keyed.select("doc_id", F.xxhash64(F.lit(17), F.lit(e), "k")).collect()}
     for weights, fraction, epochs in (({"even": 0.8, "odd": 0.2}, 0.7, 2), ({"even": (0.3, {"src0": 0.9, "*": 0.05}), "odd": 0.7}, 1.3, 3), ({"odd": 1.0}, 0.2, 1)):
-        got = sorted((x["doc_id"], x["__epoch"]) for x in mixing.mix(docs, levels, weights, fraction, epochs).collect())
-        want = brute_mix(rows, weights, fraction, epochs, hashes)
-        # documents without tokens come with the epochs and prefixes that reach their place
-        size = dict(rows)
-        assert [x for x in got if size[x[0]]] == [x for x in want if size[x[0]]]
+        got = sorted((x["doc_id"], x["epoch"]) for x in mixing.mix(docs, levels, weights, fraction, epochs).collect())
+        assert got == brute_mix(rows, weights, fraction, epochs, hashes)
 
 
-def test_mix_odd_rows(frame):
+def test_budgets_of_many_leaves():
+    have = {("d", "en", f"s{i}"): i % 90 for i in range(20_000)}
+    got = mixing.budgets(have, None, sum(have.values()) // 2, 1)
+    level = max(got.values())
+    assert all(v in (have[k], level) for k, v in got.items()) and abs(sum(got.values()) - sum(have.values()) // 2) < len(have)
+
+
+def test_mix_odd_rows(frame, prose):
     docs = frame([(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "x y")], "epoch").withColumn("lang", F.when(F.col("doc_id") == 1, F.col("lang")))
     got = mixing.mix(docs, [F.col("lang"), F.col("source")], None, fraction=1.0, max_epochs=1)
-    assert got.count() == 5 and set(docs.columns) <= set(got.columns)
+    assert got.columns == [*docs.columns, "leaf", "epoch_"]
+    # leaves of empty documents alone give nothing; a leaf with a budget takes its empty ones along
+    assert sorted((r["doc_id"] or 0, r["leaf"]) for r in got.collect()) == [(0, ["(none)", "src0"]), (1, ["en", "src1"]), (1, ["en", "src1"])]
     assert mixing.mix(frame([]), [F.col("lang")], None).count() == 0
+    clash = frame([(5, prose(1, 30_000)), (10, ""), (15, "a b")]).selectExpr("*", "1 AS k", "2 AS own", "3 AS whole", "4 AS last", "5 AS `odd.name`", "6 AS r", "'z' AS l0")
+    got = mixing.mix(clash, [F.col("source")], None, fraction=1.0, max_epochs=1)
+    assert sorted(r["doc_id"] for r in got.collect()) == [5, 10, 15] and set(map(tuple, got.select("k", "own", "whole", "last", "`odd.name`", "r", "l0").collect())) == {(1, 2, 3, 4, 5, 6, "z")}
+
+
+def test_weightless_leaves_give_nothing(frame):
+    docs = frame([(1, "a b c"), (2, ""), (3, None), (6, "x y z")])
+    assert {r["doc_id"] for r in mixing.mix(docs, [F.col("source")], {"src1": 1.0}, fraction=1.0, max_epochs=2).collect()} == {1, 6}
+    assert mixing.mix(docs, [F.col("source")], {"src2": 1.0}, fraction=1.0).count() == 0
 
 
 # --- licenses ---
