@@ -35,6 +35,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame, text_col: str, bucket_bytes: int = 8 << 20) -> int:
+    """How many buckets spread what a text column gives: by its bytes, so that no task's share grows with the table."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(2 * partitions(docs.sparkSession), -(-size // bucket_bytes))
+
+
 def row_key(*cols: str):
     """64-bit key of a row from its named columns; a null has a key of its own."""
     return F.xxhash64(*[c for n in cols for c in (F.col(n), F.col(n).isNull())])

@@ -7,22 +7,26 @@ suffix of the parse, and equal text has equal phrases wherever it stands.
 
 *Dictionary.* Distinct phrases, known by 48-bit digest, are counted in digest
 ranges. Text whose phrases occur once can't be part of a repeat that spans a
-phrase, so highly repetitive text is all that the following steps see.
-
-*Corpus order.* Suffixes of the parse that start at a phrase and run over
-``min_bytes`` of repeated phrases are sent to the range of their first phrase.
-A task ranks the phrases it sees (the order of the dictionary) and sorts the
-suffixes as strings of ranks by prefix doubling (the suffix array of the
-parse); both together give the corpus's suffixes in order. Neighbours in that
-order with a common prefix of ``min_bytes`` or more form an interval, whose
-first occurrence, by document id, key and place, stays. Suffixes are compared
-to that depth and no further: what lies beyond changes the order only inside an
-interval.
-
-The order of phrases is that of their digests rather than of their bytes;
-intervals are the same under any order of the alphabet. Repeats are reported
-from phrase to phrase: up to a phrase at each end of a repeat stays out, and a
-repeat of over ``min_bytes`` plus two phrases is always found.
+phrase, so highly repetitive text is all that the following steps see. Phrases
+of over ``min_bytes``, as text without triggers gives, take part with each of
+their windows of ``min_bytes`` instead, so that a repeat inside a phrase counts.
+
+*Corpus order.* A suffix of the corpus is a suffix of a dictionary phrase,
+followed by a suffix of the parse. Parse suffixes that stay in repeated phrases
+are sent, with the bytes before their first phrase, to the range of that
+phrase. A task builds the suffix array of the parse it sees, as strings of
+phrase ranks, and the suffix array of the dictionary bytes it sees, both by
+prefix doubling, and merges them: every byte's suffix is placed by the rank of
+its part in the dictionary, then by the rank of the parse behind it.
+Neighbours in that order that agree over ``min_bytes``, rounded up to the end
+of a phrase, form an interval, whose first occurrence, by document id, key and
+place, stays.
+
+The order of phrases in the parse is that of their digests rather than of their
+bytes; intervals are the same under any order of the alphabet. So a byte belongs
+to a repeat when the text from it, or from one before it, over ``min_bytes`` and
+on to the next phrase end, stands somewhere before: repeats begin at their exact
+byte, and up to one phrase at their end stays out.
 
 Each batch of documents answers for its own copies: it sends a digest, or a
 suffix, once however often it holds it, so a passage that is everywhere puts no
@@ -31,9 +35,11 @@ finds for a suffix goes back to its batch, whose own copies then name it too.
 
 Defined results: null and empty texts have no repeats; repeated rows, with
 equal id and text, are one document; a run without triggers (one repeated
-byte) is one phrase; rows without id sort before others; other columns are
-ignored; an empty table gives no rows. The input must give its rows in the same
-order when it is read again, as files do.
+byte, a rule of dashes) repeats itself from its second byte on; a very long
+text is cut into batches by rows only and is one document; rows without id sort
+before others; an id that is no whole number fails the cast; other columns pass
+through or are ignored whatever their names; an empty table gives no rows. The
+input must give its rows in the same order when it is read again, as files do.
 """
 
 from __future__ import annotations
@@ -45,27 +51,28 @@ from pyspark.sql import functions as F
 
 from . import chunk_dedup
 from . import textcore as tc
-from .cluster import partitions, row_key
+from .cluster import buckets_for, row_key
 from .ngram_jaccard import pack48, unpack48
 
 _ROWS = "kind int, key long, blob binary"
 BITS = 48
 #: Most documents, and about the most bytes of text, of a batch.
-FLUSH_ROWS, FLUSH_BYTES = 1 << 14, 32_000_000
+FLUSH_ROWS, FLUSH_BYTES = 1 << 14, 16_000_000
+_INSIDE = np.uint64(0x517CC1B727220A95)
 
 
 def _rows(kind, key, blob) -> pa.RecordBatch:
     return pa.record_batch({"kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
 
-def parse(buf: np.ndarray, off: np.ndarray, window: int, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parse(buf: np.ndarray, off: np.ndarray, window: int, modulus: int, spans: tc.SpanHash | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start, end and 48-bit digest of each phrase, in text order."""
     n = len(buf)
     rows = np.flatnonzero(np.diff(off) > 0)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
-    spans = tc.SpanHash(buf)
+    spans = spans or tc.SpanHash(buf)
     ends = np.zeros(0, np.int64)
     if n >= window:
         at = np.arange(window, n + 1)
@@ -79,6 +86,14 @@ def parse(buf: np.ndarray, off: np.ndarray, window: int, modulus: int) -> tuple[
     return row, start, stop, spans(start, stop) >> np.uint64(64 - BITS)
 
 
+def inside(start: np.ndarray, stop: np.ndarray, spans: tc.SpanHash, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase, place and digest of every window of ``min_bytes`` that lies in one phrase."""
+    room = np.maximum(0, stop - start - min_bytes + 1)
+    owner = np.repeat(np.arange(len(start)), room)
+    at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(room) - room, room)
+    return owner, at, tc.mix64(spans(at, at + min_bytes) ^ _INSIDE) >> np.uint64(64 - BITS)
+
+
 def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of given strings of symbols, and of each the number of symbols it shares with the one before.
 
@@ -93,8 +108,8 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     _, rank = np.unique(symbols, return_inverse=True)
     width = int(size.max())
     table = np.zeros((n, width), np.int64)
-    inside = np.arange(width)[None, :] < size[:, None]
-    table[inside] = rank + 1
+    full = np.arange(width)[None, :] < size[:, None]
+    table[full] = rank + 1
     names, step = table, 1
     while names.shape[1] > 1:
         right = np.zeros((n, names.shape[1]), np.int64)
@@ -111,7 +126,30 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return order, np.cumprod(same, axis=1).sum(1)
 
 
-def _parser(window: int, modulus: int, buckets: int):
+def dictionary_ranks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The suffix array of given byte strings as the rank of each byte's suffix; equal suffixes have equal ranks.
+
+    Prefix doubling over all strings at once: a round compares twice as many bytes, and a string's end sorts first.
+    """
+    n = len(buf)
+    if not n:
+        return np.zeros(0, np.int64)
+    left = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # bytes from here to the string's end
+    rank, step = buf.astype(np.int64) + 1, 1
+    most = int(left.max())
+    while True:
+        right = np.zeros(n, np.int64)
+        if step < n:
+            right[: n - step] = np.where(left[: n - step] > step, rank[step:], 0)
+        pair = rank * (int(rank.max()) + 2) + right
+        _, rank = np.unique(pair, return_inverse=True)
+        rank += 1
+        step *= 2
+        if step >= most:
+            return rank
+
+
+def _parser(window: int, modulus: int, min_bytes: int, buckets: int):
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
 
     def run(batches):
@@ -122,20 +160,21 @@ def _parser(window: int, modulus: int, buckets: int):
                 stop = int(np.searchsorted(off, off[start] + FLUSH_BYTES, "right")) - 1
                 stop = min(max(stop, start + 1), start + FLUSH_ROWS, batch.num_rows)
                 part = batch.slice(start, stop - start)
-                start, base, held = stop, 0, []
+                start, held = stop, []
                 for s in tc.slices(part, "t"):
                     buf, own = tc.buffers(s.column("t"))
-                    row, a, b, digest = parse(buf, own, window, modulus)
-                    held.append((row + base, a - own[row], b - a, digest))
-                    base += s.num_rows
-                row, a, length, digest = (np.concatenate(x) for x in zip(*held))
-                if not len(row):
+                    spans = tc.SpanHash(buf)
+                    _, a, b, digest = parse(buf, own, window, modulus, spans)
+                    held += [digest, inside(a, b, spans, min_bytes)[2]]
+                digest = np.concatenate(held) if held else np.zeros(0, np.uint64)
+                if not len(digest):
                     continue
                 k = part.column("k").to_numpy()
                 flush = tc.signed(tc.mix64(k.view(np.uint64)).sum() + np.uint64(len(k)))
                 i, known = part.column("i").fill_null(0).to_numpy(), part.column("i").is_valid().to_numpy(zero_copy_only=False)
-                head = np.array([len(k), len(row)], np.int64).tobytes() + k.tobytes() + i.tobytes() + known.astype(np.int8).tobytes()
-                yield _rows([1], [flush], [head + np.bincount(row, minlength=len(k)).astype(np.int32).tobytes() + a.astype(np.int32).tobytes() + length.astype(np.int32).tobytes() + pack48(digest)])
+                buf, own = tc.buffers(part.column("t"))
+                # the texts themselves wait for the answers; they are parsed again rather than sent as phrases
+                yield _rows([1], [flush], [np.int64(len(k)).tobytes() + k.tobytes() + i.tobytes() + known.astype(np.int8).tobytes() + np.diff(own).astype(np.int64).tobytes() + buf.tobytes()])
                 value, count = np.unique(digest, return_counts=True)
                 cut = np.append(np.searchsorted(value, edges), len(value))
                 full = np.flatnonzero(np.diff(cut))
@@ -205,14 +244,20 @@ def _unpack(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def _joined(marks: list[np.ndarray]) -> list[np.ndarray]:
-    """Marks in order of document and place, touching ones made one; it keeps the source of its first."""
+def _joined(marks: list[np.ndarray], keep: np.ndarray | None = None) -> list[np.ndarray]:
+    """Marks in order of document and place, touching ones made one; it keeps the source of its first.
+
+    ``keep``: groups of marks of which only those of one group are joined.
+    """
     k, s, e = marks[0], marks[3], marks[4]
     if not len(k):
         return marks
-    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] > e[:-1])]))
+    fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] > e[:-1])])
+    if keep is not None:
+        fresh[1:] |= keep[1:] != keep[:-1]
+    head = np.flatnonzero(fresh)
     out = [m[head] for m in marks]
-    out[4] = e[np.append(head[1:], len(k)) - 1]
+    out[4] = np.maximum.reduceat(e, head)
     return out
 
 
@@ -221,9 +266,19 @@ def _mark_table(k, i, known, s, e, src, src_known, at) -> pa.Table:
     return pa.table([pa.array(k), ids(i, known), pa.array(s), pa.array(e), ids(src, src_known), pa.array(at)], schema=_MARK)
 
 
-def _suffixes(window: int, min_bytes: int, buckets: int):
-    """A batch of documents: its suffixes that are repeated phrases for ``min_bytes``, each distinct one once for
-    the range of its first phrase; further copies in the batch are marked here."""
+#: A parse suffix: key, id and whether it has one of its document, byte of its first phrase, bytes before it that take
+#: part, and the number of its phrases.
+_SUFFIX = (np.int64, np.int64, np.int8, np.int32, np.int32, np.int32)
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indices of the ranges of this size from these starts."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _suffixes(window: int, modulus: int, min_bytes: int, buckets: int):
+    """A batch of documents: its parse suffixes that are repeated phrases over ``min_bytes``, with the bytes before
+    them, each distinct one once for the range of its first phrase; further copies in the batch are marked here."""
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
     nothing = pa.Table.from_batches([_rows([], [], [])])
 
@@ -233,92 +288,159 @@ def _suffixes(window: int, min_bytes: int, buckets: int):
         if 1 not in kinds or not answers:
             return nothing
         b, flush = blobs[kinds.index(1)], table.column("key")[0].as_py()
-        n, m = np.frombuffer(b, np.int64, 2)
-        at = 16
-        k = np.frombuffer(b, np.int64, n, at)
-        i = np.frombuffer(b, np.int64, n, at := at + 8 * n)
-        known = np.frombuffer(b, np.int8, n, at := at + 8 * n)
-        per_doc = np.frombuffer(b, np.int32, n, at := at + n)
-        start = np.frombuffer(b, np.int32, m, at := at + 4 * n)
-        length = np.frombuffer(b, np.int32, m, at := at + 4 * m)
-        digest = unpack48(b[at + 4 * m :])
-        row = np.repeat(np.arange(n), per_doc)
-        good = np.isin(digest, np.concatenate(answers))
-        end = start + length
-        # how many phrases from here reach min_bytes, all of them repeated and of this document
-        run_id = np.cumsum(~good | np.concatenate([[True], row[1:] != row[:-1]]))
-        last = np.searchsorted(run_id, run_id, "right") - 1  # last phrase of the run of good ones
-        big = end.astype(np.int64) + row * (1 << 32)
-        reach = np.searchsorted(big, start.astype(np.int64) + min_bytes + row * (1 << 32), "left")
-        pick = np.flatnonzero(good & (reach <= last))
-        if not len(pick):
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        k, i = np.frombuffer(b, np.int64, n, 8), np.frombuffer(b, np.int64, n, 8 + 8 * n)
+        known = np.frombuffer(b, np.int8, n, 8 + 16 * n)
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(b, np.int64, n, 8 + 17 * n))])
+        buf = np.frombuffer(b, np.uint8, int(off[-1]), 8 + 25 * n)
+        repeated = np.unique(np.concatenate(answers))
+        known_value = lambda x: repeated[np.minimum(np.searchsorted(repeated, x), len(repeated) - 1)] == x
+        held: list[list[np.ndarray]] = [[] for _ in range(8)]
+        lo = 0
+        while lo < n:  # in slices, as the hashes need eight times the bytes
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + tc.SLICE_BYTES, "right")) - 1)
+            own, base = buf[off[lo] : off[hi]], off[lo]
+            spans = tc.SpanHash(own)
+            row, a, e, digest = parse(own, off[lo : hi + 1] - base, window, modulus, spans)
+            good = known_value(digest)
+            # the last phrase from here on that is repeated and of this document
+            fresh = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            run_id = np.cumsum(~good | fresh)
+            last = np.searchsorted(run_id, run_id, "right") - 1
+            # bytes before a phrase that are suffixes of the one before it; windows inside a phrase are told by themselves
+            before_end = np.concatenate([[0], e[:-1]])[: len(row)]
+            prev = np.where(fresh, a, np.maximum(np.concatenate([[0], a[:-1]])[: len(row)] + 1, before_end - min_bytes + 1))
+            until = np.minimum(a - (e - a >= min_bytes), e[last] - min_bytes)
+            pick = np.flatnonzero(good & (until >= prev))
+            # as many phrases as the last of these bytes needs
+            big = e + row * np.int64(1 << 40)
+            reach = np.searchsorted(big, until[pick] + min_bytes + row[pick] * np.int64(1 << 40), "left")
+            index = _ragged(pick, reach - pick + 1)
+            owner, at, told = inside(a, e, spans, min_bytes)
+            fits = known_value(told)
+            owner, at, told = owner[fits], at[fits], told[fits]
+            # a window inside a phrase is a suffix of one symbol, with no bytes before it
+            one, none = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+            rel = e[index] - np.repeat(a[pick], reach - pick + 1)
+            found = (row[pick], a[pick], reach - pick + 1, (a - prev)[pick], e[reach], digest[index], rel), (row[owner], at, -one, none, at + min_bytes, told, one * min_bytes)
+            for slot, pair in enumerate(zip(*found)):
+                held[slot].append(np.concatenate(pair) + (lo if not slot else base if slot in (1, 4) else pair[0].dtype.type(0)))
+            held[7].append(spans(prev[pick], a[pick]))
+            held[7].append(none.astype(np.uint64))
+            lo = hi
+        row, place, size, before, stop, symbols, rel, name = (np.concatenate(x) for x in held)
+        if not len(row):
             return nothing
-        count = reach[pick] - pick + 1
+        count = np.abs(size)
         bounds = np.concatenate([[0], np.cumsum(count)])
-        symbols = digest[np.repeat(pick - bounds[:-1], count) + np.arange(bounds[-1])]
-        name = np.zeros(len(pick), np.uint64)
+        name = tc.mix64(name * np.uint64(31) + (size < 0).astype(np.uint64))
         for j in range(int(count.max())):
-            more = count > j
-            name[more] = tc.mix64(name[more] * np.uint64(31) + symbols[bounds[:-1][more] + j])
+            more = np.flatnonzero(count > j)
+            name[more] = tc.mix64(name[more] * np.uint64(31) + symbols[bounds[more] + j])
         _, group = np.unique(name, return_inverse=True)
-        r = row[pick]
-        kk, ii, nn, s, e = k[r], i[r], known[r], start[pick], end[reach[pick]]
+        kk, ii, nn, origin = k[row], i[row], known[row], off[row]
+        s, e = place - before - origin, stop - origin
         first = _pick_first(group, nn, ii, kk, s)
-        here = _joined(_marks(kk, ii, nn, s, e, first))
+        order = np.lexsort((s, kk))
+        here = _joined(_marks(*(x[order] for x in (kk, ii, nn, s, e)), np.argsort(order)[first[order]]))
         lead = np.unique(first)
-        front = digest[pick[lead]]
+        front = symbols[bounds[lead]]
         order = np.argsort(front, kind="stable")
         lead, front = lead[order], front[order]
         cut = np.append(np.searchsorted(front, edges), len(front))
         full, sent = np.flatnonzero(np.diff(cut)), []
         for f in full:
             own = lead[cut[f] : cut[f + 1]]
-            c = count[own]
-            take = np.repeat(bounds[:-1][own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            sent.append(np.array([flush, len(own)], np.int64).tobytes() + kk[own].tobytes() + ii[own].tobytes() + nn[own].tobytes() + s[own].tobytes() + e[own].tobytes() + c.astype(np.int32).tobytes() + pack48(symbols[take]))
+            numbers = (kk[own], ii[own], nn[own], place[own] - origin[own], before[own], size[own])
+            text = buf[_ragged(place[own] - before[own], before[own])].tobytes()
+            index = _ragged(bounds[own], count[own])
+            sent.append(np.array([flush, len(own), len(text), len(index)], np.int64).tobytes() + b"".join(x.astype(t).tobytes() for x, t in zip(numbers, _SUFFIX)) + text + pack48(symbols[index]) + rel[index].astype(np.int32).tobytes())
+        kinds = [1] * len(sent)
         if len(here[0]):  # these marks pass through the next step with the suffixes
-            full, kinds = np.append(full, abs(int(here[0][0])) % buckets), [1] * len(sent) + [0]
+            full, kinds = np.append(full, abs(int(here[0][0])) % buckets), [*kinds, 0]
             sent.append(np.int64(flush).tobytes() + _pack(here, _OWN))
-        else:
-            kinds = [1] * len(sent)
         return pa.Table.from_batches([_rows(kinds, full, sent)])
 
     return run
 
 
-def _corpus_order(table: pa.Table) -> pa.Table:
-    """A range of first phrases: its suffixes in corpus order, and for each batch those that are not their interval's first."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
-    key, through = [], []
-    for told, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        if not told:
-            key.append(int(np.frombuffer(b, np.int64, 1)[0]))
-            through.append(b[8:])
-            continue
-        flush, n = np.frombuffer(b, np.int64, 2)
-        at = 16
-        for slot, kind in enumerate((np.int64, np.int64, np.int8, np.int32, np.int32, np.int32)):
-            parts[slot].append(np.frombuffer(b, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-        parts[6].append(unpack48(b[at:]))
-        parts[7].append(np.full(n, flush))
-    passed = pa.Table.from_batches([_rows([0] * len(through), key, through)])
-    if not parts[0]:
-        return passed
-    k, i, known, s, e, count, symbols, batch = (np.concatenate(p) for p in parts)
-    bounds = np.concatenate([[0], np.cumsum(count)])
-    order, shared = suffix_array(symbols, bounds)
-    # suffixes end where they reach min_bytes: those of one interval are equal to their ends
-    fresh = (shared < count[order]) | np.concatenate([[True], count[order][1:] != count[order][:-1]])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(fresh)
-    first = _pick_first(group, known, i, k, s)
-    batch = batch[(k != k[first]) | (s != s[first])]
-    marks = _marks(k, i, known, s, e, first)
-    order = np.argsort(batch, kind="stable")
-    who, begin = np.unique(batch[order], return_index=True)
-    blobs = [_pack([m[own] for m in marks], _PACKED) for own in np.split(order, begin[1:])] if len(who) else []
-    return pa.concat_tables([passed, pa.Table.from_batches([_rows([1] * len(who), who, blobs)])])
+def _corpus_order(min_bytes: int):
+    """A range of first phrases: the suffixes of the corpus that begin in or just before them, in order, and for each
+    batch the bytes whose suffix isn't its interval's first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[] for _ in range(10)]
+        key, through = [], []
+        for told, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
+            if not told:
+                key.append(int(np.frombuffer(b, np.int64, 1)[0]))
+                through.append(b[8:])
+                continue
+            flush, n, width, m = map(int, np.frombuffer(b, np.int64, 4))
+            at = 32
+            for slot, kind in enumerate(_SUFFIX):
+                parts[slot].append(np.frombuffer(b, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            parts[6].append(np.frombuffer(b, np.uint8, width, at))
+            parts[7].append(unpack48(b[at + width : at + width + 6 * m]))
+            parts[8].append(np.frombuffer(b, np.int32, m, at + width + 6 * m))
+            parts[9].append(np.full(n, flush))
+        passed = pa.Table.from_batches([_rows([0] * len(through), key, through)])
+        if not parts[0]:
+            return passed
+        k, i, known, place, before, size, text, symbols, rel, batch = (np.concatenate(p) for p in parts)
+        before, rel, place = before.astype(np.int64), rel.astype(np.int64), place.astype(np.int64)
+        count = np.abs(size).astype(np.int64)
+        # suffixes in order of their document and place
+        order = np.lexsort((batch, place, k, i, known))
+        lead = np.cumsum(before) - before
+        lo = np.cumsum(count) - count
+        index = _ragged(lo[order], count[order])
+        symbols, rel = symbols[index], rel[index]
+        text = text[_ragged(lead[order], before[order])]
+        k, i, known, place, before, size, batch, count = (x[order] for x in (k, i, known, place, before, size, batch, count))
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        head = np.concatenate([[0], np.cumsum(before)])
+        n = len(k)
+        # the suffix array of the parse; for each depth, suffixes that agree so far have one name
+        order, shared = suffix_array(symbols, bounds)
+        depth = int(count.max())
+        names = np.empty((depth, n), np.int64)
+        for m in range(depth):
+            names[m, order] = np.cumsum(shared < m + 1)
+        # the suffix array of the dictionary: the distinct strings before a first phrase
+        if len(text):
+            told = tc.SpanHash(text)(head[:-1], head[1:])
+            _, sample, which = np.unique(told, return_index=True, return_inverse=True)
+            length = before[sample]
+            own = np.concatenate([[0], np.cumsum(length)])
+            ranks = np.append(dictionary_ranks(text[_ragged(head[sample], length)], own), 0)
+        else:
+            own, which, ranks = np.zeros(1, np.int64), np.zeros(n, np.int64), np.zeros(1, np.int64)
+        # every byte's suffix: its part in the dictionary, then the parse
+        who = np.repeat(np.arange(n), before + 1)
+        o = np.arange(len(who)) - np.repeat(head[:-1] + np.arange(n), before + 1)
+        rest = before[who] - o
+        alpha = np.where(rest > 0, ranks[np.where(rest > 0, own[which[who]] + o, 0)], 0)
+        big = rel + np.repeat(np.arange(n), count) * np.int64(1 << 40)
+        end = np.searchsorted(big, min_bytes - rest + who * np.int64(1 << 40), "left")
+        valid = (end < bounds[who + 1]) & ((rest > 0) | (size[who] < 0) | (rel[bounds[who]] < min_bytes))
+        who, alpha, rest, end = who[valid], alpha[valid], rest[valid], end[valid]
+        deep = end - bounds[who]
+        merged = (alpha * np.int64(n + 1) + names[deep, who]) * np.int64(depth + 1) + deep
+        _, first, interval = np.unique(merged, return_index=True, return_inverse=True)
+        first = first[interval]
+        s, e = place[who] - rest, place[who] + rel[end]
+        marks = _marks(k[who], i[who], known[who], s, e, first)
+        away = who[(k[who] != k[who][first]) | (s != s[first])]
+        head = np.concatenate([[True], (away[1:] != away[:-1]) | (marks[3][1:] > marks[3][:-1] + 1)])[: len(away)]
+        marks, away = _joined(marks, np.cumsum(head)), batch[away[head]]
+        order = np.argsort(away, kind="stable")
+        who, begin = np.unique(away[order], return_index=True)
+        blobs = [_pack([m[own] for m in marks], _PACKED) for own in np.split(order, begin[1:])] if len(who) else []
+        return pa.concat_tables([passed, pa.Table.from_batches([_rows([1] * len(who), who, blobs)])])
+
+    return run
 
 
 def _settled(table: pa.Table) -> pa.Table:
@@ -340,12 +462,12 @@ def _settled(table: pa.Table) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, modulus: int = 20, min_bytes: int = 112) -> DataFrame:
     """Byte spans ``(k, id, s, e, src, at)`` of passages that repeat an earlier one; src and at name the first."""
-    parts = partitions(docs.sparkSession)
+    buckets = buckets_for(docs, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")
-    raw = base.select(row_key("i", "t").alias("k"), "i", "t").mapInArrow(_parser(window, modulus, 2 * parts), _ROWS)
+    raw = base.select(row_key("i", "t").alias("k"), "i", "t").mapInArrow(_parser(window, modulus, min_bytes, buckets), _ROWS)
     answers = raw.where("kind = 0").groupBy("key").applyInArrow(lambda t: _dictionary(t), _ROWS)
-    found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, min_bytes, 2 * parts), _ROWS)
-    ordered = found.groupBy("key").applyInArrow(lambda t: _corpus_order(t), _ROWS)
+    found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, modulus, min_bytes, buckets), _ROWS)
+    ordered = found.groupBy("key").applyInArrow(_corpus_order(min_bytes), _ROWS)
     marks = ordered.groupBy("key").applyInArrow(lambda t: _settled(t), _MARKS)
     return chunk_dedup.runs(marks, min_bytes)
 

@@ -158,3 +158,79 @@ def test_first_occurrence_over_many_batches(frame, prose):
             assert text[src].encode()[at : at + e - s] == text[i].encode()[s:e]
         seen[parts] = got
     assert seen[1] == seen[4] == seen[13]
+
+
+def plain_spans(rows, window, modulus, least):
+    """The report from all suffixes of all texts: spans by document, and the first place of each marked byte's suffix."""
+    texts = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0] or 0))
+    suffixes = []
+    for i, t in texts:
+        raw = t.encode()
+        buf = np.frombuffer(raw, np.uint8)
+        _, a, b, _ = pd_.parse(buf, np.array([0, len(raw)]), window, modulus)
+        for p in range(len(raw)):
+            own = max(j for j in range(len(a)) if a[j] <= p)  # the last phrase that begins here or before
+            if b[own] - p >= least:
+                end = p + least
+            else:
+                end = next((int(x) for x in b[own:] if x >= p + least), None)
+            if end is not None:
+                suffixes.append((raw[p:end], i, p, end))
+    suffixes.sort(key=lambda x: x[0])  # a plain suffix array; equal ones are an interval
+    first, spans = {}, {}
+    for text, i, p, end in suffixes:
+        order = (i is not None, i or 0, p)
+        first[text] = min(first.get(text, order), order)
+    for text, i, p, end in suffixes:
+        if first[text] != (i is not None, i or 0, p):
+            spans.setdefault(i, []).append((p, end))
+    out = set()
+    for i, own in spans.items():
+        s, e = None, None
+        for p, end in sorted(own):
+            if s is None or p > e:
+                if s is not None:
+                    out.add((i, s, e))
+                s, e = p, end
+            e = max(e, end)
+        out.add((i, s, e))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_report_equals_a_plain_suffix_array(frame, prose, parts):
+    r = random.Random(17)
+    passages = [prose(7000 + i, 14) for i in range(5)] + ["=" * 90, "ab" * 60, "| cell " * 12]
+    rows = []
+    for i in range(36):
+        t = prose(i, r.randint(3, 20))
+        for _ in range(r.randint(0, 2)):
+            p = r.choice(passages)
+            t += p[r.randint(0, 12) : len(p) - r.randint(0, 12)] + prose(100 + i, r.randint(1, 9))
+        rows.append((i, t))
+    rows += [(50, rows[3][1]), (51, rows[3][1] + "x"), (3, rows[3][1]), (52, None), (53, ""), (None, rows[7][1]), (54, "-" * 200)]
+    got = pd_.report(frame(rows).repartition(parts), window=6, modulus=8, min_bytes=40).collect()
+    assert {(x[0], x[1], x[2]) for x in got} == plain_spans(rows, 6, 8, 40)
+    text = {(i, j): t for j, (i, t) in enumerate(rows)}
+    for doc, s, _, src, at in got:
+        mine = [t.encode()[s : s + 40] for (i, _), t in text.items() if i == doc and t]
+        assert any(t.encode()[at : at + 40] in mine for (i, _), t in text.items() if i == src and t)
+
+
+def test_repeated_lines_without_triggers(frame, prose):
+    """Text that repeats every few bytes may have no trigger at all: it repeats itself, in one document and in others."""
+    for line in ("-" * 7, "0123456789", "| a | b |\n"):
+        block = line * 60
+        got = pd_.report(frame([(1, prose(1, 30) + block + prose(2, 30)), (2, prose(3, 30) + block + prose(4, 30)), (3, prose(5, 60))])).collect()
+        by = {x["doc_id"]: (x["end_byte"] - x["start_byte"]) for x in got}
+        assert set(by) == {1, 2} and by[1] >= len(block) - len(line) - 112 and by[2] >= len(block) - 112
+
+
+def test_dictionary_ranks_equal_sorting():
+    r = random.Random(3)
+    strings = [bytes(r.randrange(97, 100) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    off = np.cumsum([0] + [len(x) for x in strings])
+    ranks = pd_.dictionary_ranks(np.frombuffer(b"".join(strings), np.uint8), off)
+    suffixes = [x[j:] for x in strings for j in range(len(x))]
+    order = {x: n for n, x in enumerate(sorted(set(suffixes)))}
+    assert (ranks - 1).tolist() == [order[x] for x in suffixes]
