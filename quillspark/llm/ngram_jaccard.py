@@ -391,7 +391,8 @@ def _joined_classes(docs: DataFrame, id_col: str, text_col: str, n: int, thresho
     groups = indexed.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     postings = groups.mapInArrow(_postings, "token long, gid long, size int")
     lists = postings.groupBy(F.pmod(F.xxhash64("token"), F.lit(2 * parts)).alias("bucket")).applyInArrow(lambda t: _leaders(t), "leader long, list binary")
-    found = lists.groupBy("leader").applyInArrow(_group_pairs(threshold), "ga long, gb long, leader long")
+    # a leader's work follows its pairs, not its bytes, so the number of tasks is said here
+    found = lists.repartition(2 * parts, "leader").groupBy("leader").applyInArrow(_group_pairs(threshold), "ga long, gb long, leader long")
     found = found.groupBy("ga", "gb").agg(F.min("leader").alias("leader"))
 
     sets = indexed.groupBy("cls").agg(F.first("size").alias("size"), F.first("gid").alias("gid"), F.first("tokens").alias("tokens"), F.count_distinct("k").alias("held"))
