@@ -1,29 +1,36 @@
 """Language-model scores by online logistic context mixing.
 
 Every document gets the bits that a mixing model, which learns as it reads,
-needs to code its bytes. Per bit of a byte, predictors keyed by hashes of the
-last 1 to 5 bytes and the byte's earlier bits give log odds from
-their counts; weights, chosen by a gate (which bit, and how many of the long
-contexts were seen before), add them; an adaptive map from that estimate and
-the bit's place corrects the result. Counts, weights and map are updated from
-the coded bits only after these are coded.
+needs to code its bytes. Per bit of a byte, predictors keyed by hashed contexts
+give log odds; weights, chosen by a gate (which bit, how many of the long
+contexts were seen before, and whether a follower is known), add them; an
+adaptive map from that estimate and the bit's place corrects the result.
+
+Predictors. Five count the bits behind the last 1 to 5 bytes of the stream. Two
+know the bytes that follow the last two words: one from the document's own
+earlier text, one from all *other* documents of the corpus. What these gather
+grows with the corpus: every pair of words of every document is sent, with the
+four bytes that follow it, to hash ranges, which count the documents behind each
+follower and tell the streams the two most frequent of every pair that several
+documents have. A document's own share is taken out before one is chosen, so
+that copies make each other cheaper, wherever they are, and no text itself.
 
 Distribution. The corpus is split by a hash of the rows into streams of about
-``stream_bytes``; their number follows the corpus, and every text is read by
-some stream's model. A stream is coded in order of its rows' hashes, in blocks
-that grow from 4 KB to ``block`` bytes: all of a block is predicted before it
-is learnt. The stream's head, coded by a model that knew nothing, is coded
-again at the end: its own counts are taken back out of the model first, so that
-its documents are judged like the others, by what the rest of the stream
-teaches. Within a block equal events, that is equal contexts and bits, are
-computed once and weighed by their number, which gives the same bits in a
-fraction of the time. Scores depend on which other documents the corpus has,
-as for any adaptive model, but not on partitions or retries.
+``stream_bytes``, whose number follows the corpus. A stream is coded in order of
+its rows' hashes, in blocks that grow from 4 KB to ``block`` bytes: a block is
+predicted, then learnt. Weights take Newton steps, over a matrix of curvature
+summed with a memory of ``MEMORY`` bytes, so smaller blocks learn sooner and not
+more restlessly. A stream's head, coded when the counts were empty, is coded again at
+the end with its own counts taken out; weights, a few hundred numbers, and the
+map keep what they learnt from it. Within a block equal events are computed once
+and weighed by their number. Scores depend on which other documents the corpus
+has, as for any adaptive model, but not on partitions or retries.
 
 Defined results: null and empty texts have 0 bytes, 0 bits and a null
-``bits_per_byte``; repeated rows are scored each, later ones cheaper; other
-columns are ignored; an empty table gives an empty result. A very long text
-spans many blocks and needs no more memory than its bytes.
+``bits_per_byte``; repeated rows are scored each, and as the copies they are;
+rows whose hashes tie are taken by id; an id that is no whole number fails the
+cast; other columns are ignored whatever their names; an empty table gives an
+empty result. A very long text spans many blocks and is scored whole.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .cluster import row_key
+from .cluster import partitions, row_key
+from .ngram_jaccard import pack48, unpack48
 
 ORDERS = (1, 2, 3, 4, 5)
 FIRST_BLOCK = 4096
@@ -42,7 +50,12 @@ _KNUTH, _MURMUR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Prior count of each bit value in a predictor; estimates of the adaptive map start with this weight.
 PRIOR, MAP_PRIOR = np.float32(0.4), 8.0
 STEPS, SPAN = 33, 8.0
-RATE = 0.6
+#: Bytes over which the weights' curvature is remembered, and its start.
+MEMORY, FLOOR = 1 << 20, 20.0
+#: Inputs of the mixer: the orders, the two followers and a constant.
+INPUTS = len(ORDERS) + 3
+#: Bytes of a follower, and what stands for none of it.
+FOLLOW, NONE = 4, 15
 
 
 def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -58,14 +71,113 @@ def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+class Followers:
+    """The pairs of words of a stream: place of the next word, text, context and the four bytes from there."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        at, rows, ctx = [], [], []
+        lo, n = 0, len(off) - 1
+        while lo < n:  # in slices, as the hashes need eight times the bytes
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + tc.SLICE_BYTES, "right")) - 1)
+            own = buf[off[lo] : off[hi]]
+            start, end, row = tc.word_spans(own, off[lo : hi + 1] - off[lo])
+            if len(start) > 2:
+                h = tc.SpanHash(own)(start, end)
+                third = np.flatnonzero(row[2:] == row[:-2]) + 2
+                at.append(start[third] + off[lo])
+                rows.append(row[third] + lo)
+                ctx.append(tc.mix64(h[third - 2] * np.uint64(31) + h[third - 1]) >> np.uint64(16))
+            lo = hi
+        empty = np.zeros(0, np.int64)
+        self.at, self.row = np.concatenate([empty, *at]), np.concatenate([empty, *rows])
+        self.ctx = np.concatenate([empty.astype(np.uint64), *ctx])
+        padded = np.concatenate([buf, np.zeros(FOLLOW, np.uint8)])
+        raw = np.stack([padded[self.at + j] for j in range(FOLLOW)]) if len(self.at) else np.zeros((FOLLOW, 0), np.uint8)
+        left = off[self.row + 1] - self.at
+        for j in range(1, FOLLOW):
+            raw[j, left <= j] = 0  # not beyond the text
+        self.next = sum((raw[j].astype(np.uint32) << np.uint32(8 * j) for j in range(FOLLOW)), np.zeros(len(self.at), np.uint32))
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts and followers, in order, and the number of texts that have them."""
+        order = np.lexsort((self.row, self.next, self.ctx))
+        c, f, r = self.ctx[order], self.next[order], self.row[order]
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])])[: len(c)]
+        once = fresh | np.concatenate([[True], r[1:] != r[:-1]])[: len(c)]
+        head = np.flatnonzero(fresh)
+        return c[head], f[head], np.add.reduceat(once.astype(np.int64), head) if len(head) else head
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the follower of the same context before it in its text, and whether there is one."""
+        order = np.lexsort((self.at, self.ctx, self.row))
+        same = (self.row[order][1:] == self.row[order][:-1]) & (self.ctx[order][1:] == self.ctx[order][:-1])
+        told, has = np.zeros(len(order), np.uint32), np.zeros(len(order), dtype=bool)
+        told[order[1:][same]] = self.next[order[:-1][same]]
+        has[order[1:][same]] = True
+        return told, has
+
+    def others(self, ctx: np.ndarray, follow: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the follower that more other texts have, of the two told for its context, and their number.
+
+        ``follow`` and ``count`` have two rows, for the contexts in order.
+        """
+        n = len(self.at)
+        told, much = np.zeros(n, np.uint32), np.zeros(n, np.int64)
+        if not len(ctx) or not n:
+            return told, much
+        where = np.minimum(np.searchsorted(ctx, self.ctx), len(ctx) - 1)
+        some = np.flatnonzero(ctx[where] == self.ctx)
+        where = where[some]
+        name = lambda f: tc.mix64(tc.mix64(self.ctx[some] ^ (self.row[some].astype(np.uint64) << np.uint64(40))) + f.astype(np.uint64))
+        have = np.unique(name(self.next[some]))
+        best = np.full(len(some), -1, np.int64)
+        for k in range(2):
+            mine = name(follow[k][where])
+            left = count[k][where] - (have[np.minimum(np.searchsorted(have, mine), len(have) - 1)] == mine)
+            better = left > best
+            best = np.where(better, left, best)
+            told[some[better]] = follow[k][where][better]
+        much[some] = np.maximum(best, 0)
+        return told, much
+
+    def marks(self, buf: np.ndarray, told: np.ndarray, has: np.ndarray, grade: np.ndarray) -> np.ndarray:
+        """For every byte of the stream what a follower says of it: the first bit in which it is wrong (8: none, ``NONE``:
+        nothing said) above four bits of its standing: the grade, whether the text's last one was right, and the byte."""
+        out = np.full(len(buf), NONE << 4, np.uint8)
+        if not len(self.at):
+            return out
+        right = has & (told == self.next)
+        order = np.lexsort((self.at, self.row))
+        before = np.zeros(len(order), dtype=bool)
+        before[order[1:]] = right[order[:-1]] & (self.row[order][1:] == self.row[order][:-1])
+        standing = (grade.astype(np.int64) & 1) << 3 | before.astype(np.int64) << 2
+        alive = has.copy()
+        stop = np.append(self.at[1:], len(buf))  # places are in order: the next one's follower takes over
+        for j in range(FOLLOW):
+            where = self.at + j
+            alive &= where < stop
+            some = np.flatnonzero(alive)
+            c = (told[some] >> np.uint32(8 * j)) & np.uint32(255)
+            wrong = (c ^ buf[where[some]]).astype(np.float64)
+            bit = np.where(wrong > 0, 7 - np.floor(np.log2(np.maximum(wrong, 1))), 8).astype(np.uint8)
+            out[where[some]] = bit << 4 | (standing[some] | j).astype(np.uint8)
+            alive[some] = wrong == 0
+        return out
+
+
 class Model:
     """State of one stream."""
 
     def __init__(self, table_bits: int = 22):
         self.shift = np.uint32(32 - table_bits)
         self.counts = np.zeros((1 << table_bits, 2), np.float32)
-        self.weights = np.full((8, 3, len(ORDERS) + 1), 0.35, np.float32)
+        # by bit and gate: the long contexts seen, and three more where a follower is known, which start as those
+        self.weights = np.full((8, 6, INPUTS), 0.35, np.float32)
         self.weights[:, :, -1] = 0
+        self.started = np.zeros((8, 6), dtype=bool)
+        self.curve = np.tile(FLOOR * np.eye(INPUTS), (8, 6, 1, 1))
+        self.right = np.full((2, 16, 2, 2), 0.5)  # by follower, standing, first bit or later: wrong and right
+        self.right[..., 1] = 4.0
         centre = 1 / (1 + np.exp(-np.linspace(-SPAN, SPAN, STEPS)))
         self.map = np.tile(np.stack([1 - centre, centre], -1) * MAP_PRIOR, (256, 1, 1)).reshape(-1, 2)
 
@@ -96,7 +208,8 @@ class Model:
         np.maximum(flat, 0, out=flat)
 
     def code(self, key: np.ndarray) -> np.ndarray:
-        """Bits of each byte of a block, given as ``contexts`` keys; then learns the block."""
+        """Bits of each byte of a block, given as ``contexts`` keys with the marks of both followers in the low bytes;
+        then learns the block."""
         order = np.argsort(key)
         key = key[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -108,9 +221,13 @@ class Model:
         bits = np.zeros(len(key), np.float32)
         learn = []
         table = self.counts.view(np.uint64).ravel()
-        x = np.empty((len(ORDERS) + 1, len(key)), np.float32)
+        x = np.empty((INPUTS, len(key)), np.float32)
         x[-1] = 0.3
         every = np.arange(len(key))
+        keep = np.float32(np.exp(-len(order) / MEMORY))
+        said = [(key >> np.uint64(8 * q) & np.uint64(255)).astype(np.int64) for q in range(2)]
+        told = [np.flatnonzero(s >> 4 != NONE) for s in said]
+        turn, standing = [s[k] >> 4 for s, k in zip(said, told)], [s[k] & 15 for s, k in zip(said, told)]
         for j in range(8):
             seen = []
             for at, (first, spread, ctx, c, w) in enumerate(levels):
@@ -120,11 +237,25 @@ class Model:
                 if j == 0:
                     seen.append(np.repeat(n[:, 0] + n[:, 1] > 0, spread))
                 learn.append((slot.astype(np.int64) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1)), w))
-            if j == 0:
-                gate = seen[-1].astype(np.int64) + seen[-2]
-                gates = np.stack([gate == g for g in range(3)]).astype(np.float32)
             bit = ((byte >> np.uint32(7 - j)) & np.uint32(1)).astype(np.float32)
-            own = self.weights[j]
+            active = []
+            for q in range(2):
+                on = turn[q] >= j
+                where, hit = told[q][on], turn[q][on] > j
+                cell = standing[q][on] * 2 + (j > 0)
+                odds = np.log(self.right[q, :, :, 1] / self.right[q, :, :, 0]).ravel()[cell]
+                x[len(ORDERS) + q] = 0
+                x[len(ORDERS) + q, where] = np.where(hit == (bit[where] > 0), odds, -odds)
+                active.append((where, hit, cell))
+            if j == 0:
+                long = seen[-1].astype(np.int64) + seen[-2]
+            gate = long.copy()
+            for where, _, _ in active:
+                gate[where] = long[where] + 3
+            own, parts = self.weights[j], [np.flatnonzero(gate == g) for g in range(6)]
+            for g in (3, 4, 5):
+                if len(parts[g]) and not self.started[j, g]:
+                    own[g], self.started[j, g] = own[g - 3], True
             dot = np.clip((own @ x)[gate, every], -12, 12)
             p = 1 / (1 + np.exp(-dot))
             place = ((np.clip(dot, -SPAN, SPAN) + SPAN) * np.float32((STEPS - 1) / (2 * SPAN)) + np.float32(0.5)).astype(np.int32)
@@ -132,13 +263,20 @@ class Model:
             refined = (self.map[:, 1] / self.map.sum(1)).astype(np.float32)
             final = (p + refined[cell]) * np.float32(0.5)
             bits -= np.log2(np.abs(1 - bit - final))
-            # learning: one damped diagonal Newton step for each gate's weights, counts for the map
-            up = (gates * (weight * (bit - p))) @ x.T
-            down = (gates * (weight * p * (1 - p))) @ (x * x).T
-            own += np.float32(RATE) * up / (down * np.float32(len(ORDERS) / 2) + 20)
+            # learning: a Newton step for each gate's weights, counts for the maps
+            wrong = bit - p
+            bend = weight * np.maximum(p * (1 - p), wrong * wrong)
+            for g, part in enumerate(parts):
+                if len(part):
+                    own_x = x[:, part]
+                    self.curve[j, g] = self.curve[j, g] * keep + (own_x * bend[part]) @ own_x.T
+                    own[g] += np.linalg.solve(self.curve[j, g] + np.eye(INPUTS), own_x @ (weight * wrong)[part])
             ones = np.bincount(cell, weight * bit, 256 * STEPS)
             self.map[:, 1] += ones
             self.map[:, 0] += np.bincount(cell, weight, 256 * STEPS) - ones
+            for q, (where, hit, cell) in enumerate(active):
+                both = np.bincount(cell * 2 + hit, weight[where], 64).reshape(16, 2, 2)
+                self.right[q] += both
         flat = self.counts.ravel()
         for where, w in learn:
             np.add.at(flat, where, w)
@@ -163,38 +301,128 @@ def schedule(n: int, block: int) -> list[tuple[int, int]]:
     return out
 
 
-def score(buf: np.ndarray, off: np.ndarray, block: int = 1 << 20, table_bits: int = 22, head_bytes: int = 1 << 18) -> np.ndarray:
-    """Bits of each text of a stream, in the order given."""
+_NO_ANSWER = (np.zeros(0, np.uint64), np.zeros((2, 0), np.uint32), np.zeros((2, 0), np.int64))
+
+
+def score(buf: np.ndarray, off: np.ndarray, told: tuple = _NO_ANSWER, block: int = 1 << 17, table_bits: int = 22, head_bytes: int = 1 << 18) -> np.ndarray:
+    """Bits of each text of a stream, in the order given. ``told``: contexts, in order, that several documents of the
+    corpus have, with their two most frequent followers and the documents behind each."""
     model, n = Model(table_bits), len(buf)
+    pairs = Followers(buf, off)
+    follow, has = pairs.own()
+    marks = pairs.marks(buf, follow, has, np.zeros(len(has), np.int64)).astype(np.uint16)
+    follow, much = pairs.others(*told)
+    marks |= pairs.marks(buf, follow, much > 0, much > 1).astype(np.uint16) << np.uint16(8)
+    del pairs, follow, has, much
     cost = np.zeros(n + 1, np.float32)
+    code = lambda a, b: model.code(_block(buf, off, a, b) | marks[a:b].astype(np.uint64))
     for start, stop in schedule(n, block):
-        cost[start:stop] = model.code(_block(buf, off, start, stop))
+        cost[start:stop] = code(start, stop)
     head = min(head_bytes, n // 4)
-    if head:
-        model.forget(_block(buf, off, 0, head))
-        cost[:head] = model.code(_block(buf, off, 0, head))
+    for start in range(0, head, block):
+        stop = min(start + block, head)
+        model.forget(_block(buf, off, start, stop))
+        cost[start:stop] = code(start, stop)
     sums = np.concatenate([[0.0], np.cumsum(cost[:n], dtype=np.float64)])
     return sums[off[1:]] - sums[off[:-1]]
 
 
+_BLOBS = "key long, blob binary"
 _OUT = "doc_id long, n_bytes long, total_bits double, bits_per_byte double"
 
 
-def _stream(block: int, table_bits: int):
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.sort_by([("k", "ascending"), ("i", "ascending")])
+
+
+def _ask(buckets: int):
+    """A stream's pairs of words and what follows them, for the ranges of contexts."""
+    edges = np.array([-(-(b << 48) // buckets) for b in range(buckets)], np.uint64)
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("i", "ascending")])
+        stream = table.column("stream")[0].as_py()
+        ctx, follow, n = Followers(*tc.buffers(table.column("t"))).documents()
+        cut = np.append(np.searchsorted(ctx, edges), len(ctx))
+        full, blobs = np.flatnonzero(np.diff(cut)), []
+        for b in full:
+            own = slice(cut[b], cut[b + 1])
+            many = np.flatnonzero(n[own] > 1)
+            blobs.append(np.array([stream, cut[b + 1] - cut[b], len(many)], np.int64).tobytes() + pack48(ctx[own]) + follow[own].tobytes() + many.astype(np.int32).tobytes() + n[own][many].astype(np.int64).tobytes())
+        return pa.table({"key": pa.array(full, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _follow(table: pa.Table) -> pa.Table:
+    """A range of contexts: for each stream those of its own that two documents or more have, with the two followers
+    that most documents have; the least of equals."""
+    stream, ctx, follow, n = [], [], [], []
+    for b in table.column("blob").to_pylist():
+        s, m, many = map(int, np.frombuffer(b, np.int64, 3))
+        stream.append(s)
+        ctx.append(unpack48(b[24 : 24 + 6 * m]))
+        follow.append(np.frombuffer(b, np.uint32, m, 24 + 6 * m))
+        count = np.ones(m, np.int64)
+        count[np.frombuffer(b, np.int32, many, 24 + 10 * m)] = np.frombuffer(b, np.int64, many, 24 + 10 * m + 4 * many)
+        n.append(count)
+    owner = np.repeat(np.arange(len(stream)), [len(c) for c in ctx])
+    ctx, follow, n = np.concatenate(ctx), np.concatenate(follow), np.concatenate(n)
+    order = np.lexsort((follow, ctx))
+    c, f = ctx[order], follow[order]
+    head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])]))
+    c, f, n = c[head], f[head], np.add.reduceat(n[order], head)
+    order = np.lexsort((f, -n, c))  # of each context the most frequent first
+    c, f, n = c[order], f[order], n[order]
+    lead = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    size = np.diff(np.append(lead, len(c)))
+    several = np.add.reduceat(n, lead) > 1
+    lead, size = lead[several], size[several]
+    second = np.minimum(lead + 1, len(c) - 1)
+    both = np.stack([f[lead], np.where(size > 1, f[second], 0)]).astype(np.uint32)
+    # small numbers that compare alike, whichever of them a document is taken out of
+    less = np.where(size > 1, n[second], 0)
+    counts = np.stack([np.minimum(less, 3) + np.minimum(n[lead] - less, 3), np.minimum(less, 3)])
+    known = c[lead]
+    where = np.minimum(np.searchsorted(known, ctx), max(0, len(known) - 1))
+    hit = np.flatnonzero(known[where] == ctx) if len(known) else np.zeros(0, np.int64)
+    pair = np.unique(owner[hit] * np.int64(len(known) + 1) + where[hit])
+    who, what = pair // (len(known) + 1), pair % (len(known) + 1)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])), len(who)) if len(who) else np.zeros(1, np.int64)
+    keys, blobs = [], []
+    for a, b in zip(cut[:-1], cut[1:]):
+        own = what[a:b]
+        keys.append(stream[who[a]])
+        blobs.append(np.int64(len(own)).tobytes() + pack48(known[own]) + both[:, own].tobytes() + counts[:, own].astype(np.uint8).tobytes())
+    return pa.table({"key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _scorer(block: int, table_bits: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ctx, follow, n = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.uint32)], [np.zeros((2, 0), np.int64)]
+        for b in answers.column("blob").to_pylist():
+            m = int(np.frombuffer(b, np.int64, 1)[0])
+            ctx.append(unpack48(b[8 : 8 + 6 * m]))
+            follow.append(np.frombuffer(b, np.uint32, 2 * m, 8 + 6 * m).reshape(2, m))
+            n.append(np.frombuffer(b, np.uint8, 2 * m, 8 + 14 * m).reshape(2, m).astype(np.int64))
+        order = np.argsort(np.concatenate(ctx))
+        told = (np.concatenate(ctx)[order], np.concatenate(follow, 1)[:, order], np.concatenate(n, 1)[:, order])
+        table = _ordered(texts)
         buf, off = tc.buffers(table.column("t"))
-        bits, size = score(buf, off, block, table_bits), np.diff(off)
+        bits, size = score(buf, off, told, block, table_bits), np.diff(off)
         rate = pa.array(np.divide(bits, size, where=size > 0, out=np.zeros(len(size))), mask=size == 0)
         return pa.table({"doc_id": table.column("i"), "n_bytes": pa.array(size), "total_bits": pa.array(bits), "bits_per_byte": rate})
 
     return run
 
 
-def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 20, table_bits: int = 22) -> DataFrame:
+def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 17, table_bits: int = 22) -> DataFrame:
     """``(doc_id, n_bytes, total_bits, bits_per_byte)`` for every row."""
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     streams = max(1, -(-size // stream_bytes))
+    buckets = max(2 * partitions(docs.sparkSession), streams)
     keyed = base.select(row_key("i", "t").alias("k"), "i", F.coalesce("t", F.lit("")).alias("t"))
-    return keyed.groupBy(F.pmod("k", F.lit(streams)).alias("stream")).applyInArrow(_stream(block, table_bits), _OUT)
+    texts = keyed.withColumn("stream", F.pmod("k", F.lit(streams))).repartition("stream")
+    asked = texts.groupBy("stream").applyInArrow(_ask(buckets), _BLOBS)
+    answers = asked.groupBy("key").applyInArrow(lambda t: _follow(t), _BLOBS).withColumnRenamed("key", "stream")
+    return texts.groupBy("stream").cogroup(answers.groupBy("stream")).applyInArrow(_scorer(block, table_bits), _OUT)
