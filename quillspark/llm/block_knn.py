@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore as tc
 from .cluster import materialise
 
 
@@ -89,6 +90,7 @@ def tile_survivors(a: tuple, b: tuple, limit: np.ndarray, k: int) -> tuple[np.nd
 def _tiles(k: int):
     schema = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("distance", pa.float64())])
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         blobs, side = table.column("blob"), table.column("side").to_numpy()
         mine = np.flatnonzero(side == 0)
@@ -141,8 +143,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     blocks, fronts = max(1, -(-held // block_rows)), max(1, -(-asked // query_rows))
     spans = -(-blocks // span_blocks)
     spread = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
-    packed = base.withColumn("b", spread(blocks)).groupBy("b").applyInArrow(_block, "b int, blob binary")
-    front = base.where("q").withColumn("b", spread(fronts)).groupBy("b").applyInArrow(_block, "b int, blob binary")
+    packed = base.withColumn("b", spread(blocks)).groupBy("b").applyInArrow(tc.tidy(_block), "b int, blob binary")
+    front = base.where("q").withColumn("b", spread(fronts)).groupBy("b").applyInArrow(tc.tidy(_block), "b int, blob binary")
     rows = front.select(F.col("b").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), F.lit(0).alias("side"), "blob")
     cols = packed.select(F.explode(F.sequence(F.lit(0), F.lit(fronts - 1))).alias("row"), F.floor(F.col("b") / span_blocks).cast("int").alias("span"), F.lit(1).alias("side"), "blob")
     found = rows.union(cols).repartition(fronts * spans, "row", "span").groupBy("row", "span").applyInArrow(_tiles(k), "vec_id long, neighbour_id long, distance double")

@@ -77,6 +77,7 @@ _CHUNKS = "k long, id long, s int, e int, digest long"
 
 
 def _chunker(mask_bits: int, min_chunk: int, max_chunk: int):
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "t"):
@@ -158,7 +159,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str,
     # the row's other columns travel in a struct, so that no name of theirs meets one used here
     base = docs.select(F.struct(*rest).alias("own"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     joined = base.withColumn("k", row_key("i", "t")).join(lists, "k", "left").select("own", "t", "spans")
-    cut = joined.mapInArrow(_cut_out, joined.schema).where(F.col("spans").isNull() | F.col("t").rlike(r"\S"))
+    cut = joined.mapInArrow(tc.tidy(_cut_out), joined.schema).where(F.col("spans").isNull() | F.col("t").rlike(r"\S"))
     out = {c: F.col("t") if c == text_col else F.col("own")[c] for c in docs.columns}
     if chars_col and chars_col in out:
         length = F.length("t").cast(docs.schema[chars_col].dataType)

@@ -339,6 +339,7 @@ def _ask(buckets: int):
     """A stream's pairs of words and what follows them, for the ranges of contexts."""
     edges = np.array([-(-(b << 48) // buckets) for b in range(buckets)], np.uint64)
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         stream = table.column("stream")[0].as_py()
         ctx, follow, n = Followers(*tc.buffers(table.column("t"))).documents()
@@ -397,6 +398,7 @@ def _follow(table: pa.Table) -> pa.Table:
 
 
 def _scorer(block: int, table_bits: int):
+    @tc.tidy
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ctx, follow, n = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.uint32)], [np.zeros((2, 0), np.int64)]
         for b in answers.column("blob").to_pylist():
@@ -424,5 +426,5 @@ def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = base.select(row_key("i", "t").alias("k"), "i", F.coalesce("t", F.lit("")).alias("t"))
     texts = keyed.withColumn("stream", F.pmod("k", F.lit(streams))).repartition("stream")
     asked = texts.groupBy("stream").applyInArrow(_ask(buckets), _BLOBS)
-    answers = asked.groupBy("key").applyInArrow(lambda t: _follow(t), _BLOBS).withColumnRenamed("key", "stream")
+    answers = asked.groupBy("key").applyInArrow(tc.tidy(lambda t: _follow(t)), _BLOBS).withColumnRenamed("key", "stream")
     return texts.groupBy("stream").cogroup(answers.groupBy("stream")).applyInArrow(_scorer(block, table_bits), _OUT)

@@ -167,7 +167,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, families: di
     ranked = hashed.where("l is not null and t is not null and t <> ''").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
     edge = ranked.where(F.col("r") <= train_per_language).groupBy("l").agg(F.max("h").alias("edge"))
     picked = hashed.join(F.broadcast(edge), "l").where("h <= edge and t is not null and t <> ''")
-    rows = picked.select("l", "h", "t").mapInArrow(_examples, "l string, h long, noise boolean, slots binary, shares binary").orderBy("l", "h", "noise", "slots", "shares").collect()
+    rows = picked.select("l", "h", "t").mapInArrow(tc.tidy(_examples), "l string, h long, noise boolean, slots binary, shares binary").orderBy("l", "h", "noise", "slots", "shares").collect()
     if not rows:
         return None
     return Hierarchy([("" if r["noise"] else r["l"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows], families)
@@ -202,6 +202,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     else:
         schema = base.select("doc_id", found.alias("f")).select("doc_id", "f.*").schema
 
+    @tc.tidy
     def run(batches):
         m = model.value
         for batch in batches:

@@ -230,6 +230,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     index = Index(templates, k, window)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             for part in tc.slices(batch, "t", 1_000_000):

@@ -97,6 +97,7 @@ _ROWS = "kind int, key long, blob binary"
 def _tokenise(n: int, buckets: int):
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             start = 0
@@ -177,6 +178,7 @@ def _prefixes(threshold: float):
     """One batch of documents with the answers to its n-grams: its documents that have a prefix to index."""
     schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("cls", pa.int64()), ("gid", pa.int64()), ("prefix", pa.binary()), ("tokens", pa.binary())])
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         docs = blobs[kinds.index(1)] if 1 in kinds else b""
@@ -264,6 +266,7 @@ def _group_pairs(threshold: float, tile: int = 1024):
     Pairs leave tile by tile, so a cluster of many thousands of copies takes no more memory than its lists.
     """
 
+    @tc.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, lists, sizes = None, [], []
         for batch in batches:
@@ -305,6 +308,7 @@ def _verify(threshold: float, summary: bool):
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())] if summary else [("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
@@ -385,12 +389,12 @@ def _joined_classes(docs: DataFrame, id_col: str, text_col: str, n: int, thresho
     spark = docs.sparkSession
     parts = partitions(spark)
     raw = _keyed(docs, id_col, text_col).where("t is not null").mapInArrow(_tokenise(n, 2 * parts), _ROWS)
-    answers = raw.groupBy("key").applyInArrow(lambda t: _frequent(t), _ROWS)
+    answers = raw.groupBy("key").applyInArrow(tc.tidy(lambda t: _frequent(t)), _ROWS)
     indexed = materialise(answers.groupBy("key").applyInArrow(_prefixes(threshold), _INDEXED))
 
     groups = indexed.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    postings = groups.mapInArrow(_postings, "token long, gid long, size int")
-    lists = postings.groupBy(F.pmod(F.xxhash64("token"), F.lit(2 * parts)).alias("bucket")).applyInArrow(lambda t: _leaders(t), "leader long, list binary")
+    postings = groups.mapInArrow(tc.tidy(_postings), "token long, gid long, size int")
+    lists = postings.groupBy(F.pmod(F.xxhash64("token"), F.lit(2 * parts)).alias("bucket")).applyInArrow(tc.tidy(lambda t: _leaders(t)), "leader long, list binary")
     # a leader's work follows its pairs, not its bytes, so the number of tasks is said here
     found = lists.repartition(2 * parts, "leader").groupBy("leader").applyInArrow(_group_pairs(threshold), "ga long, gb long, leader long")
     found = found.groupBy("ga", "gb").agg(F.min("leader").alias("leader"))

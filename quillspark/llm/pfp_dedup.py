@@ -152,6 +152,7 @@ def dictionary_ranks(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _parser(window: int, modulus: int, min_bytes: int, buckets: int):
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
 
+    @tc.tidy
     def run(batches):
         for batch in batches:
             start = 0
@@ -282,6 +283,7 @@ def _suffixes(window: int, modulus: int, min_bytes: int, buckets: int):
     edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets)], np.uint64)
     nothing = pa.Table.from_batches([_rows([], [], [])])
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         answers = [unpack48(b) for kind, b in zip(kinds, blobs) if kind == 2]
@@ -368,6 +370,7 @@ def _corpus_order(min_bytes: int):
     """A range of first phrases: the suffixes of the corpus that begin in or just before them, in order, and for each
     batch the bytes whose suffix isn't its interval's first."""
 
+    @tc.tidy
     def run(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[] for _ in range(10)]
         key, through = [], []
@@ -465,10 +468,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = buckets_for(docs, text_col)
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")
     raw = base.select(row_key("i", "t").alias("k"), "i", "t").mapInArrow(_parser(window, modulus, min_bytes, buckets), _ROWS)
-    answers = raw.where("kind = 0").groupBy("key").applyInArrow(lambda t: _dictionary(t), _ROWS)
+    answers = raw.where("kind = 0").groupBy("key").applyInArrow(tc.tidy(lambda t: _dictionary(t)), _ROWS)
     found = raw.where("kind = 1").union(answers).groupBy("key").applyInArrow(_suffixes(window, modulus, min_bytes, buckets), _ROWS)
     ordered = found.groupBy("key").applyInArrow(_corpus_order(min_bytes), _ROWS)
-    marks = ordered.groupBy("key").applyInArrow(lambda t: _settled(t), _MARKS)
+    marks = ordered.groupBy("key").applyInArrow(tc.tidy(lambda t: _settled(t)), _MARKS)
     return chunk_dedup.runs(marks, min_bytes)
 
 

@@ -7,7 +7,8 @@ per row or per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,42 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task should hold none."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it likes
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """A function of Arrow tables or batches, one or two arguments, that gives its memory back when it is done."""
+
+    def call(*args):
+        try:
+            out = function(*args)
+            return _drained(out) if isinstance(out, Iterator) else out
+        finally:
+            give_back()
+
+    # Spark counts the arguments, and knows by annotations which function takes batches one by one
+    if function.__code__.co_argcount == 2:
+        run = lambda a, b: call(a, b)
+    else:
+        run = lambda a: call(a)
+    if function.__annotations__.get("batches"):
+        run.__annotations__ = {"a": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _drained(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser; spreads every input bit over the 64 output bits."""
     x = np.atleast_1d(x)  # scalars would warn of the intended overflow

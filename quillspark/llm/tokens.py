@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textcore as tc
+
 #: Pre-tokenisation of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict = {}
@@ -38,6 +40,7 @@ def with_counts(df: DataFrame, text_col: str, vocabulary: str | None, name: str
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
+    @tc.tidy
     def run(batches):
         enc = encoder(shared.value)
         for batch in batches:
