@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .cluster import partitions, row_key
-from .ngram_jaccard import pack48, unpack48
 
 ORDERS = (1, 2, 3, 4, 5)
 FIRST_BLOCK = 4096
@@ -304,7 +303,7 @@ def schedule(n: int, block: int) -> list[tuple[int, int]]:
 _NO_ANSWER = (np.zeros(0, np.uint64), np.zeros((2, 0), np.uint32), np.zeros((2, 0), np.int64))
 
 
-def score(buf: np.ndarray, off: np.ndarray, told: tuple = _NO_ANSWER, block: int = 1 << 17, table_bits: int = 22, head_bytes: int = 1 << 18) -> np.ndarray:
+def score(buf: np.ndarray, off: np.ndarray, told: tuple = _NO_ANSWER, block: int = 1 << 19, table_bits: int = 22, head_bytes: int = 1 << 18) -> np.ndarray:
     """Bits of each text of a stream, in the order given. ``told``: contexts, in order, that several documents of the
     corpus have, with their two most frequent followers and the documents behind each."""
     model, n = Model(table_bits), len(buf)
@@ -348,7 +347,7 @@ def _ask(buckets: int):
         for b in full:
             own = slice(cut[b], cut[b + 1])
             many = np.flatnonzero(n[own] > 1)
-            blobs.append(np.array([stream, cut[b + 1] - cut[b], len(many)], np.int64).tobytes() + pack48(ctx[own]) + follow[own].tobytes() + many.astype(np.int32).tobytes() + n[own][many].astype(np.int64).tobytes())
+            blobs.append(tc.squeeze(np.array([stream, cut[b + 1] - cut[b], len(many)], np.int64).tobytes(), tc.planes48(ctx[own]), follow[own].tobytes(), many.astype(np.int32).tobytes(), n[own][many].astype(np.int64).tobytes()))
         return pa.table({"key": pa.array(full, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return run
@@ -358,22 +357,29 @@ def _follow(table: pa.Table) -> pa.Table:
     """A range of contexts: for each stream those of its own that two documents or more have, with the two followers
     that most documents have; the least of equals."""
     stream, ctx, follow, n = [], [], [], []
-    for b in table.column("blob").to_pylist():
+    for b in map(tc.unsqueeze, table.column("blob").to_pylist()):
         s, m, many = map(int, np.frombuffer(b, np.int64, 3))
         stream.append(s)
-        ctx.append(unpack48(b[24 : 24 + 6 * m]))
+        ctx.append(tc.unplanes48(b[24 : 24 + 6 * m]))
         follow.append(np.frombuffer(b, np.uint32, m, 24 + 6 * m))
         count = np.ones(m, np.int64)
         count[np.frombuffer(b, np.int32, many, 24 + 10 * m)] = np.frombuffer(b, np.int64, many, 24 + 10 * m + 4 * many)
         n.append(count)
     owner = np.repeat(np.arange(len(stream)), [len(c) for c in ctx])
     ctx, follow, n = np.concatenate(ctx), np.concatenate(follow), np.concatenate(n)
-    order = np.lexsort((follow, ctx))
+    order = np.argsort(ctx, kind="stable")
+    same = np.flatnonzero(np.concatenate([[False], ctx[order][1:] == ctx[order][:-1]]))
+    if len(same):  # followers of contexts that stand alone need no order
+        some = np.union1d(same, same - 1)
+        order[some] = order[some][np.lexsort((follow[order[some]], ctx[order[some]]))]
     c, f = ctx[order], follow[order]
     head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])]))
     c, f, n = c[head], f[head], np.add.reduceat(n[order], head)
-    order = np.lexsort((f, -n, c))  # of each context the most frequent first
-    c, f, n = c[order], f[order], n[order]
+    many = np.flatnonzero(np.concatenate([[False], c[1:] == c[:-1]]))
+    if len(many):  # of each context the most frequent first
+        some = np.union1d(many, many - 1)
+        best = some[np.lexsort((f[some], -n[some], c[some]))]
+        f[some], n[some] = f[best], n[best]
     lead = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     size = np.diff(np.append(lead, len(c)))
     several = np.add.reduceat(n, lead) > 1
@@ -393,7 +399,7 @@ def _follow(table: pa.Table) -> pa.Table:
     for a, b in zip(cut[:-1], cut[1:]):
         own = what[a:b]
         keys.append(stream[who[a]])
-        blobs.append(np.int64(len(own)).tobytes() + pack48(known[own]) + both[:, own].tobytes() + counts[:, own].astype(np.uint8).tobytes())
+        blobs.append(tc.squeeze(np.int64(len(own)).tobytes(), tc.planes48(known[own]), both[:, own].tobytes(), counts[:, own].astype(np.uint8).tobytes()))
     return pa.table({"key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -401,9 +407,9 @@ def _scorer(block: int, table_bits: int):
     @tc.tidy
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ctx, follow, n = [np.zeros(0, np.uint64)], [np.zeros((2, 0), np.uint32)], [np.zeros((2, 0), np.int64)]
-        for b in answers.column("blob").to_pylist():
+        for b in map(tc.unsqueeze, answers.column("blob").to_pylist()):
             m = int(np.frombuffer(b, np.int64, 1)[0])
-            ctx.append(unpack48(b[8 : 8 + 6 * m]))
+            ctx.append(tc.unplanes48(b[8 : 8 + 6 * m]))
             follow.append(np.frombuffer(b, np.uint32, 2 * m, 8 + 6 * m).reshape(2, m))
             n.append(np.frombuffer(b, np.uint8, 2 * m, 8 + 14 * m).reshape(2, m).astype(np.int64))
         order = np.argsort(np.concatenate(ctx))
@@ -417,7 +423,7 @@ def _scorer(block: int, table_bits: int):
     return run
 
 
-def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 17, table_bits: int = 22) -> DataFrame:
+def bits_per_byte(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stream_bytes: int = 8 << 20, block: int = 1 << 19, table_bits: int = 22) -> DataFrame:
     """``(doc_id, n_bytes, total_bits, bits_per_byte)`` for every row."""
     base = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]

@@ -24,6 +24,28 @@ _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def squeeze(*parts: bytes) -> bytes:
+    """Parts joined and compressed, for the shuffle and the memory of those who wait for it."""
+    whole = b"".join(parts)
+    return np.int64(len(whole)).tobytes() + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unsqueeze(b: bytes) -> bytes:
+    size = int(np.frombuffer(b, np.int64, 1)[0])
+    return pa.decompress(b[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def planes48(x: np.ndarray) -> bytes:
+    """Byte planes of 48-bit values; of sorted ones the high planes compress to almost nothing."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def unplanes48(b: bytes) -> np.ndarray:
+    raw = np.zeros((len(b) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(b, np.uint8).reshape(6, -1).T
+    return raw.view(np.uint64).ravel()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker that waits for its next task should hold none."""
     pa.default_memory_pool().release_unused()
