@@ -175,7 +175,7 @@ def _parser(window: int, modulus: int, min_bytes: int, buckets: int):
                 i, known = part.column("i").fill_null(0).to_numpy(), part.column("i").is_valid().to_numpy(zero_copy_only=False)
                 buf, own = tc.buffers(part.column("t"))
                 # the texts themselves wait for the answers; they are parsed again rather than sent as phrases
-                yield _rows([1], [flush], [np.int64(len(k)).tobytes() + k.tobytes() + i.tobytes() + known.astype(np.int8).tobytes() + np.diff(own).astype(np.int64).tobytes() + buf.tobytes()])
+                yield _rows([1], [flush], [tc.squeeze(np.int64(len(k)).tobytes(), k.tobytes(), i.tobytes(), known.astype(np.int8).tobytes(), np.diff(own).astype(np.int64).tobytes(), buf.tobytes())])
                 value, count = np.unique(digest, return_counts=True)
                 cut = np.append(np.searchsorted(value, edges), len(value))
                 full = np.flatnonzero(np.diff(cut))
@@ -289,7 +289,8 @@ def _suffixes(window: int, modulus: int, min_bytes: int, buckets: int):
         answers = [unpack48(b) for kind, b in zip(kinds, blobs) if kind == 2]
         if 1 not in kinds or not answers:
             return nothing
-        b, flush = blobs[kinds.index(1)], table.column("key")[0].as_py()
+        b, flush = tc.unsqueeze(blobs[kinds.index(1)]), table.column("key")[0].as_py()
+        del table, blobs
         n = int(np.frombuffer(b, np.int64, 1)[0])
         k, i = np.frombuffer(b, np.int64, n, 8), np.frombuffer(b, np.int64, n, 8 + 8 * n)
         known = np.frombuffer(b, np.int8, n, 8 + 16 * n)
@@ -356,7 +357,7 @@ def _suffixes(window: int, modulus: int, min_bytes: int, buckets: int):
             numbers = (kk[own], ii[own], nn[own], place[own] - origin[own], before[own], size[own])
             text = buf[_ragged(place[own] - before[own], before[own])].tobytes()
             index = _ragged(bounds[own], count[own])
-            sent.append(np.array([flush, len(own), len(text), len(index)], np.int64).tobytes() + b"".join(x.astype(t).tobytes() for x, t in zip(numbers, _SUFFIX)) + text + pack48(symbols[index]) + rel[index].astype(np.int32).tobytes())
+            sent.append(tc.squeeze(np.array([flush, len(own), len(text), len(index)], np.int64).tobytes(), *(x.astype(t).tobytes() for x, t in zip(numbers, _SUFFIX)), text, pack48(symbols[index]), rel[index].astype(np.int32).tobytes()))
         kinds = [1] * len(sent)
         if len(here[0]):  # these marks pass through the next step with the suffixes
             full, kinds = np.append(full, abs(int(here[0][0])) % buckets), [*kinds, 0]
@@ -379,6 +380,7 @@ def _corpus_order(min_bytes: int):
                 key.append(int(np.frombuffer(b, np.int64, 1)[0]))
                 through.append(b[8:])
                 continue
+            b = tc.unsqueeze(b)
             flush, n, width, m = map(int, np.frombuffer(b, np.int64, 4))
             at = 32
             for slot, kind in enumerate(_SUFFIX):
