@@ -54,9 +54,8 @@ def add_batch(paths: list[str], **options: Any) -> list[str]:
 
 
 def add_content(content: str | bytes, filename: str, **options: Any) -> str:
-    """Indexes text, at once: there is no file to come back to. Options of ``INDEX``, and ``content_type``."""
-    how = _take(options, {**INDEX, "content_type": None})
-    return engine().add_content(content, filename, **{**how, "wait": True})
+    """Indexes text; options of ``INDEX``, and ``content_type``. Queued text is kept until it is processed."""
+    return engine().add_content(content, filename, **_take(options, {**INDEX, "content_type": None}))
 
 
 def search(query: str, **options: Any) -> list[dict]:
@@ -89,15 +88,24 @@ def probe(path: str) -> dict:
     return engine().probe(path)
 
 
-def start_processor() -> int:
-    """Queues what was left without chunks and processes the queue; the number of documents done."""
+def start_processor(background: bool = False) -> int:
+    """Queues what was left without chunks and processes the queue; the number of documents done. In the background
+    a worker goes on doing so until ``shutdown``, and the number is 0."""
+    if not engine().worker.running:
+        engine().requeue_lost()
     engine().recover_orphans()
+    if background:
+        engine().worker.start()
+        return 0
     return engine().process_pending()
 
 
-def shutdown() -> None:
+def shutdown(timeout: float = 30.0) -> bool:
+    """Stops watchers and, when nothing waits, the queue; whether all ended in time."""
     global _ENGINE
+    ended = _ENGINE.shutdown(timeout) if _ENGINE else True
     _ENGINE = None
+    return ended
 
 
 def get_status(doc_id: str) -> dict:

@@ -131,3 +131,17 @@ def lexical_overlap(query: Column | str, text: Column | str) -> Column:
     chars = lambda c: F.array_distinct(F.filter(F.split(F.lower(col(c)), ""), lambda x: F.trim(x) != ""))
     q = chars(query)
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, chars(text))).cast("double") / F.size(q)).otherwise(0.0)
+
+
+#: Words of a question that ask for an action or a place, and words of a text that answer it.
+HINTS = ((("做什么", "干什么"), ("正在", "开", "谈", "做")), (("什么地方", "在哪", "哪里"), ("在", "酒店", "机场", "家", "公司")))
+
+
+def lexical_baseline(query: str, text: Column | str) -> Column:
+    """Number of the query's distinct characters that the text has, and 2 for each hint that it answers."""
+    c = F.coalesce(col(text), F.lit(""))
+    score = sum((F.contains(c, F.lit(x)).cast("double") for x in sorted(set(query))), F.lit(0.0))
+    for asked, answers in HINTS:
+        if any(a in query for a in asked):
+            score = score + F.when(F.exists(F.array(*[F.lit(a) for a in answers]), lambda a: F.contains(c, a)), 2.0).otherwise(0.0)
+    return score

@@ -38,6 +38,26 @@ class AccessQueues:
     def replay(self, events: Iterable[tuple[str, float]]) -> list[bool]:
         return [self.touch(k, t) for k, t in events]
 
+    def dump(self) -> dict:
+        """Both queues as JSON values, oldest first."""
+        return {"recent": list(self.recent.items()), "hot": list(self.hot.items())}
+
+    def load(self, saved) -> None:
+        """Takes queues over from ``dump``, the newest up to their sizes; anything unreadable leaves them empty."""
+        try:
+            recent, hot = ([(str(k), float(t)) for k, t in saved.get(n, [])] for n in ("recent", "hot"))
+        except (AttributeError, TypeError, ValueError):
+            recent = hot = []
+        self.recent, self.hot = OrderedDict(recent[-self.recent_size :]), OrderedDict(hot[-self.hot_size :])
+
+    def get_recent(self) -> list[str]:
+        """Keys accessed once, newest first."""
+        return list(reversed(self.recent))
+
+    def get_hot(self) -> list[str]:
+        """Promoted keys, newest first."""
+        return list(reversed(self.hot))
+
     def stats(self) -> dict[str, int]:
         return {"recent_count": len(self.recent), "hot_count": len(self.hot), "recent_capacity": self.recent_size, "hot_capacity": self.hot_size}
 

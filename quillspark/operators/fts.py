@@ -21,6 +21,21 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+#: The term of a chunk's own row, whose length counts even where it has no terms.
+WHOLE = ""
+
+
+def stored(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """Rows of the table ``postings``: every term of a chunk, and one row of the chunk itself.
+
+    They are sorted by term, so that a search reads the row groups of its terms alone.
+    """
+    words = chunks.select("doc_id", F.col(id_col).alias("id"), terms(text_col).alias("w")).withColumn("len", F.size("w"))
+    tf = words.select("doc_id", "id", "len", F.explode("w").alias("term")).groupBy("doc_id", "id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    whole = words.select("doc_id", "id", F.lit(WHOLE).alias("term"), F.lit(0).cast("long").alias("tf"), "len")
+    return tf.select("doc_id", "id", "term", "tf", "len").union(whole).repartitionByRange("term", "id").sortWithinPartitions("term")
+
+
 def bm25(index: DataFrame, query_terms: list[str], n_docs: int, avg_len: float) -> DataFrame:
     """``(id, score)`` of the documents that have a query term. The term filter comes before any shuffle."""
     hits = index.where(F.col("term").isin(list(dict.fromkeys(query_terms))))

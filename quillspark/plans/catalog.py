@@ -1,15 +1,25 @@
 """The catalog: tables as versioned Parquet folders, and the statements that change them.
 
-A change writes a new version beside the old one and then moves the table's
-pointer, a one-line file, so readers never see half a change and a failed
-job leaves the table as it was. Appends add a folder to the version's list.
+A version is a small file that lists folders. A change reads a version, writes
+folders beside the old ones and then claims the next number; if another writer
+has claimed it meanwhile, the change is made again from that writer's version,
+so none is lost, and readers never see half a change. Claims are atomic on local
+disks and where a rename to a taken name fails, as on HDFS; on an object store
+that lets it overwrite, a table needs one writer at a time.
+
+A deletion or an update rewrites only the folders that hold rows it touches.
+Folders are joined once there are ``FEW`` of them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import random
 import time
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +27,16 @@ from pyspark.sql import functions as F
 from ..functions.glob import glob_regex
 from ..schemas import TABLES, columns
 
+#: Folders of a version before they are joined, and how often a change is tried.
+FEW, TRIES = 128, 20
+
+
+class Changed(RuntimeError):
+    """Another writer claimed the version first."""
+
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 2):
+    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 256):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep_versions
 
     # -- storage ---
@@ -29,69 +46,155 @@ class Catalog:
         p = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[str]:
-        p, fs = self._path(table)
-        if not fs.exists(p):
-            return []
-        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith("v") and x.getPath().getName().endswith(".json"))
-
-    def _folders(self, table: str) -> list[str]:
-        found = self._versions(table)
-        if not found:
-            return []
-        p, fs = self._path(table, found[-1])
+    def _get(self, *parts: str) -> bytes:
+        p, fs = self._path(*parts)
         stream = fs.open(p)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
-    def _commit(self, table: str, folders: list[str]) -> None:
-        found = self._versions(table)
-        number = int(found[-1][1:-5]) + 1 if found else 1
-        tmp, fs = self._path(table, f".{uuid.uuid4().hex}")
+    def _put(self, content: bytes, *parts: str, replace: bool = False) -> bool:
+        """Writes a file whole; False where it exists and isn't to be replaced."""
+        tmp, fs = self._path(*parts[:-1], f".{uuid.uuid4().hex}")
         out = fs.create(tmp)
-        out.write(bytearray(json.dumps(folders).encode()))
+        out.write(bytearray(content))
         out.close()
-        final, _ = self._path(table, f"v{number:012d}.json")
-        if not fs.rename(tmp, final):
-            raise RuntimeError(f"{table} was changed by another writer")
-        for old in found[: -self.keep] if len(found) > self.keep else []:
-            fs.delete(self._path(table, old)[0], False)
+        final, _ = self._path(*parts)
+        if fs.getUri().getScheme() == "file":
+            a, b = tmp.toUri().getPath(), final.toUri().getPath()
+            try:
+                os.replace(a, b) if replace else os.link(a, b)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(tmp, False)
+        if replace:
+            fs.delete(final, False)
+        done = fs.rename(tmp, final)
+        if not done:
+            fs.delete(tmp, False)
+        return done
+
+    def put_json(self, name: str, value: Any) -> None:
+        self._put(json.dumps(value).encode(), f"{name}.json", replace=True)
+
+    def get_json(self, name: str, default: Any = None) -> Any:
+        """What was put; the default where there is nothing or nothing readable."""
+        p, fs = self._path(f"{name}.json")
+        try:
+            return json.loads(self._get(f"{name}.json")) if fs.exists(p) else default
+        except ValueError:
+            return default
 
-    def read(self, table: str) -> DataFrame:
-        folders = self._folders(table)
-        schema = TABLES[table]
+    def _versions(self, table: str) -> list[str]:
+        p, fs = self._path(table)
+        if not fs.exists(p):
+            return []
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().startswith("v") and x.getPath().getName().endswith(".json"))
+
+    def _state(self, table: str) -> tuple[int, list[str]]:
+        """Number of the newest version, 0 where there is none, and its folders."""
+        found = self._versions(table)
+        return (int(found[-1][1:-5]), json.loads(self._get(table, found[-1]))) if found else (0, [])
+
+    def _commit(self, table: str, number: int, folders: list[str]) -> None:
+        """Makes these folders the version after ``number``, the one that the change was made from."""
+        if not self._put(json.dumps(folders).encode(), table, f"v{number + 1:012d}.json"):
+            raise Changed(f"{table} was changed by another writer")
+        for old in self._versions(table)[: -self.keep]:
+            p, fs = self._path(table, old)
+            fs.delete(p, False)
+
+    def _change(self, table: str, make: Callable[[list[str]], list[str] | None]) -> None:
+        """Commits what ``make`` makes of the newest version's folders, again from the start if another writer was first."""
+        for attempt in range(TRIES):
+            number, folders = self._state(table)
+            new = make(folders)
+            if new is None:
+                return
+            try:
+                return self._commit(table, number, new)
+            except Changed:
+                if attempt == TRIES - 1:
+                    raise
+                time.sleep(random.uniform(0, 0.02 * 2 ** min(attempt, 6)))
+
+    def _frame(self, table: str, folders: list[str], named: bool = False) -> DataFrame:
+        """Rows of some folders; ``named`` with the folder's name as ``__folder``."""
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+            empty = self.spark.createDataFrame([], TABLES[table])
+            return empty.withColumn("__folder", F.lit("")) if named else empty
+        rows = self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{f}" for f in folders])
+        return rows.select("*", F.regexp_extract("_metadata.file_path", r"/(part-[0-9a-f]+)/[^/]*$", 1).alias("__folder")) if named else rows
+
+    def read(self, table: str) -> DataFrame:
+        return self._frame(table, self._state(table)[1])
 
     def _write(self, table: str, df: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
-        have = dict(df.dtypes)
-        cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])]
-        df.select(*cols).write.parquet(f"{self.root}/{table}/{name}")
+        self._shaped(table, df).write.parquet(f"{self.root}/{table}/{name}")
         return name
 
+    def _shaped(self, table: str, df: DataFrame) -> DataFrame:
+        have = set(df.columns)
+        return df.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])])
+
     def append(self, table: str, df: DataFrame) -> None:
         """Adds rows; columns that ``df`` lacks are null."""
         folder = self._write(table, df)
-        self._commit(table, [*self._folders(table), folder])
+        self._change(table, lambda folders: [*folders, folder])
+        if len(self._state(table)[1]) >= FEW:
+            self.compact(table)
 
     def overwrite(self, table: str, df: DataFrame) -> None:
-        self._commit(table, [self._write(table, df)])
+        """The rows become the table. They must not come from the table itself: see ``rewrite``."""
+        folder = self._write(table, df)
+        self._change(table, lambda _: [folder])
+
+    def rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """The table becomes what ``change`` makes of it; ``change`` runs again if another writer was first."""
+        self._change(table, lambda folders: [self._write(table, change(self._frame(table, folders)))])
+
+    def compact(self, table: str) -> None:
+        """Joins the folders of a table."""
+        self._change(table, lambda folders: None if len(folders) < 2 else [self._write(table, self._frame(table, folders))])
+
+    def vacuum(self, table: str, older_than: float = 86_400.0) -> int:
+        """Deletes folders that no kept version lists and that are older than so many seconds; their number."""
+        used = {f for v in self._versions(table) for f in json.loads(self._get(table, v))}
+        p, fs = self._path(table)
+        gone = [x.getPath() for x in (fs.listStatus(p) if fs.exists(p) else []) if x.getPath().getName().startswith("part-") and x.getPath().getName() not in used and time.time() - x.getModificationTime() / 1000 > older_than]
+        for g in gone:
+            fs.delete(g, True)
+        return len(gone)
+
+    def _replace(self, table: str, touched: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> None:
+        """Rewrites the folders that hold ``touched`` rows to their ``rest``, with ``more`` rows."""
+
+        def make(folders: list[str]) -> list[str] | None:
+            hit = {r[0] for r in touched(self._frame(table, folders, named=True)).select("__folder").distinct().collect()} if folders else set()
+            if not hit and more is None:
+                return None
+            parts = [self._shaped(table, rest(self._frame(table, [f for f in folders if f in hit])))] if hit else []
+            new = parts + ([self._shaped(table, more)] if more is not None else [])
+            return [*(f for f in folders if f not in hit), self._write(table, new[0] if len(new) == 1 else new[0].unionByName(new[1]))]
+
+        self._change(table, make)
 
     def delete(self, table: str, condition: Column) -> None:
-        self.overwrite(table, self.read(table).where(~F.coalesce(condition, F.lit(False))))
+        gone = F.coalesce(condition, F.lit(False))
+        self._replace(table, lambda df: df.where(gone), lambda df: df.where(~gone))
 
     def delete_matching(self, table: str, ids: DataFrame, key: str = "doc_id") -> None:
-        self.overwrite(table, self.read(table).join(ids.select(key).distinct(), key, "left_anti"))
+        keys = ids.select(key).distinct()
+        self._replace(table, lambda df: df.join(keys, key, "left_semi"), lambda df: df.join(keys, key, "left_anti"))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
-        rest = self.read(table).join(df.select(*keys).distinct(), keys, "left_anti")
-        have = dict(df.dtypes)
-        cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in columns(TABLES[table])]
-        self.overwrite(table, rest.unionByName(df.select(*cols)))
+        """Rows with the keys of ``df`` become its rows."""
+        own = df.select(*keys).distinct()
+        self._replace(table, lambda t: t.join(own, keys, "left_semi"), lambda t: t.join(own, keys, "left_anti"), df)
 
     # -- documents ---
 
@@ -101,7 +204,7 @@ class Catalog:
 
     def delete_documents(self, ids: DataFrame) -> None:
         """Removes documents with chunks, hashes and paths. Collections keep the id; listings leave it out."""
-        for t in ("stubs", "chunks", "content_hashes", "path_index", "files"):
+        for t in ("stubs", "chunks", "content_hashes", "path_index", "files", "raw_files", "postings"):
             self.delete_matching(t, ids)
 
     def delete_session(self, session_id, collection=None) -> list[str]:
@@ -154,11 +257,14 @@ class Catalog:
         self.delete("collection_docs", F.col("name") == name)
         return True
 
-    def add_to_collection(self, name: str, doc_ids: list[str]) -> None:
+    def add_to_collection(self, name: str, doc_ids: list[str] | DataFrame) -> None:
         """Adds members, each once; the collection is made if it doesn't exist."""
         if self.read("collections").where(F.col("name") == name).isEmpty():
             self.put_collection(name)
-        new = self.spark.createDataFrame([(name, x) for x in dict.fromkeys(doc_ids)], TABLES["collection_docs"])
+        if isinstance(doc_ids, DataFrame):
+            new = doc_ids.select(F.lit(name).alias("name"), "doc_id").distinct()
+        else:
+            new = self.spark.createDataFrame([(name, x) for x in dict.fromkeys(doc_ids)], TABLES["collection_docs"])
         self.upsert("collection_docs", new, ["name", "doc_id"])
 
     def remove_from_collection(self, name: str, doc_id: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,8 @@ from ..session import Settings
 from ..sources import base
 from . import models
 from .catalog import Catalog, route
+from .file_store import FileStore, TableFileStore
+from .worker import QueueWorker
 
 
 def _shown(path: str) -> Column:
@@ -30,13 +32,34 @@ def _shown(path: str) -> Column:
 class Engine:
     """One catalog with its settings and plug-ins. Results are DataFrames, or dicts where one document is asked for."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder=None, reranker=None, summariser=None):
+    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder=None, reranker=None, summariser=None, instructor=None, file_store: FileStore | None = None):
         self.spark, self.settings = spark, settings or Settings()
         self.catalog = Catalog(spark, root or self.settings.db_path)
-        self.embedder = embedder or models.make(models.EMBEDDERS, self.settings.embedding_provider)
-        self.reranker = reranker or models.make(models.RERANKERS, self.settings.rerank_provider)
-        self.summariser, self.adaptors = summariser, []
+        self.files = file_store or TableFileStore(self.catalog)
+        own = self.settings
+        self.embedder = embedder or models.make(models.EMBEDDERS, own.embedding_provider, **models.told(own.embedding_provider, own.embedding_url, own.embedding_model))
+        self.reranker = reranker or models.make(models.RERANKERS, own.rerank_provider, **models.told(own.rerank_provider, own.rerank_url, own.rerank_model))
+        self.summariser, self.instructor, self.adaptors = summariser, instructor, []
         self.access = AccessQueues(self.settings.access_recent_size, self.settings.access_hot_size)
+        self.access.load(self.catalog.get_json("access", {}))
+        self.worker = QueueWorker(self, self.settings.max_concurrent_tasks)
+        self.on_promote: list[Callable[[str], None]] = []
+        self.on_hot_section: list[Callable[[str, str], None]] = []
+        self._hot: set[tuple[str, str]] = set()
+        self._closing: list[Any] = []
+
+    def close_with(self, thing: Any) -> None:
+        """``thing.stop()`` is called when the engine shuts down."""
+        self._closing.append(thing)
+
+    def shutdown(self, timeout: float = 30.0) -> bool:
+        """Stops watchers, then the queue once nothing waits, and saves the access queues; whether all ended in time."""
+        for thing in self._closing:
+            thing.stop()
+        self._closing.clear()
+        ended = self.worker.stop(drain=True, timeout=timeout)
+        self.catalog.put_json("access", self.access.dump())
+        return ended
 
     # -- ingest ---
 
@@ -62,103 +85,165 @@ class Engine:
         row = self.spark.createDataFrame([(dedup.synthetic_path(name), bytearray(raw))], "path string, content binary")
         return self.index(row, **how)[dedup.synthetic_path(name)]
 
-    def index(self, files: DataFrame, *, source: str = "", collection: str | None = None, metadata: dict | None = None, wait: bool = True, force: bool = False, summarize: bool = False, probe_config: dict | None = None, now: float | None = None, use_llm_instructions: bool = False) -> dict[str, str]:
-        """Indexes ``(path, content)`` rows and returns ``{path: doc_id}``.
+    def index(self, files: DataFrame, **how: Any) -> dict[str, str]:
+        """``ingest``, with the ids of the caller's own paths as ``{path: doc_id}``."""
+        return {r["path"]: r["doc_id"] for r in self.ingest(files, **how).toLocalIterator()}
+
+    def ingest(self, files: DataFrame, *, source: str = "", collection: str | None = None, metadata: dict | None = None, wait: bool = True, force: bool = False, summarize: bool = False, probe_config: dict | None = None, now: float | None = None, use_llm_instructions: bool = False) -> DataFrame:
+        """Indexes ``(path, content)`` rows, with their own ``metadata_json`` if they have that; gives ``(path, doc_id)``.
 
         Content that is known keeps its document, unless forced; a path with new
         content replaces its document. With ``wait=False`` documents get their
-        stubs now and are queued for ``process_pending``.
+        stubs now, their bytes are kept and they are queued for ``process_pending``.
         """
-        stamp, meta = time.time() if now is None else now, metadata or {}
-        rows = files.select("path", "content", ids.content_hash("content").alias("hash"))
+        stamp, meta = time.time() if now is None else now, json.dumps(metadata or {})
+        told = F.coalesce("metadata_json", F.lit(meta)) if "metadata_json" in files.columns else F.lit(meta)
+        rows = files.select("path", "content", told.alias("metadata_json"), ids.content_hash("content").alias("hash"))
         rows = rows.withColumn("doc_id", ids.doc_id("hash", "path"))
         known = self.catalog.read("content_hashes")
-        seen = rows.limit(0).select("path", "hash", F.lit("").alias("known_id")) if force else dedup.split_new(rows.drop("doc_id"), known)[1].select("path", "hash", "known_id")
+        seen = rows.join(known.select("hash", F.col("doc_id").alias("known_id")), "hash").select("path", F.col("known_id").alias("doc_id"))
         fresh = rows if force else rows.join(known.select("hash"), "hash", "left_anti")
         lead = dedup.first_of_each(fresh, ["hash"], ["path"]).select("hash", F.col("doc_id").alias("lead"))
         fresh = fresh.join(lead, "hash").withColumn("mine", F.col("doc_id") == F.col("lead"))
         ident = fresh.select("path", "hash", F.col("lead").alias("doc_id"), "mine").persist()
-        out = {r["path"]: r["doc_id"] for r in ident.collect()} | {r["path"]: r["known_id"] for r in seen.collect()}
+        pairs = ident.select("path", "doc_id")
+        # the table of hashes changes below: what is known now is kept
+        pairs = (pairs if force else pairs.union(seen)).persist()
+        pairs.count()
         if not ident.isEmpty():
             old = self.catalog.read("path_index").join(ident.select("path"), "path", "left_semi").select("doc_id")
-            gone = [r[0] for r in old.union(ident.select("doc_id")).distinct().collect()]
-            if not self.catalog.read("stubs").where(F.col("doc_id").isin(gone)).isEmpty():
-                self.catalog.delete_documents(self.spark.createDataFrame([(x,) for x in gone], "doc_id string"))
+            gone = old.union(ident.select("doc_id")).distinct().persist()
+            if not self.catalog.read("stubs").join(gone, "doc_id", "left_semi").isEmpty():
+                self.catalog.delete_documents(gone)
+            gone.unpersist()
             clock = telemetry.Clock()
-            probed = base.probe_files(fresh.where("mine").select("path", "content"), probe_config)
-            probed = probed.join(ident.where("mine").select("path", "doc_id"), "path").persist()
-            bad = probed.where("error is not null").select("doc_id", "path", "error").collect()
+            own = fresh.where("mine")
+            probed = base.probe_files(own.select("path", "content"), probe_config)
+            probed = probed.join(own.select("path", "doc_id", "metadata_json"), "path").withColumn("source", F.lit(source)).persist()
             good = probed.where("error is null")
             clock.lap("probe")
-            self._write_stubs(good, source, meta)
-            self.catalog.append("content_hashes", ident.where("mine").select("hash", "doc_id"))
-            sizes = fresh.where("mine").select("path", F.length("content").cast("long").alias("size"))
+            self.files.save(own.join(good.select("doc_id"), "doc_id", "left_semi"))
+            self._write_stubs(good, use_llm_instructions)
+            self.catalog.append("content_hashes", ident.where("mine").join(good.select("doc_id"), "doc_id", "left_semi").select("hash", "doc_id"))
+            sizes = own.select("path", F.length("content").cast("long").alias("size"))
             self.catalog.append("files", good.join(sizes, "path").select("doc_id", "path", suffix("path").alias("suffix"), "size"))
             if wait:
-                self._write_chunks(good, source, meta, summarize, stamp)
+                self._write_chunks(good, summarize, stamp)
                 clock.lap("embedding")
             else:
-                self.catalog.append("tasks", good.select("doc_id", F.lit(0).alias("priority"), F.lit(stamp).alias("submitted_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(summarize).alias("needs_summarization")))
-            if bad:
-                self.catalog.append("failures", self.spark.createDataFrame([(r["doc_id"], stamp, r["error"], source, r["path"]) for r in bad], "doc_id string, ts double, error string, source string, filename string"))
-            self.catalog.append("telemetry", telemetry.measures(good, fresh.where("mine").select("path", F.length("content").alias("size")), clock.laps))
-            for a in self.adaptors:
-                for doc in dict.fromkeys(r["doc_id"] for r in ident.collect()):
-                    a.on_document_indexed(doc, {"source": source, **meta})
+                fresh_tasks = good.select("doc_id", F.lit(0).alias("priority"), F.lit(stamp).alias("submitted_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(summarize).alias("needs_summarization"))
+                self.catalog.upsert("tasks", fresh_tasks, ["doc_id"])
+            bad = probed.where("error is not null")
+            if not bad.isEmpty():
+                self.catalog.append("failures", bad.select("doc_id", F.lit(stamp).alias("ts"), "error", "source", F.col("path").alias("filename")))
+            self.catalog.append("telemetry", telemetry.measures(good, sizes, clock.laps))
+            if self.adaptors:  # hooks run here, one document after the other
+                for r in good.select("doc_id", "metadata_json").distinct().toLocalIterator():
+                    for a in self.adaptors:
+                        a.on_document_indexed(r["doc_id"], {"source": source, **json.loads(r["metadata_json"])})
             probed.unpersist()
         ident.unpersist()
-        if out:
-            paths = self.spark.createDataFrame(list(out.items()), "path string, doc_id string")
-            self.catalog.upsert("path_index", paths, ["path"])
-            self._route(list(dict.fromkeys(out.values())), source, collection)
-        return out
+        if not pairs.isEmpty():
+            self.catalog.upsert("path_index", dedup.first_of_each(pairs, ["path"], ["doc_id"]), ["path"])
+            self._route(pairs, source, collection)
+        return pairs
 
-    def _route(self, doc_ids: list[str], source: str, collection: str | None) -> None:
+    def _route(self, docs: DataFrame, source: str, collection: str | None) -> None:
         names = {collection} if collection else set()
         if source:
             patterns = self.catalog.read("collections").select("name", F.explode("auto_add_sources").alias("pattern"))
             row = self.spark.createDataFrame([("", source)], "doc_id string, source string")
             names |= {r["name"] for r in route(row, patterns).collect()}
         for name in sorted(names):
-            self.catalog.add_to_collection(name, doc_ids)
+            self.catalog.add_to_collection(name, docs)
 
-    def _write_stubs(self, probed: DataFrame, source: str, meta: dict) -> None:
-        intro = brief_intro("topic.title", "topic.abstract", "topic.first_paragraph", "brief_intro")
+    def _write_stubs(self, probed: DataFrame, use_llm: bool = False) -> None:
+        intro, how = brief_intro("topic.title", "topic.abstract", "topic.first_paragraph", "brief_intro"), F.col("instructions")
         whole = F.to_json(F.struct("file_type", "topic", "structure", "stats", "raw_snippet"))
-        self.catalog.append("stubs", probed.select("doc_id", _shown("path").alias("filename"), intro.alias("brief_intro"), F.col("instructions").alias("instruction"), whole.alias("probe_json"), F.lit(source).alias("source"), F.lit(json.dumps(meta)).alias("metadata_json")))
-
-    def _write_chunks(self, probed: DataFrame, source: str, meta: dict, summarize: bool, stamp: float) -> None:
-        c = probed.select("doc_id", _shown("path").alias("filename"), F.col("file_type"), F.explode("chunks").alias("c"))
-        c = c.select("doc_id", "filename", "file_type", F.col("c.content").alias("content"), F.col("c.index").alias("chunk_index"), F.col("c.section").alias("section"))
+        rows = probed.select("doc_id", _shown("path").alias("filename"), intro.alias("brief_intro"), how.alias("instruction"), whole.alias("probe_json"), "source", "metadata_json")
+        if use_llm and self.instructor is not None:
+            rows = models.guided(rows, self.instructor)
+        self.catalog.append("stubs", rows)
+
+    def _write_chunks(self, probed: DataFrame, summarize: bool, stamp: float) -> None:
+        """Cuts, embeds and indexes the chunks of probed files, which have their document's source and metadata."""
+        more = ["source", "metadata_json"]
+        c = probed.select("doc_id", _shown("path").alias("filename"), F.col("file_type"), *more, F.explode("chunks").alias("c"))
+        c = c.select("doc_id", "filename", "file_type", *more, F.col("c.content").alias("content"), F.col("c.index").alias("chunk_index"), F.col("c.section").alias("section"))
         c = summaries.summarise(c, self.summariser if summarize else None)
         if not summarize:
             c = c.withColumn("summary", F.lit(""))
         p = chunking.embed_pieces(c)
         p = p.withColumn("chunk_id", chunking.piece_id("doc_id", "chunk_index")).withColumn("vector", self.embedder.column(F.col("embed_text")))
-        fixed = {"source": F.lit(source), "metadata_json": F.lit(json.dumps(meta)), "session_id": F.get_json_object(F.lit(json.dumps(meta)), "$.session_id"), "indexed_at": F.lit(stamp), "content": F.col("piece"), "content_tokenized": F.array_join(fts.terms("piece"), " ")}
-        self.catalog.append("chunks", p.withColumns(fixed))
+        made = {"session_id": F.get_json_object("metadata_json", "$.session_id"), "indexed_at": F.lit(stamp), "content": F.col("piece"), "content_tokenized": F.array_join(fts.terms("piece"), " ")}
+        rows = p.withColumns(made).persist()
+        self.catalog.append("chunks", rows)
+        self.catalog.append("postings", fts.stored(rows))
+        rows.unpersist()
+
+    def _claim(self, limit: int) -> list[tuple[str, bool]]:
+        """Takes waiting tasks, highest priority first; no two workers get the same."""
+        got: list[tuple[str, bool]] = []
+
+        def take(queue: DataFrame) -> DataFrame:
+            got[:] = [(r["doc_id"], bool(r["needs_summarization"])) for r in tasks.next_tasks(queue, limit).select("doc_id", "needs_summarization").collect()]
+            mine = self.spark.createDataFrame([(d,) for d, _ in got], "doc_id string").withColumn("__mine", F.lit(True))
+            state = F.when(F.col("__mine"), F.lit("processing")).otherwise(F.col("status"))
+            return queue.join(mine, "doc_id", "left").withColumn("status", state).drop("__mine")
+
+        if not self.catalog.read("tasks").where("status = 'pending'").isEmpty():
+            self.catalog.rewrite("tasks", take)
+        return got
+
+    def _finish(self, results: DataFrame) -> None:
+        """Sets tasks to the ``(doc_id, done, why)`` given."""
+        told = results.select("doc_id", F.col("done").alias("__done"), F.col("why").alias("__why"))
+        self.catalog.rewrite("tasks", lambda q: q.join(told, "doc_id", "left").withColumn("status", F.coalesce("__done", "status")).withColumn("error", F.coalesce("__why", "error")).drop("__done", "__why"))
 
     def process_pending(self, limit: int | None = None, now: float | None = None) -> int:
-        """Embeds queued documents, highest priority first; the number done."""
-        queue = self.catalog.read("tasks")
-        todo = tasks.next_tasks(queue, limit or 2**31 - 1).select("doc_id", "needs_summarization").collect()
-        for flag in (False, True):
-            docs = [r["doc_id"] for r in todo if bool(r["needs_summarization"]) == flag]
-            if not docs:
-                continue
-            rows = self.catalog.read("files").where(F.col("doc_id").isin(docs))
+        """Embeds queued documents, highest priority first, from the bytes kept; the number of those completed.
+
+        A document whose bytes are gone, or whose file can't be read, fails and enters the failure ledger.
+        """
+        stamp, claimed = time.time() if now is None else now, self._claim(limit or 2**31 - 1)
+        if not claimed:
+            return 0
+        todo = self.spark.createDataFrame(claimed, "doc_id string, flag boolean")
+        try:
             stubs = self.catalog.read("stubs").select("doc_id", "source", "metadata_json")
-            for r in rows.join(stubs, "doc_id").select("source", "metadata_json").distinct().collect():
-                mine = rows.join(stubs.where((F.col("source") == r["source"]) & (F.col("metadata_json") == r["metadata_json"])), "doc_id", "left_semi")
-                paths = [x["path"] for x in mine.select("path").collect() if not x["path"].startswith("__content__:")]
-                if paths:
-                    raw = self.spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
-                    probed = base.probe_files(raw).join(mine.select("path", "doc_id"), "path").where("error is null")
-                    self._write_chunks(probed, r["source"], json.loads(r["metadata_json"]), flag, time.time() if now is None else now)
-        if todo:
-            done = F.when(F.col("doc_id").isin([r["doc_id"] for r in todo]), F.lit("completed")).otherwise(F.col("status"))
-            self.catalog.overwrite("tasks", queue.withColumn("status", done))
-        return len(todo)
+            raw = self.files.load(todo)
+            probed = base.probe_files(raw.select(F.concat_ws("\x1f", "doc_id", "path").alias("path"), "content"))
+            at = F.split("path", "\x1f")
+            probed = probed.withColumn("doc_id", at[0]).withColumn("path", at[1]).join(stubs, "doc_id").join(todo, "doc_id").persist()
+            good = probed.where("error is null")
+            # a task that runs again must not double its chunks
+            self.catalog.delete_matching("chunks", good.select("doc_id"))
+            self.catalog.delete_matching("postings", good.select("doc_id"))
+            for flag in sorted({f for _, f in claimed}):
+                self._write_chunks(good.where(F.col("flag") == flag), flag, stamp)
+            told = probed.select("doc_id", "error", "source", F.col("path").alias("filename"))
+            results = todo.join(told, "doc_id", "left").withColumn("why", F.when(F.col("filename").isNull(), F.lit("its bytes are not kept")).otherwise(F.col("error")))
+            results = results.withColumn("done", F.when(F.col("why").isNull(), F.lit("completed")).otherwise(F.lit("failed"))).persist()
+            lost = results.where("done = 'failed'")
+            if not lost.isEmpty():
+                self.catalog.append("failures", lost.select("doc_id", F.lit(stamp).alias("ts"), F.col("why").alias("error"), "source", "filename"))
+            n = results.where("done = 'completed'").count()
+            self._finish(results)
+            probed.unpersist()
+            return n
+        except Exception:
+            self._finish(todo.select("doc_id", F.lit("pending").alias("done"), F.lit(None).cast("string").alias("why")))
+            raise
+
+    def unfinished(self) -> int:
+        return self.catalog.read("tasks").where(F.col("status").isin(*tasks.ACTIVE)).count()
+
+    def requeue_lost(self) -> int:
+        """Tasks that a worker took and never ended wait again; call it when no other worker runs."""
+        n = self.catalog.read("tasks").where("status = 'processing'").count()
+        if n:
+            self.catalog.rewrite("tasks", lambda q: q.withColumn("status", F.when(F.col("status") == "processing", F.lit("pending")).otherwise(F.col("status"))))
+        return n
 
     # -- search ---
 
@@ -173,9 +258,12 @@ class Engine:
         hits = search.vector_top_k(found, self.embedder.one(query), n)
         words = [r[0] for r in self.spark.range(1).select(F.explode(fts.terms(F.lit(query)))).collect()] if hybrid else []
         if words:
-            size = found.select(F.size(fts.terms("content")).alias("n")).agg(F.count("*"), F.avg("n")).first()
+            index = self.catalog.read("postings")
+            if scope is not None or conditions:
+                index = index.join(found.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+            size = index.where(F.col("term") == fts.WHOLE).agg(F.count("*"), F.avg("len")).first()
             if size[0]:
-                text = fts.bm25(fts.postings(found), words, size[0], size[1] or 1.0)
+                text = fts.bm25(index, words, size[0], size[1] or 1.0)
                 a = fts.ranked(hits.select(F.col("chunk_id").alias("id"), "_distance"), "_distance", n, descending=False)
                 both = fts.fuse(a, fts.ranked(text, "score", n)).orderBy(F.desc("_relevance_score"), "id").limit(n)
                 hits = found.join(both, F.col("chunk_id") == F.col("id")).drop("id")
@@ -213,14 +301,27 @@ class Engine:
 
     def _hurry(self, hits: DataFrame) -> None:
         """Documents of hits that still wait to be embedded move up in the queue."""
-        queue = self.catalog.read("tasks")
-        waiting = queue.where(F.col("status") == "pending")
+        waiting = self.catalog.read("tasks").where(F.col("status") == "pending")
         if not waiting.join(hits.select("doc_id"), "doc_id", "left_semi").isEmpty():
-            self.catalog.overwrite("tasks", tasks.bump(queue, hits))
+            self.catalog.rewrite("tasks", lambda queue: tasks.bump(queue, hits))
 
     def record_access(self, sections: DataFrame, weight: float, now: float | None = None) -> None:
         rows = sections.where(F.trim(F.coalesce("section", F.lit(""))) != "").select("doc_id", "section").distinct()
         self.catalog.append("access_events", rows.select("doc_id", "section", F.lit(float(weight)).alias("weight"), F.lit(time.time() if now is None else now).alias("ts")))
+        if self.on_hot_section:
+            self._tell_hot(rows, now)
+
+    def _tell_hot(self, sections: DataFrame, now: float | None) -> None:
+        """Calls the hooks for sections that have become hot, once until they cool down."""
+        rows = self._heat(now).join(sections, ["doc_id", "section"], "left_semi").select("doc_id", "section", (F.col("heat") >= self.settings.section_heat_threshold).alias("hot"))
+        for r in rows.orderBy("doc_id", "section").collect():  # as many as one call has touched
+            key = (r["doc_id"], r["section"])
+            if not r["hot"]:
+                self._hot.discard(key)
+            elif key not in self._hot:
+                self._hot.add(key)
+                for hook in self.on_hot_section:
+                    hook(*key)
 
     def _heat(self, now: float | None = None) -> DataFrame:
         return heat.scores(heat.totals(self.catalog.read("access_events")), F.lit(time.time() if now is None else float(now)), self.settings.section_heat_half_life)
@@ -231,8 +332,11 @@ class Engine:
     def track_access(self, path: str, now: float | None = None) -> dict:
         """Notes an access to a file; the second while recent promotes it, which indexes it with summaries."""
         promoted = self.access.touch(path, time.time() if now is None else now)
+        self.catalog.put_json("access", self.access.dump())
         if promoted and os.path.exists(path) and base.format_of(path):
             self.add(path, summarize=True)
+        for hook in self.on_promote if promoted else ():
+            hook(path)
         return {"path": path, "promoted": promoted, "is_hot": path in self.access.hot, "is_recent": path in self.access.recent, "stats": self.access.stats()}
 
     # -- reading ---
@@ -342,7 +446,8 @@ class Engine:
         """Processes what is queued until the document is done; unknown ones are."""
         end = time.monotonic() + timeout
         while self.get_status(doc_id)["status"] in tasks.ACTIVE:
-            self.process_pending()
+            if not self.worker.running:
+                self.process_pending()
             if time.monotonic() > end:
                 return False
             time.sleep(poll)
@@ -355,7 +460,7 @@ class Engine:
         new = lost.select("doc_id", "priority", F.lit(time.time() if now is None else now).alias("submitted_at"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("needs_summarization"))
         n = new.count()
         if n:
-            self.catalog.overwrite("tasks", tasks.submit(self.catalog.read("tasks"), new))
+            self.catalog.rewrite("tasks", lambda queue: tasks.submit(queue, new))
         return n
 
     def stats(self) -> dict:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
 import random
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, Protocol
 
 import pandas as pd
@@ -14,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import embed_text, lexical_overlap
 from ..functions.vectors import deterministic_embedding
 
-BATCH, RETRIES, FIRST_WAIT, LONGEST_WAIT = 100, 4, 1.0, 30.0
+BATCH, IN_FLIGHT, RETRIES, FIRST_WAIT, LONGEST_WAIT = 100, 4, 4, 1.0, 30.0
 
 
 class Embedder(Protocol):
@@ -49,39 +55,86 @@ def with_retries(call: Callable[[], Any], transient: Callable[[Exception], bool]
 
 
 def _transient(e: Exception) -> bool:
-    code = getattr(e, "code", None) or getattr(e, "status_code", None)
+    code = getattr(e, "code", None) or getattr(e, "status_code", None)  # an HttpError's or a client library's
     return isinstance(e, (TimeoutError, ConnectionError)) or code == 429 or (isinstance(code, int) and code >= 500)
 
 
 class BatchEmbedder:
     """A function from texts to vectors, called in Arrow batches on the executors, 100 texts at a time, in order.
 
-    ``pause`` seconds pass between calls of one worker.
+    Up to ``in_flight`` calls of one worker run at once, and ``pause`` seconds pass between their starts.
     """
 
-    def __init__(self, function: Callable[[Sequence[str]], Sequence[Sequence[float]]], pause: float = 0.2):
-        self.function, self.pause = function, pause
+    def __init__(self, function: Callable[[Sequence[str]], Sequence[Sequence[float]]], pause: float = 0.2, in_flight: int = IN_FLIGHT):
+        self.function, self.pause, self.in_flight = function, pause, in_flight
 
     def column(self, text: Column) -> Column:
-        function, pause = self.function, self.pause
+        function, pause, in_flight = self.function, self.pause, self.in_flight
 
         @F.pandas_udf("array<float>")
         def embed(texts: pd.Series) -> pd.Series:
-            out: list = []
-            for i in range(0, len(texts), BATCH):
-                if i:
-                    time.sleep(pause)
-                part = list(texts.iloc[i : i + BATCH])
-                got = list(with_retries(lambda part=part: function(part), _transient))
-                if len(got) != len(part):
-                    raise ValueError(f"{len(part)} texts gave {len(got)} vectors")
-                out += [list(map(float, v)) for v in got]
-            return pd.Series(out)
+            return pd.Series(in_batches(function, list(texts), pause, in_flight))
 
         return embed(embed_text(text))
 
     def one(self, text: str) -> list[float]:
-        return list(map(float, self.function([text])[0]))
+        return list(map(float, with_retries(lambda: self.function([text]), _transient)[0]))
+
+
+def in_batches(function: Callable[[Sequence[str]], Sequence[Sequence[float]]], texts: list[str], pause: float = 0.0, in_flight: int = IN_FLIGHT) -> list[list[float]]:
+    """Vectors of texts in their order: ``BATCH`` texts a call, ``in_flight`` calls at once, started ``pause`` apart."""
+    gate, last = threading.Lock(), [0.0]
+
+    def call(part: list[str]) -> list[list[float]]:
+        with gate:
+            wait = last[0] + pause - time.monotonic()
+            if wait > 0:
+                time.sleep(wait)
+            last[0] = time.monotonic()
+        got = list(with_retries(lambda: function(part), _transient))
+        if len(got) != len(part):
+            raise ValueError(f"{len(part)} texts gave {len(got)} vectors")
+        return [list(map(float, v)) for v in got]
+
+    with ThreadPoolExecutor(max(1, in_flight)) as pool:
+        return [v for part in pool.map(call, [texts[i : i + BATCH] for i in range(0, len(texts), BATCH)]) for v in part]
+
+
+class HttpError(RuntimeError):
+    """A service's answer other than success; ``code`` is its status."""
+
+    def __init__(self, code: int, text: str):
+        super().__init__(f"{code}: {text[:200]}")
+        self.code = code
+
+
+def post_json(url: str, body: dict, key: str = "", timeout: float = 30.0) -> dict:
+    """Posts JSON and returns the JSON answered."""
+    headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
+            return json.loads(r.read().decode())
+    except urllib.error.HTTPError as e:
+        raise HttpError(e.code, e.reason or "") from e
+    except urllib.error.URLError as e:
+        raise (TimeoutError if isinstance(e.reason, TimeoutError) else ConnectionError)(str(e.reason)) from e
+
+
+class HttpEmbedder(BatchEmbedder):
+    """An embedding service that takes ``{model, input}`` and answers ``{data: [{index, embedding}]}``.
+
+    The key is read from the environment variable named, on the machine that calls, and never sent with the job.
+    """
+
+    def __init__(self, url: str, model: str, key_variable: str = "QUILL_API_KEY", timeout: float = 60.0, pause: float = 0.2):
+        if not url:
+            raise ValueError("an embedding service needs its url")
+
+        def call(texts: Sequence[str]) -> list[list[float]]:
+            got = post_json(url, {"model": model, "input": list(texts)}, os.environ.get(key_variable, ""), timeout)["data"]
+            return [x["embedding"] for x in sorted(got, key=lambda x: x["index"])]
+
+        super().__init__(call, pause)
 
 
 class Reranker(Protocol):
@@ -111,8 +164,64 @@ class PairReranker:
         return score(text)
 
 
-EMBEDDERS: dict[str, Callable[..., Embedder]] = {"deterministic": DeterministicEmbedder}
-RERANKERS: dict[str, Callable[..., Reranker]] = {"lexical": LexicalReranker}
+class HttpReranker(PairReranker):
+    """A rerank service that takes ``{model, query, documents, top_n}`` and answers ``{results: [{index,
+    relevance_score}]}``; documents that it leaves out score 0."""
+
+    def __init__(self, url: str, model: str, key_variable: str = "QUILL_API_KEY", timeout: float = 30.0):
+        if not url:
+            raise ValueError("a rerank service needs its url")
+
+        def call(query: str, texts: Sequence[str]) -> dict[int, float]:
+            body = {"model": model, "query": query, "documents": list(texts), "top_n": len(texts)}
+            got = with_retries(lambda: post_json(url, body, os.environ.get(key_variable, ""), timeout), _transient)
+            return {int(x.get("index", -1)): float(x.get("relevance_score", 0.0)) for x in got.get("results", [])}
+
+        super().__init__(call)
+
+
+class CrossEncoderReranker(PairReranker):
+    """A local cross-encoder, loaded once by each worker; needs the sentence_transformers package."""
+
+    def __init__(self, model: str):
+        import importlib.util
+
+        if importlib.util.find_spec("sentence_transformers") is None:
+            raise ValueError("this reranker needs the sentence_transformers package")
+
+        def call(query: str, texts: Sequence[str]) -> list[float]:
+            if model not in _LOADED:
+                from sentence_transformers import CrossEncoder
+
+                _LOADED[model] = CrossEncoder(model)
+            return [float(x) for x in _LOADED[model].predict([(query, t) for t in texts])]
+
+        super().__init__(call)
+
+
+_LOADED: dict[str, Any] = {}
+
+
+def guided(stubs: DataFrame, instructor: Callable[[dict], tuple[str, str]]) -> DataFrame:
+    """Stubs with introduction and instructions of a model, called with a stub's values; where it fails, the templates'."""
+
+    @F.pandas_udf("brief_intro string, instruction string")
+    def write(name: pd.Series, intro: pd.Series, how: pd.Series, probe: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, i, h, p in zip(name, intro, how, probe):
+            try:
+                a, b = with_retries(lambda n=n, i=i, h=h, p=p: instructor({"filename": n, "brief_intro": i, "instruction": h, "probe": json.loads(p)}), _transient)
+                out.append((a or i, b or h))
+            except Exception:  # noqa: BLE001  a document without a model's words still has the templates'
+                out.append((i, h))
+        return pd.DataFrame(out, columns=["brief_intro", "instruction"])
+
+    told = stubs.withColumn("__g", write("filename", "brief_intro", "instruction", "probe_json"))
+    return told.withColumns({c: F.col("__g")[c] for c in ("brief_intro", "instruction")}).drop("__g")
+
+
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"deterministic": DeterministicEmbedder, "http": HttpEmbedder}
+RERANKERS: dict[str, Callable[..., Reranker]] = {"lexical": LexicalReranker, "http": HttpReranker, "cross_encoder": CrossEncoderReranker}
 
 
 def make(registry: dict[str, Callable], name: str, **kw) -> Any:
@@ -121,6 +230,11 @@ def make(registry: dict[str, Callable], name: str, **kw) -> Any:
     return registry[name](**kw)
 
 
+def told(name: str, url: str, model: str) -> dict[str, str]:
+    """What a provider is made with, of the settings."""
+    return {"http": {"url": url, "model": model}, "cross_encoder": {"model": model}}.get(name, {})
+
+
 class Adaptor:
     """Hooks; override any."""
 

@@ -35,6 +35,8 @@ TASKS = "doc_id STRING, priority INT, submitted_at DOUBLE, status STRING, error
 FAILURES = "doc_id STRING, ts DOUBLE, error STRING, source STRING, filename STRING"
 TELEMETRY = "doc_id STRING, phase STRING, seconds DOUBLE, tokens LONG, saved_ratio DOUBLE, num_chunks INT"
 OFFSETS = "path STRING, offset LONG"
+RAW_FILES = "doc_id STRING, path STRING, content BINARY"
+POSTINGS = "doc_id STRING, id STRING, term STRING, tf LONG, len INT"
 FILES = "doc_id STRING, path STRING, suffix STRING, size LONG"
 
 TABLES = {
@@ -50,4 +52,6 @@ TABLES = {
     "telemetry": TELEMETRY,
     "offsets": OFFSETS,
     "files": FILES,
+    "raw_files": RAW_FILES,
+    "postings": POSTINGS,
 }

@@ -30,10 +30,12 @@ class Settings:
     storage_dir: str = "./quill_files"
     embedding_provider: str = "deterministic"
     embedding_model: str = ""
+    embedding_url: str = ""
     summary_model: str = ""
     rerank_enabled: bool = False
     rerank_provider: str = "lexical"
     rerank_model: str = ""
+    rerank_url: str = ""
     rerank_top_n: int = 10
     rerank_multiplier: float = 1.0
     rerank_weight: float = 0.85

@@ -55,7 +55,7 @@ def watch(engine: Engine, path: str, checkpoint: str, ignore: Sequence[str] = ()
     def batch(df: DataFrame, _: int) -> None:
         latest = dedup.first_of_each(df, ["path"], ["hash"]).select("path", "content")
         if not latest.isEmpty():
-            engine.index(latest, **how)
+            engine.ingest(latest, **how)
 
     writer = file_stream(engine.spark, path, ignore).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
@@ -133,16 +133,18 @@ def sound_offsets(offsets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def watch_appends(engine: Engine, path: str, checkpoint: str, suffix: str = ".jsonl", once: bool = True, probe_config: dict | None = None, source: str = "", collection: str | None = None) -> StreamingQuery:
     """Indexes what grows: each batch of a file is the document ``file@offset``, of the session of the file's stem.
+    All files that have grown are one job.
 
     A batch that runs again after a failure gives the same documents.
     """
     engine.spark.dataSource.register(AppendSource)
 
     def batch(df: DataFrame, _: int) -> None:
-        for r in df.select("path", "start").collect():  # one document per grown file
-            name, session = f"{r['path']}@{r['start']}{suffix}", os.path.splitext(os.path.basename(r["path"]))[0]
-            rows = df.where((F.col("path") == r["path"]) & (F.col("start") == r["start"])).select(F.lit(name).alias("path"), "content")
-            engine.index(rows, force=True, source=source, collection=collection, metadata={"session_id": session, "offset": r["start"]}, probe_config=probe_config)
+        name, session = F.concat("path", F.lit("@"), F.col("start").cast("string"), F.lit(suffix)), stem("path")
+        meta = F.to_json(F.struct(session.alias("session_id"), F.col("start").alias("offset")))
+        rows = df.select(name.alias("path"), "content", meta.alias("metadata_json"))
+        if not rows.isEmpty():
+            engine.ingest(rows, force=True, source=source, collection=collection, probe_config=probe_config)
 
     writer = engine.spark.readStream.format("appended_lines").option("suffix", suffix).load(path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
@@ -158,6 +160,7 @@ class Watchers:
 
     def __init__(self, engine: Engine, checkpoint_root: str):
         self.engine, self.root, self.running = engine, checkpoint_root, {}
+        engine.close_with(self)
 
     def sync(self, once: bool = False) -> dict[str, list[str]]:
         """Starts what is configured and stops what no longer is; the names started and stopped."""

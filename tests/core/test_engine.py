@@ -137,6 +137,7 @@ def test_http_and_skill(spark, tmp_path):
     assert h("GET", "/health") == (200, {"status": "ok"})
     status, out = h("POST", "/index-content", {"content": "# A\nhello", "filename": "a.md", "source": "x"})
     d = out["doc_id"]
+    assert h("GET", f"/status/{d}")[1]["status"] == "pending" and api.start_processor() == 1
     assert status == 200 and h("GET", f"/status/{d}")[1]["status"] == "completed"
     assert h("POST", "/search", {"query": "hello"})[1]["results"][0]["doc_id"] == d
     assert h("POST", "/search-grouped", {"query": "hello"})[1]["results"][0]["doc_id"] == d
