@@ -70,6 +70,17 @@ def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+def by_context(ctx: np.ndarray, follow: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows in the order of context and follower; contexts that stand alone, as most do, need one quick sort."""
+    order = np.argsort(ctx)
+    same = np.flatnonzero(ctx[order][1:] == ctx[order][:-1])
+    if len(same):
+        some = np.union1d(same, same + 1)
+        mine = order[some]
+        order[some] = mine[np.lexsort((follow[mine], ctx[mine]))]
+    return rows[order]
+
+
 class Followers:
     """The pairs of words of a stream: place of the next word, text, context and the four bytes from there."""
 
@@ -99,16 +110,17 @@ class Followers:
 
     def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts and followers, in order, and the number of texts that have them."""
-        order = np.lexsort((self.row, self.next, self.ctx))
-        c, f, r = self.ctx[order], self.next[order], self.row[order]
-        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])])[: len(c)]
-        once = fresh | np.concatenate([[True], r[1:] != r[:-1]])[: len(c)]
-        head = np.flatnonzero(fresh)
-        return c[head], f[head], np.add.reduceat(once.astype(np.int64), head) if len(head) else head
+        name = tc.mix64(tc.mix64(self.ctx + np.uint64(1)) ^ (self.next.astype(np.uint64) << np.uint64(32)) ^ self.row.astype(np.uint64))
+        order = np.argsort(name)  # once for each text
+        order = order[np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)]]
+        order = by_context(self.ctx[order], self.next[order], order)
+        c, f = self.ctx[order], self.next[order]
+        head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])])[: len(c)])
+        return c[head], f[head], np.diff(np.append(head, len(c)))
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
         """For each place the follower of the same context before it in its text, and whether there is one."""
-        order = np.lexsort((self.at, self.ctx, self.row))
+        order = np.argsort(tc.mix64(self.ctx ^ (self.row.astype(np.uint64) << np.uint64(48)) ^ (self.row.astype(np.uint64) >> np.uint64(16))), kind="stable")
         same = (self.row[order][1:] == self.row[order][:-1]) & (self.ctx[order][1:] == self.ctx[order][:-1])
         told, has = np.zeros(len(order), np.uint32), np.zeros(len(order), dtype=bool)
         told[order[1:][same]] = self.next[order[:-1][same]]
@@ -146,9 +158,8 @@ class Followers:
         if not len(self.at):
             return out
         right = has & (told == self.next)
-        order = np.lexsort((self.at, self.row))
-        before = np.zeros(len(order), dtype=bool)
-        before[order[1:]] = right[order[:-1]] & (self.row[order][1:] == self.row[order][:-1])
+        before = np.zeros(len(right), dtype=bool)
+        before[1:] = right[:-1] & (self.row[1:] == self.row[:-1])
         standing = (grade.astype(np.int64) & 1) << 3 | before.astype(np.int64) << 2
         alive = has.copy()
         stop = np.append(self.at[1:], len(buf))  # places are in order: the next one's follower takes over
@@ -215,47 +226,53 @@ class Model:
         times = np.diff(np.append(head, len(key)))
         key = key[head]
         weight = times.astype(np.float32)
-        byte = (key >> np.uint64(56)).astype(np.uint32)
-        levels = self.levels(key, weight)
+        levels, table = self.levels(key, weight), self.counts.view(np.uint64).ravel()
+        said = [(key >> np.uint64(8 * q) & np.uint64(255)).astype(np.int64) for q in range(2)]
+        turn, standing = [s >> 4 for s in said], [s & 15 for s in said]
+        for t in turn:
+            t[t == NONE] = -1
+        # events by the long contexts seen, then by the bit up to which a follower is known: gates are ranges
+        long, until = np.zeros(len(key), np.int64), np.maximum(*turn)
+        for first, spread, ctx, c, _ in levels[-2:]:
+            n = table[self.slots(ctx, c, 0)].view(np.float32).reshape(-1, 2)
+            long += np.repeat(n[:, 0] + n[:, 1] > 0, spread)
+        sort = np.argsort(long * 16 - until, kind="stable")
+        long, until, weight = long[sort], until[sort], weight[sort]
+        byte = (key[sort] >> np.uint64(56)).astype(np.uint32)
+        source = [np.repeat(np.arange(len(first)), spread)[sort] for first, spread, *_ in levels]
+        turn, standing = [t[sort] for t in turn], [s[sort] for s in standing]
+        starts = np.searchsorted(long, [0, 1, 2, 3])
         bits = np.zeros(len(key), np.float32)
         learn = []
-        table = self.counts.view(np.uint64).ravel()
         x = np.empty((INPUTS, len(key)), np.float32)
         x[-1] = 0.3
-        every = np.arange(len(key))
-        keep = np.float32(np.exp(-len(order) / MEMORY))
-        said = [(key >> np.uint64(8 * q) & np.uint64(255)).astype(np.int64) for q in range(2)]
-        told = [np.flatnonzero(s >> 4 != NONE) for s in said]
-        turn, standing = [s[k] >> 4 for s, k in zip(said, told)], [s[k] & 15 for s, k in zip(said, told)]
+        dot = np.empty(len(key), np.float32)
+        keep = np.exp(-len(order) / MEMORY)
         for j in range(8):
-            seen = []
-            for at, (first, spread, ctx, c, w) in enumerate(levels):
+            for at, (_, _, ctx, c, w) in enumerate(levels):
                 slot = self.slots(ctx, c, j)
                 n = table[slot].view(np.float32).reshape(-1, 2)
-                x[at] = np.repeat(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)), spread)
-                if j == 0:
-                    seen.append(np.repeat(n[:, 0] + n[:, 1] > 0, spread))
+                x[at] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))[source[at]]
                 learn.append((slot.astype(np.int64) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1)), w))
             bit = ((byte >> np.uint32(7 - j)) & np.uint32(1)).astype(np.float32)
             active = []
             for q in range(2):
-                on = turn[q] >= j
-                where, hit = told[q][on], turn[q][on] > j
-                cell = standing[q][on] * 2 + (j > 0)
+                where = np.flatnonzero(turn[q] >= j)
+                hit, cell = turn[q][where] > j, standing[q][where] * 2 + (j > 0)
                 odds = np.log(self.right[q, :, :, 1] / self.right[q, :, :, 0]).ravel()[cell]
                 x[len(ORDERS) + q] = 0
                 x[len(ORDERS) + q, where] = np.where(hit == (bit[where] > 0), odds, -odds)
                 active.append((where, hit, cell))
-            if j == 0:
-                long = seen[-1].astype(np.int64) + seen[-2]
-            gate = long.copy()
-            for where, _, _ in active:
-                gate[where] = long[where] + 3
-            own, parts = self.weights[j], [np.flatnonzero(gate == g) for g in range(6)]
-            for g in (3, 4, 5):
-                if len(parts[g]) and not self.started[j, g]:
-                    own[g], self.started[j, g] = own[g - 3], True
-            dot = np.clip((own @ x)[gate, every], -12, 12)
+            own, parts = self.weights[j], []
+            for g in range(3):
+                lo, hi = starts[g], starts[g + 1]
+                cut = lo + int(np.searchsorted(-until[lo:hi], -j, "right"))
+                if cut > lo and not self.started[j, g + 3]:
+                    own[g + 3], self.started[j, g + 3] = own[g], True
+                parts += [(g + 3, slice(lo, cut)), (g, slice(cut, hi))]
+            for g, part in parts:
+                dot[part] = own[g] @ x[:, part]
+            np.clip(dot, -12, 12, out=dot)
             p = 1 / (1 + np.exp(-dot))
             place = ((np.clip(dot, -SPAN, SPAN) + SPAN) * np.float32((STEPS - 1) / (2 * SPAN)) + np.float32(0.5)).astype(np.int32)
             cell = ((1 << j) | (byte >> np.uint32(8 - j))).astype(np.int32) * STEPS + place
@@ -264,12 +281,12 @@ class Model:
             bits -= np.log2(np.abs(1 - bit - final))
             # learning: a Newton step for each gate's weights, counts for the maps
             wrong = bit - p
-            bend = weight * np.maximum(p * (1 - p), wrong * wrong)
-            for g, part in enumerate(parts):
-                if len(part):
+            bend, push = weight * np.maximum(p * (1 - p), wrong * wrong), weight * wrong
+            for g, part in parts:
+                if part.stop > part.start:
                     own_x = x[:, part]
                     self.curve[j, g] = self.curve[j, g] * keep + (own_x * bend[part]) @ own_x.T
-                    own[g] += np.linalg.solve(self.curve[j, g] + np.eye(INPUTS), own_x @ (weight * wrong)[part])
+                    own[g] += np.linalg.solve(self.curve[j, g] + np.eye(INPUTS), own_x @ push[part])
             ones = np.bincount(cell, weight * bit, 256 * STEPS)
             self.map[:, 1] += ones
             self.map[:, 0] += np.bincount(cell, weight, 256 * STEPS) - ones
@@ -279,8 +296,10 @@ class Model:
         flat = self.counts.ravel()
         for where, w in learn:
             np.add.at(flat, where, w)
+        back = np.empty(len(key), np.float32)
+        back[sort] = bits
         out = np.empty(len(order), np.float32)
-        out[order] = np.repeat(bits, times)
+        out[order] = np.repeat(back, times)
         return out
 
 
@@ -367,11 +386,7 @@ def _follow(table: pa.Table) -> pa.Table:
         n.append(count)
     owner = np.repeat(np.arange(len(stream)), [len(c) for c in ctx])
     ctx, follow, n = np.concatenate(ctx), np.concatenate(follow), np.concatenate(n)
-    order = np.argsort(ctx, kind="stable")
-    same = np.flatnonzero(np.concatenate([[False], ctx[order][1:] == ctx[order][:-1]]))
-    if len(same):  # followers of contexts that stand alone need no order
-        some = np.union1d(same, same - 1)
-        order[some] = order[some][np.lexsort((follow[order[some]], ctx[order[some]]))]
+    order = by_context(ctx, follow, np.arange(len(ctx)))
     c, f = ctx[order], follow[order]
     head = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])]))
     c, f, n = c[head], f[head], np.add.reduceat(n[order], head)
