@@ -72,10 +72,15 @@ def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def by_context(ctx: np.ndarray, follow: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Rows in the order of context and follower; contexts that stand alone, as most do, need one quick sort."""
-    order = np.argsort(ctx)
-    same = np.flatnonzero(ctx[order][1:] == ctx[order][:-1])
-    if len(same):
-        some = np.union1d(same, same + 1)
+    if not len(ctx):
+        return rows
+    least = ctx.min()
+    span = int(ctx.max() - least).bit_length()
+    exact = span + len(ctx).bit_length() <= 64  # a range of contexts leaves room for the places
+    order = tc.in_order((ctx - least) << np.uint64(min(63, 64 - span))) if exact else np.argsort(ctx)
+    same = ctx[order][1:] == ctx[order][:-1]
+    if same.any():
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same))
         mine = order[some]
         order[some] = mine[np.lexsort((follow[mine], ctx[mine]))]
     return rows[order]
@@ -111,7 +116,7 @@ class Followers:
     def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts and followers, in order, and the number of texts that have them."""
         name = tc.mix64(tc.mix64(self.ctx + np.uint64(1)) ^ (self.next.astype(np.uint64) << np.uint64(32)) ^ self.row.astype(np.uint64))
-        order = np.argsort(name)  # once for each text
+        order = tc.in_order(name)  # once for each text
         order = order[np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)]]
         order = by_context(self.ctx[order], self.next[order], order)
         c, f = self.ctx[order], self.next[order]
@@ -120,7 +125,7 @@ class Followers:
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
         """For each place the follower of the same context before it in its text, and whether there is one."""
-        order = np.argsort(tc.mix64(self.ctx ^ (self.row.astype(np.uint64) << np.uint64(48)) ^ (self.row.astype(np.uint64) >> np.uint64(16))), kind="stable")
+        order = tc.in_order(tc.mix64(self.ctx ^ (self.row.astype(np.uint64) << np.uint64(48)) ^ (self.row.astype(np.uint64) >> np.uint64(16))))
         same = (self.row[order][1:] == self.row[order][:-1]) & (self.ctx[order][1:] == self.ctx[order][:-1])
         told, has = np.zeros(len(order), np.uint32), np.zeros(len(order), dtype=bool)
         told[order[1:][same]] = self.next[order[:-1][same]]
@@ -136,15 +141,15 @@ class Followers:
         told, much = np.zeros(n, np.uint32), np.zeros(n, np.int64)
         if not len(ctx) or not n:
             return told, much
-        where = np.minimum(np.searchsorted(ctx, self.ctx), len(ctx) - 1)
+        where = np.minimum(tc.places(ctx, self.ctx, 48), len(ctx) - 1)
         some = np.flatnonzero(ctx[where] == self.ctx)
         where = where[some]
         name = lambda f: tc.mix64(tc.mix64(self.ctx[some] ^ (self.row[some].astype(np.uint64) << np.uint64(40))) + f.astype(np.uint64))
-        have = np.unique(name(self.next[some]))
+        have = np.sort(name(self.next[some]))
         best = np.full(len(some), -1, np.int64)
         for k in range(2):
             mine = name(follow[k][where])
-            left = count[k][where] - (have[np.minimum(np.searchsorted(have, mine), len(have) - 1)] == mine)
+            left = count[k][where] - (have[np.minimum(tc.places(have, mine, 64), len(have) - 1)] == mine)
             better = left > best
             best = np.where(better, left, best)
             told[some[better]] = follow[k][where][better]
@@ -175,6 +180,14 @@ class Followers:
         return out
 
 
+def curvature(x: np.ndarray, bend: np.ndarray) -> np.ndarray:
+    """``(x * bend) @ x.T`` of a few long rows: half of it, as it is symmetric, in products that read rows once."""
+    y, out = x * bend, np.zeros((len(x), len(x)))
+    for k in range(len(x)):
+        out[k, k:] = out[k:, k] = x[k:] @ y[k]
+    return out
+
+
 class Model:
     """State of one stream."""
 
@@ -285,7 +298,7 @@ class Model:
             for g, part in parts:
                 if part.stop > part.start:
                     own_x = x[:, part]
-                    self.curve[j, g] = self.curve[j, g] * keep + (own_x * bend[part]) @ own_x.T
+                    self.curve[j, g] = self.curve[j, g] * keep + curvature(own_x, bend[part])
                     own[g] += np.linalg.solve(self.curve[j, g] + np.eye(INPUTS), own_x @ push[part])
             ones = np.bincount(cell, weight * bit, 256 * STEPS)
             self.map[:, 1] += ones
@@ -332,16 +345,16 @@ def score(buf: np.ndarray, off: np.ndarray, told: tuple = _NO_ANSWER, block: int
     follow, much = pairs.others(*told)
     marks |= pairs.marks(buf, follow, much > 0, much > 1).astype(np.uint16) << np.uint16(8)
     del pairs, follow, has, much
-    cost = np.zeros(n + 1, np.float32)
+    cost = np.zeros(n + 1)  # of each byte behind the place of the one before it
     code = lambda a, b: model.code(_block(buf, off, a, b) | marks[a:b].astype(np.uint64))
     for start, stop in schedule(n, block):
-        cost[start:stop] = code(start, stop)
+        cost[start + 1 : stop + 1] = code(start, stop)
     head = min(head_bytes, n // 4)
     for start in range(0, head, block):
         stop = min(start + block, head)
         model.forget(_block(buf, off, start, stop))
-        cost[start:stop] = code(start, stop)
-    sums = np.concatenate([[0.0], np.cumsum(cost[:n], dtype=np.float64)])
+        cost[start + 1 : stop + 1] = code(start, stop)
+    sums = np.cumsum(cost, out=cost)
     return sums[off[1:]] - sums[off[:-1]]
 
 

@@ -95,6 +95,26 @@ def signed(x) -> int:
     return int(mix64(np.uint64(x)).view(np.int64)[0])
 
 
+def in_order(name: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes by their leading bits, equal ones as they come: places take the bits that tell least,
+    so that plain values are sorted."""
+    low = np.uint64((1 << len(name).bit_length()) - 1)
+    return (np.sort((name & ~low) | np.arange(len(name), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def places(known: np.ndarray, asked: np.ndarray, bits: int) -> np.ndarray:
+    """``np.searchsorted`` of hashes of so many bits: their leading bits tell where to begin, as they are spread evenly."""
+    drop = np.uint64(max(0, bits - len(known).bit_length()))
+    heads = np.searchsorted(known, np.arange(1 << (bits - int(drop)), dtype=np.uint64) << drop)
+    at = heads[asked >> drop]
+    padded = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF))
+    left = np.flatnonzero(padded[at] < asked)
+    while len(left):
+        at[left] += 1
+        left = left[padded[at[left]] < asked[left]]
+    return at
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string array; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):
