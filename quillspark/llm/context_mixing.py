@@ -70,6 +70,29 @@ def contexts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+def key_order(key: np.ndarray) -> np.ndarray:
+    """Places of keys in order, equal ones as they come: of each 16 bits only the rank among those that occur is kept,
+    which mostly leaves room for the places, so that plain values are sorted."""
+    low = len(key).bit_length()
+    packed, used = np.zeros(len(key), np.uint64), low
+    for piece in key.view("<u2").reshape(-1, 4).T[::-1]:
+        piece = piece.astype(np.int64)
+        seen = np.zeros(1 << 16, dtype=bool)
+        seen[piece] = True
+        rank = np.cumsum(seen, dtype=np.uint64)
+        bits = int(rank[-1]).bit_length()
+        packed <<= np.uint64(bits)
+        packed |= rank.take(piece)
+        used += bits
+    if used > 64:
+        return np.argsort(key, kind="stable")
+    packed <<= np.uint64(low)
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << low) - 1)
+    return packed.view(np.int64)
+
+
 def by_context(ctx: np.ndarray, follow: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Rows in the order of context and follower; contexts that stand alone, as most do, need one quick sort."""
     if not len(ctx):
@@ -218,7 +241,7 @@ class Model:
 
     def slots(self, ctx: np.ndarray, byte: np.ndarray, j: int) -> np.ndarray:
         node = (np.uint32(1 << j) | (byte >> np.uint32(8 - j))) * _KNUTH
-        return ((ctx ^ node) * _MURMUR) >> self.shift
+        return (((ctx ^ node) * _MURMUR) >> self.shift).astype(np.int64)
 
     def forget(self, key: np.ndarray) -> None:
         """Takes the counts of a block back out."""
@@ -226,36 +249,36 @@ class Model:
         flat = self.counts.ravel()
         for _, _, ctx, c, w in self.levels(key, times.astype(np.float32)):
             for j in range(8):
-                where = self.slots(ctx, c, j).astype(np.int64) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1))
+                where = self.slots(ctx, c, j) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1))
                 np.subtract.at(flat, where, w)
         np.maximum(flat, 0, out=flat)
 
     def code(self, key: np.ndarray) -> np.ndarray:
         """Bits of each byte of a block, given as ``contexts`` keys with the marks of both followers in the low bytes;
         then learns the block."""
-        order = np.argsort(key)
+        order = key_order(key)
         key = key[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(head, len(key)))
         key = key[head]
         weight = times.astype(np.float32)
         levels, table = self.levels(key, weight), self.counts.view(np.uint64).ravel()
-        said = [(key >> np.uint64(8 * q) & np.uint64(255)).astype(np.int64) for q in range(2)]
-        turn, standing = [s >> 4 for s in said], [s & 15 for s in said]
+        said = [(key >> np.uint64(8 * q)).astype(np.uint8) for q in range(2)]
+        turn, standing = [(s >> 4).view(np.int8) for s in said], [s & 15 for s in said]
         for t in turn:
             t[t == NONE] = -1
         # events by the long contexts seen, then by the bit up to which a follower is known: gates are ranges
-        long, until = np.zeros(len(key), np.int64), np.maximum(*turn)
+        long, until = np.zeros(len(key), np.int8), np.maximum(*turn)
         for first, spread, ctx, c, _ in levels[-2:]:
-            n = table[self.slots(ctx, c, 0)].view(np.float32).reshape(-1, 2)
+            n = table.take(self.slots(ctx, c, 0)).view(np.float32).reshape(-1, 2)
             long += np.repeat(n[:, 0] + n[:, 1] > 0, spread)
-        sort = np.argsort(long * 16 - until, kind="stable")
+        sort = np.argsort(long * np.int8(16) - until, kind="stable")  # of so few bits by counting
         long, until, weight = long[sort], until[sort], weight[sort]
-        byte = (key[sort] >> np.uint64(56)).astype(np.uint32)
+        byte = (key >> np.uint64(56)).astype(np.uint8)[sort]
         source = [np.repeat(np.arange(len(first)), spread)[sort] for first, spread, *_ in levels]
         turn, standing = [t[sort] for t in turn], [s[sort] for s in standing]
         starts = np.searchsorted(long, [0, 1, 2, 3])
-        bits = np.zeros(len(key), np.float32)
+        bits, chance = np.zeros(len(key), np.float32), np.ones(len(key), np.float32)
         learn = []
         x = np.empty((INPUTS, len(key)), np.float32)
         x[-1] = 0.3
@@ -264,10 +287,11 @@ class Model:
         for j in range(8):
             for at, (_, _, ctx, c, w) in enumerate(levels):
                 slot = self.slots(ctx, c, j)
-                n = table[slot].view(np.float32).reshape(-1, 2)
-                x[at] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))[source[at]]
-                learn.append((slot.astype(np.int64) * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1)), w))
-            bit = ((byte >> np.uint32(7 - j)) & np.uint32(1)).astype(np.float32)
+                n = table.take(slot).view(np.float32).reshape(-1, 2)
+                np.take(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)), source[at], out=x[at], mode="clip")
+                learn.append((slot * 2 + ((c >> np.uint32(7 - j)) & np.uint32(1)), w))
+            one = (byte >> np.uint8(7 - j)) & np.uint8(1)
+            bit = one.astype(np.float32)
             active = []
             for q in range(2):
                 where = np.flatnonzero(turn[q] >= j)
@@ -287,11 +311,14 @@ class Model:
                 dot[part] = own[g] @ x[:, part]
             np.clip(dot, -12, 12, out=dot)
             p = 1 / (1 + np.exp(-dot))
-            place = ((np.clip(dot, -SPAN, SPAN) + SPAN) * np.float32((STEPS - 1) / (2 * SPAN)) + np.float32(0.5)).astype(np.int32)
-            cell = ((1 << j) | (byte >> np.uint32(8 - j))).astype(np.int32) * STEPS + place
+            place = ((np.clip(dot, -SPAN, SPAN) + SPAN) * np.float32((STEPS - 1) / (2 * SPAN)) + np.float32(0.5)).astype(np.int64)
+            cell = (((1 << j) | np.arange(256) >> (8 - j)) * STEPS).take(byte) + place
             refined = (self.map[:, 1] / self.map.sum(1)).astype(np.float32)
-            final = (p + refined[cell]) * np.float32(0.5)
-            bits -= np.log2(np.abs(1 - bit - final))
+            final = (p + refined.take(cell)) * np.float32(0.5)
+            chance *= np.abs(1 - bit - final)
+            if j % 4 == 3:  # four chances, each over 3e-6, are far from the least of numbers
+                bits -= np.log2(chance)
+                chance[:] = 1
             # learning: a Newton step for each gate's weights, counts for the maps
             wrong = bit - p
             bend, push = weight * np.maximum(p * (1 - p), wrong * wrong), weight * wrong
@@ -300,9 +327,7 @@ class Model:
                     own_x = x[:, part]
                     self.curve[j, g] = self.curve[j, g] * keep + curvature(own_x, bend[part])
                     own[g] += np.linalg.solve(self.curve[j, g] + np.eye(INPUTS), own_x @ push[part])
-            ones = np.bincount(cell, weight * bit, 256 * STEPS)
-            self.map[:, 1] += ones
-            self.map[:, 0] += np.bincount(cell, weight, 256 * STEPS) - ones
+            self.map += np.bincount(cell * 2 + one, weight, 512 * STEPS).reshape(-1, 2)
             for q, (where, hit, cell) in enumerate(active):
                 both = np.bincount(cell * 2 + hit, weight[where], 64).reshape(16, 2, 2)
                 self.right[q] += both

@@ -251,3 +251,34 @@ def test_partitions_do_not_matter(frame, prose):
     a = sorted(map(tuple, cm.bits_per_byte(frame(rows), stream_bytes=4000).collect()))
     b = sorted(map(tuple, cm.bits_per_byte(frame(rows[::-1]).repartition(7), stream_bytes=4000).collect()))
     assert a == b
+
+
+def test_blocks_sort_plain_values(prose, monkeypatch):
+    """Sorting places by their keys took most of a block's time beside its counts; what is left are keys of 8 bits."""
+    buf, off = _flat([prose(i, 50).encode() for i in range(40)])
+    key, model, kinds, real = cm._block(buf, off, 0, len(buf)), cm.Model(18), [], np.argsort
+
+    def spy(a, *args, **kwargs):
+        kinds.append(a.dtype.itemsize)
+        return real(a, *args, **kwargs)
+
+    monkeypatch.setattr(np, "argsort", spy)
+    model.code(key)
+    assert max(kinds) == 1
+
+
+def test_key_order_is_a_stable_sort(prose):
+    buf, off = _flat([prose(i % 9, 50).encode() for i in range(40)])
+    r = np.random.default_rng(0)
+    marks = r.integers(0, 1 << 16, len(buf), dtype=np.uint64)
+    wide = r.integers(0, 1 << 64, 5000, dtype=np.uint64)  # its ranks leave no room for places
+    for key in (cm.contexts(buf, off), cm.contexts(buf, off) | marks, np.repeat(wide, 2), wide[:1], wide[:0], np.full(9, (1 << 64) - 1, np.uint64)):
+        assert (cm.key_order(key) == np.argsort(key, kind="stable")).all()
+
+
+def test_improbable_bytes_cost_finite_bits():
+    """Chances of several bits are multiplied before their logarithm is taken; the least of them must not vanish."""
+    r = random.Random(1)
+    noise = bytes(r.randrange(128, 256) for _ in range(2000))
+    bits = cm.score(*_flat([b"a" * 200_000, noise]), block=1 << 13)
+    assert np.isfinite(bits).all() and bits[1] / len(noise) > 6
