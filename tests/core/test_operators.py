@@ -55,6 +55,12 @@ def test_or_filters_stay_in_scope(spark):
     assert [r["doc_id"] for r in filters.apply_filters(search.in_scope(df, scope), fs).collect()] == ["a"]
 
 
+def test_sizes_beyond_the_largest_unit(spark):
+    """The query's SQL ends at GB: keys above 2**20 have squares of a TB and more."""
+    assert [one(spark, text.format_size(F.lit(n), "GB")) for n in (1023, 2048, 1024**4 - 1, 1024**4, 9_000_000**2)] == ["1023 B", "2.0 KB", "1024.0 GB", "1024.0 GB", "75437.1 GB"]
+    assert one(spark, text.format_size(F.lit(1024**4))) == "1.0 TB" and one(spark, text.format_size(F.lit(5000), "B")) == "5000 B"
+
+
 def test_resolve_prefix(spark):
     df = spark.createDataFrame([("abc1",), ("abd2",)], ["doc_id"])
     assert filters.resolve_prefix(df, "abc") == "abc1" and filters.resolve_prefix(df, "zz") is None
