@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _by_level(toc: DataFrame, partition: str, level: str) -> DataFrame:
+    """A row for each entry and each level ``__l`` that its document has, from the entry's own down; an entry without
+    a level has one row. The work is entries by levels of their document."""
+    known = toc.groupBy(F.col(partition).alias("__p")).agg(F.collect_set(level).alias("__levels"))
+    at = F.filter("__levels", lambda x: x >= F.col(level))
+    return toc.join(known, F.col(partition) == F.col("__p")).withColumn("__l", F.explode_outer(at)).drop("__p", "__levels")
+
+
 def with_ends(toc: DataFrame, partition: str = "doc_id", pos: str = "pos", level: str = "level") -> DataFrame:
     """Adds ``end_pos``: the next entry of the same level or above, or none.
 
-    Entries of a document are scanned in one array, so nothing is joined by range.
+    One ordered pass for each document and level gives every entry the next of those entries, so that nothing is
+    joined by range and no array holds a document. Positions are whole numbers.
     """
-    entries = toc.groupBy(partition).agg(F.array_sort(F.collect_list(F.struct(pos, level))).alias("__all"))
-    later = F.filter("__all", lambda x: (x[pos] > F.col(pos)) & (x[level] <= F.col(level)))
-    return toc.join(entries, partition).withColumn("end_pos", F.array_min(F.transform(later, lambda x: x[pos]))).drop("__all")
+    later = Window.partitionBy(partition, "__l").orderBy(F.desc(pos)).rangeBetween(Window.unboundedPreceding, -1)
+    end = F.when(F.col("__l").isNotNull() & F.col(pos).isNotNull(), F.min(pos).over(later))
+    ends = _by_level(toc, partition, level).withColumn("end_pos", end)
+    return ends.where(F.col("__l").isNull() | (F.col("__l") == F.col(level))).drop("__l")
 
 
 def matches(title: Column, wanted: Column) -> Column:
