@@ -32,14 +32,41 @@ def matches(title: Column, wanted: Column) -> Column:
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
 
+def _pieces(long: DataFrame, short: DataFrame) -> DataFrame:
+    """``(__d, __n, __k)``: of each name of the first table all substrings of the lengths that the second table's
+    names have in its document. They meet those names by equality, so the work grows with the names, not with their
+    product."""
+    sizes = short.groupBy("__d").agg(F.collect_set(F.length("__k")).alias("__sizes"))
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.length("__k") - n + 1), lambda i: F.substring(F.col("__k"), i, n))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("__sizes", lambda n: n <= F.length("__k")), cuts)))
+    return long.join(sizes, "__d").select("__d", "__n", F.explode(every).alias("__k"))
+
+
+def _names(df: DataFrame, partition: str, name: str) -> DataFrame:
+    """Distinct names of each document, ``__n``, and what of them is compared, ``__k``; empty ones are left out."""
+    names = df.select(F.col(partition).alias("__d"), F.col(name).alias("__n")).distinct()
+    return names.withColumn("__k", F.lower(F.trim("__n"))).where("__k <> ''")
+
+
 def expand(toc: DataFrame, wanted: DataFrame, partition: str = "doc_id", pos: str = "pos", level: str = "level", title: str = "title") -> DataFrame:
-    """Sections that the ``(doc_id, section)`` rows of ``wanted`` name, each with all its descendants, once."""
-    ends = with_ends(toc, partition, pos, level)
-    w = wanted.select(F.col(partition).alias("__d"), F.col("section").alias("__want"))
-    hit = ends.join(w, (F.col(partition) == F.col("__d")) & matches(F.col(title), F.col("__want")))
-    hit = hit.select(F.col("__d"), F.col("__want"), F.col(pos).alias("__lo"), F.coalesce("end_pos", F.lit(2**31 - 1)).alias("__hi")).distinct()
-    inside = (F.col(partition) == F.col("__d")) & (F.col(pos) >= F.col("__lo")) & (F.col(pos) < F.col("__hi"))
-    return toc.join(hit, inside).select(*toc.columns, F.col("__want").alias("wanted")).distinct()
+    """Sections that the ``(doc_id, section)`` rows of ``wanted`` name, each with all its descendants, once.
+
+    Sections found are ranges of the document's numbered positions; those inside another are left out, the rest are
+    opened into their numbers, and entries are taken by number: the work is that of the entries and the result.
+    """
+    numbered = toc.withColumn("__no", F.dense_rank().over(Window.partitionBy(partition).orderBy(F.col(pos).asc_nulls_last()))).where(F.col(pos).isNotNull())
+    size = F.max("__no").over(Window.partitionBy(partition)) + 1
+    ends = with_ends(numbered, partition, "__no", level).select(F.col(partition).alias("__d"), F.col(title).alias("__n"), F.col("__no").alias("__lo"), F.coalesce("end_pos", size).alias("__hi"))
+    titles, wants = _names(toc, partition, title), _names(wanted, partition, "section")
+    of = lambda a, b: a.join(b.withColumnRenamed("__n", "__m"), ["__d", "__k"])
+    named = of(_pieces(titles, wants), wants).select("__d", "__n", F.col("__m").alias("__want"))
+    named = named.union(of(_pieces(wants, titles), titles).select("__d", "__m", "__n")).distinct()
+    hit = ends.join(named, ["__d", "__n"]).select("__d", "__want", "__lo", "__hi").distinct()
+    before = Window.partitionBy("__d", "__want").orderBy("__lo", F.desc("__hi")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = hit.withColumn("__seen", F.coalesce(F.max("__hi").over(before), F.lit(0))).where(F.col("__hi") > F.col("__seen"))
+    opened = outer.select("__d", "__want", F.explode(F.sequence(F.greatest("__lo", "__seen"), F.col("__hi") - 1)).alias("__at"))
+    found = numbered.join(opened, (F.col(partition) == F.col("__d")) & (F.col("__no") == F.col("__at")))
+    return found.select(*toc.columns, F.col("__want").alias("wanted")).distinct()
 
 
 def chunks_of(chunks: DataFrame, sections: DataFrame, partition: str = "doc_id") -> DataFrame:

@@ -217,6 +217,22 @@ def test_toc_ends_of_a_long_document(spark):
     assert tuple(got) == (399 * 100 + 400 * 99 - 1, 39_998)
 
 
+def test_toc_expansion_by_brute_force(spark):
+    """Nested and repeated finds, several names for a document, ties of position; no join by range or by all pairs."""
+    rows, t = _random_toc(spark, 6)
+    want = [(f"d{d}", s) for d in range(7) for s in ("alpha", "GAMMA RAY burst", "\u00e9", "beta", "", "none")] + [(None, "alpha"), ("d1", None)]
+    df = toc.expand(t, spark.createDataFrame(want, "doc_id string, section string"))
+    expected = set()
+    for d, w in want:
+        for r in rows:
+            if r[0] == d and _alike(r[3], w):
+                end = _end(rows, r)
+                expected |= {(*x, w) for x in rows if x[0] == d and x[1] >= r[1] and (end is None or x[1] < end)}
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, expected))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Contains(" not in plan and "contains(" not in plan.lower()
+
+
 def test_rank_fusion(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], ["id", "rank"])
     b = spark.createDataFrame([("y", 1), ("z", 2)], ["id", "rank"])
