@@ -70,9 +70,12 @@ def expand(toc: DataFrame, wanted: DataFrame, partition: str = "doc_id", pos: st
 
 
 def chunks_of(chunks: DataFrame, sections: DataFrame, partition: str = "doc_id") -> DataFrame:
-    """Chunks whose section matches one of the ``(doc_id, title)`` rows, each once."""
-    s = sections.select(F.col(partition).alias("__d"), F.col("title").alias("__t")).distinct()
-    return chunks.join(s, (F.col(partition) == F.col("__d")) & matches(F.col("section"), F.col("__t")), "left_semi")
+    """Chunks whose section matches one of the ``(doc_id, title)`` rows, each once. Names are matched before chunks."""
+    have, want = _names(chunks, partition, "section"), _names(sections, partition, "title")
+    key = ["__d", "__k"]
+    longer = _pieces(have, want).join(want, key, "left_semi").select("__d", "__n")
+    found = longer.union(have.join(_pieces(want, have), key, "left_semi").select("__d", "__n")).distinct()
+    return chunks.join(found, (F.col(partition) == F.col("__d")) & (F.col("section") == F.col("__n")), "left_semi")
 
 
 def chunks_exact(chunks: DataFrame, names: list[str]) -> DataFrame:

@@ -233,6 +233,16 @@ def test_toc_expansion_by_brute_force(spark):
     assert "NestedLoop" not in plan and "Contains(" not in plan and "contains(" not in plan.lower()
 
 
+def test_chunks_of_by_brute_force(spark):
+    names = ["", "Alpha", "alpha beta", "Beta ", "gamma", None, "\u00c9t\u00e9 2", "x"]
+    chunks = [(f"d{d}", i, n) for d in range(3) for i, n in enumerate(names * 2)]
+    want = [("d0", "ALPHA"), ("d0", "alpha"), ("d1", "the gamma ray, beta"), ("d1", ""), ("d2", "\u00c9T"), ("d2", None), (None, "x")]
+    df = toc.chunks_of(spark.createDataFrame(chunks, "doc_id string, chunk_index int, section string"), spark.createDataFrame(want, "doc_id string, title string"))
+    expected = [c for c in chunks if any(d == c[0] and _alike(c[2], w) for d, w in want)]
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, expected))
+    assert "contains(" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_rank_fusion(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], ["id", "rank"])
     b = spark.createDataFrame([("y", 1), ("z", 2)], ["id", "rank"])
