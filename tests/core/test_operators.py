@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import glob, text
+from quillspark.functions import glob, text, vectors
 from quillspark.operators import access, chunking, dedup, filters, fts, heat, profile, records, search, summaries, tasks, toc
 from quillspark.plans.catalog import expired, route, ttl_seconds
 from quillspark.sources.json_files import record_matches
@@ -243,6 +243,22 @@ def test_chunks_of_by_brute_force(spark):
     assert "contains(" not in df._jdf.queryExecution().executedPlan().toString().lower()
 
 
+def test_embedding_reads_a_text_once(spark):
+    """The sum over the text stands outside the function of the components, where a Python function may stand too."""
+    texts = ["", "abc", "\u00e9\u4e2d\U0001f600 x", None, "z" * 5000]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        calls.add(1)
+        return t
+
+    t = spark.createDataFrame([(x,) for x in texts], "t string").coalesce(1)
+    got = [r["v"] for r in t.select(vectors.deterministic_embedding(counted("t")).alias("v")).collect()]
+    assert got == [[None] * 8 if x is None else [(sum(map(ord, x)) % 97 + i) % 17 / 17 for i in range(8)] for x in texts]
+    assert calls.value == len(texts)
+
+
 def test_rank_fusion(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], ["id", "rank"])
     b = spark.createDataFrame([("y", 1), ("z", 2)], ["id", "rank"])
