@@ -99,6 +99,15 @@ def test_record_filters_equal_single_records(spark, field, op, value):
     assert got == want
 
 
+@pytest.mark.parametrize("op,value", [("in", [1, 2]), ("nin", [1, 2, 3]), ("eq", 1), ("gt", 1), ("contains", "x")])
+def test_a_record_is_parsed_once(spark, op, value):
+    """Catalyst puts the parser into the filter for each mention of the record; values are bound, not repeated."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(RECORDS)], ["i", "x"]).select("i", records.parse("x").alias("r"))
+    both = records.RecordFilterSet.from_dicts([{"field": "a.b", "op": op, "value": value}, {"field": "s", "op": "exists"}])
+    plan = df.where(both.column(F.col("r"))).select("i")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("parseJson") == 1
+
+
 def test_bad_record_paths():
     for p in ("", "a..b", "__class__", "a.__dict__.b"):
         with pytest.raises(ValueError):
