@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +43,38 @@ def hot_sections(events: DataFrame, threshold: float, half_life: float) -> DataF
     return real.groupBy("doc_id", "section").applyInPandasWithState(step, "doc_id string, section string, ts double, heat double", "raw double, last double, fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def in_order(batches: Iterator[pd.DataFrame], run: int = 100_000, block: int = 1_000) -> Iterator[tuple[float, str]]:
+    """``(ts, key)`` of all rows by time and key, missing values last. Rows beyond a run wait in a file, sorted by runs
+    that are merged block by block, so memory is that of one run and of a block from each."""
+    rows: list[tuple] = []
+    runs: list[list[tuple[int, int]]] = []
+    with tempfile.TemporaryFile() as file:
+
+        def put() -> None:
+            rows.sort()
+            runs.append([])
+            for i in range(0, len(rows), block):
+                data = pickle.dumps(rows[i : i + block], pickle.HIGHEST_PROTOCOL)
+                runs[-1].append((file.tell(), len(data)))
+                file.write(data)
+            rows.clear()
+
+        def read(places: list[tuple[int, int]]) -> Iterator[tuple]:
+            for at, size in places:
+                file.seek(at)
+                yield from pickle.loads(file.read(size))
+
+        for batch in batches:
+            times, keys = batch["ts"].to_numpy(dtype=float).tolist(), batch["key"].tolist()
+            for i in range(0, len(keys), run):
+                rows += [(t != t, 0.0 if t != t else t, k is None, k or "") for t, k in zip(times[i : i + run], keys[i : i + run])]
+                if len(rows) >= run:
+                    put()
+        rows.sort()
+        for late, t, none, k in heapq.merge(rows, *map(read, runs)) if runs else rows:
+            yield (float("nan") if late else t), (None if none else k)
+
+
 def promotion_stream(events: DataFrame, recent_size: int = 200, hot_size: int = 50) -> DataFrame:
     """``(scope, key, ts)`` of promotions from a stream of ``(scope, key, ts)``; each scope has its own two queues."""
 
@@ -49,10 +84,16 @@ def promotion_stream(events: DataFrame, recent_size: int = 200, hot_size: int =
             recent, hot = state.get
             q.recent.update({r.split("\x1f")[0]: float(r.split("\x1f")[1]) for r in recent})
             q.hot.update({r.split("\x1f")[0]: float(r.split("\x1f")[1]) for r in hot})
-        rows = pd.concat(list(batches)).sort_values(["ts", "key"], kind="stable")
-        out = rows[q.replay(zip(rows["key"], rows["ts"]))]
+        out: list[tuple] = []
+        for ts, k in in_order(batches):
+            if q.touch(k, ts):
+                out.append((key[0], k, ts))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["scope", "key", "ts"])
+                out = []
         pack = lambda d: [f"{k}\x1f{t}" for k, t in d.items()]
         state.update((pack(q.recent), pack(q.hot)))
-        yield out[["scope", "key", "ts"]]
+        if out:
+            yield pd.DataFrame(out, columns=["scope", "key", "ts"])
 
     return events.groupBy("scope").applyInPandasWithState(step, "scope string, key string, ts double", "recent array<string>, hot array<string>", "append", GroupStateTimeout.NoTimeout)
