@@ -7,6 +7,7 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,25 +23,35 @@ def heat_stream(events: DataFrame) -> DataFrame:
     return heat.totals(events)
 
 
-def hot_sections(events: DataFrame, threshold: float, half_life: float) -> DataFrame:
-    """``(doc_id, section, ts, heat)`` once for each section, when its decayed score first reaches the threshold."""
+def hot_sections(events: DataFrame, threshold: float, half_life: float, buckets: int = 1024) -> DataFrame:
+    """``(doc_id, section, ts, heat)`` once for each section, when its decayed score first reaches the threshold.
+
+    Sections are kept by buckets of their hash, as a call of Python for each section costs far more than its few
+    events. A batch rewrites the buckets that it meets. A checkpoint goes with its number of buckets.
+    """
     hl = max(1.0, half_life)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, last, fired = state.get if state.exists else (0.0, 0.0, False)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        kept = {(d, s): (raw, last, fired) for d, s, raw, last, fired in zip(*state.get)} if state.exists else {}
+        parts = [(b["ts"].to_numpy(dtype=float), b["weight"].to_numpy(dtype=float), b["doc_id"].to_numpy(dtype=object), b["section"].to_numpy(dtype=object)) for b in batches]
+        times, *rest = map(np.concatenate, zip(*parts))
+        order = np.argsort(times, kind="stable")
         out = []
-        for w, ts in zip(rows["weight"], rows["ts"]):
-            raw, last = raw + float(w), max(last, float(ts))
-            score = raw * 0.5 ** (max(0.0, float(ts) - last) / hl)
+        for ts, w, *section in zip(times[order].tolist(), *(x[order].tolist() for x in rest)):
+            raw, last, fired = kept.get(name := tuple(section), (0.0, 0.0, False))
+            raw, last = raw + w, max(last, ts)
+            score = raw * 0.5 ** (max(0.0, ts - last) / hl)
             if score >= threshold and not fired:
                 fired = True
-                out.append((*key, float(ts), score))
-        state.update((raw, last, fired))
-        yield pd.DataFrame(out, columns=["doc_id", "section", "ts", "heat"])
+                out.append((*name, ts, score))
+            kept[name] = raw, last, fired
+        state.update(tuple(map(list, zip(*(name + of for name, of in kept.items())))))
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "section", "ts", "heat"])
 
-    real = events.where(F.trim(F.coalesce("section", F.lit(""))) != "")
-    return real.groupBy("doc_id", "section").applyInPandasWithState(step, "doc_id string, section string, ts double, heat double", "raw double, last double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    real = events.where(F.trim(F.coalesce("section", F.lit(""))) != "").select(F.pmod(F.xxhash64("doc_id", "section"), F.lit(buckets)).alias("bucket"), "doc_id", "section", F.col("weight").cast("double"), F.col("ts").cast("double"))
+    kept = "doc array<string>, section array<string>, raw array<double>, last array<double>, fired array<boolean>"
+    return real.groupBy("bucket").applyInPandasWithState(step, "doc_id string, section string, ts double, heat double", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def in_order(batches: Iterator[pd.DataFrame], run: int = 100_000, block: int = 1_000) -> Iterator[tuple[float, str]]:

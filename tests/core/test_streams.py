@@ -59,3 +59,16 @@ def test_promotion_stream_keeps_its_queues_between_batches(spark, tmp_path):
         q = AccessQueues(4, 2)
         want += [(scope, k, t) for part in parts for t, k in sorted((t, k) for s, k, t in part if s == scope) if q.touch(k, t)]
     assert sorted(got) == sorted(want) and want
+
+
+def test_hot_sections_fire_once_over_batches(spark, tmp_path):
+    parts = [[("d", "s", 1.0, 5.0), ("d", "s", 1.0, 1.0), ("d", "t", 3.0, 2.0)], [("d", "s", 1.5, 4.0), ("d", "s", 9.0, 9.0), ("d", "t", 9.0, 8.0), ("e", "s", 1.0, 1.0)]]
+    got = replay(spark, tmp_path, parts, "doc_id string, section string, weight double, ts double", lambda e: state.hot_sections(e, 3.0, 100.0))
+    assert sorted(got) == [("d", "s", 4.0, 3.5), ("d", "t", 2.0, 3.0)]
+
+
+def test_sections_share_calls_of_python(spark, tmp_path):
+    """Sections outnumber the groups that Python is called for; a call for each is what made the stream slow."""
+    parts = [[(f"d{i}", "s", 1.0, float(b)) for i in range(300)] for b in range(2)]
+    got = replay(spark, tmp_path, parts, "doc_id string, section string, weight double, ts double", lambda e: state.hot_sections(e, 2.0, 1e12, buckets=4))
+    assert sorted(got) == sorted((f"d{i}", "s", 1.0, 2.0) for i in range(300))
